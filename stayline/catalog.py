@@ -2,5 +2,12 @@
 
 from __future__ import annotations
 
+from .plans import canonical
+
+_MODULES = (canonical,)
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+for _m in _MODULES:
+    QUERIES |= _m.QUERIES
+    ORACLE_SQL |= _m.ORACLE_SQL
