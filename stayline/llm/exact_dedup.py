@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import materialize, new_folder, pick, small_batches, table, text_or_empty
 
-BUCKET_KEYS = 20_000
-MAX_DEPTH = 14
+BUCKET_KEYS = 1_000
+MAX_DEPTH = 18
 
 
 def index_pages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
