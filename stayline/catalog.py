@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import canonical
+from .plans import canonical, survival
 
-_MODULES = (canonical,)
+_MODULES = (canonical, survival)
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
