@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import canonical, survival
+from .plans import canonical, support, survival
 
-_MODULES = (canonical, survival)
+_MODULES = (canonical, survival, support)
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}

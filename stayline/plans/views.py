@@ -20,15 +20,18 @@ _SPARK = {
     "days": lambda a, b: f"datediff({b}, {a})",
     "text": lambda d, f: f"date_format({d}, '{f}')",
     "day": lambda t: f"to_date({t})",
+    "since": lambda t: f"datediff(to_date({t}), DATE '2024-01-01')",
 }
 _DUCK_FORMAT = {"yyyy-MM-dd": "%Y-%m-%d", "yyyy/MM/dd": "%Y/%m/%d", "MM/dd/yyyy": "%m/%d/%Y", "dd MMM yyyy": "%d %b %Y"}
 _DUCK = {
     "days": lambda a, b: f"date_diff('day', {a}, {b})",
     "text": lambda d, f: f"strftime({d}, '{_DUCK_FORMAT[f]}')",
     "day": lambda t: f"CAST({t} AS DATE)",
+    "since": lambda t: f"date_diff('day', DATE '2024-01-01', CAST({t} AS DATE))",
 }
 
-#: name -> (tables and views it reads, SELECT). Macros: @days(a; b), @text(d; format), @day(t).
+#: name -> (tables and views it reads, SELECT). Macros: @days(a; b), @text(d; format), @day(t),
+#: @since(t) (days since 2024 began).
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {}
 
 
@@ -49,7 +52,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     sources, sql = VIEWS[name]
     frames = {s: view(spark, sf_dir, s) for s in sources}
-    sql = _expand(sql, _SPARK)
+    sql = _expand(sql, _SPARK).replace("{", "{{").replace("}", "}}")
     for s in sources:
         sql = re.sub(rf"\b(FROM|JOIN) {s}\b", rf"\1 {{{s}}}", sql)
     return spark.sql(sql, **frames)
