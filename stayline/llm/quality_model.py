@@ -8,6 +8,7 @@ hashed text features, which scores every document, also where no labeller votes.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,40 +17,44 @@ from pyspark.sql import functions as F
 from .common import materialize, pick, small_batches, table
 from .linear import fit_logistic
 
-LABELLERS = ("length", "symbols", "capitals", "repeats", "lines", "compression", "word_length", "variety")
+LABELLERS = ("symbols", "capitals", "plain_words", "repeats", "lines", "compression", "variety", "empty")
 #: Documents that the scorer is fitted on, at most (in the order of a hash of their ids).
 SAMPLE = 6000
 SLOTS = 1 << 12
 ROUNDS = 100
 
 
+_PLAIN = re.compile(r"""[("'«„“]*[^\W_]+(?:[-'’][^\W_]+)*[)"'»“”]*[.,;:!?…]?[)"'»“”]*""")
+
+
 def votes_of(text: str | None, compress) -> list[int]:
-    """A vote of each labeller: 1 good, 2 bad, 0 none."""
+    """A vote of each labeller: 1 good, 2 bad, 0 none.
+
+    Most labellers speak of one kind of defect, and say nothing where they don't see it: that a text has no
+    symbols is no sign that it doesn't repeat itself. Few vote good, on what prose has as a whole.
+    """
     text = text or ""
     raw = text.encode("utf-8", "surrogatepass")
     words = raw.split()
     n = len(words)
-    if n < 8:
-        return [2] + [0] * (len(LABELLERS) - 1)
-
-    def vote(value: float, good: float, bad: float) -> int:
-        return 2 if value >= bad else 1 if value <= good else 0
-
+    if not n:
+        return [0] * (len(LABELLERS) - 1) + [2]
+    spelled = text.split()
     letters = sum(map(str.isalpha, text)) or 1
     lines = [x for x in raw.split(b"\n") if x.strip()]
-    repeats = sum(a == b for a, b in zip(words, words[1:])) / n
+    plain = sum(1 for w in spelled if _PLAIN.fullmatch(w)) / max(1, len(spelled))
     ratio = len(raw) / len(compress(raw))
-    mean_word = len(text) / n
-    expected = max(1.0, n**0.75)
+    long = len(raw) > 300
+    different = len(set(words)) / n**0.75
     return [
-        1 if n >= 30 else 2 if n < 15 else 0,
-        vote(sum(map(text.count, "#*$%&|<>")) / n, 0.02, 0.15),
-        vote(sum(map(str.isupper, text)) / letters, 0.2, 0.5),
-        vote(repeats, 0.03, 0.12),
-        vote(1 - len(set(lines)) / len(lines), 0.05, 0.3),
-        vote(ratio, 2.6, 3.5) if len(raw) > 300 else 0,
-        2 if not 3 <= mean_word <= 14 else 1 if 4 <= mean_word <= 9 else 0,
-        2 if len(set(words)) < 0.35 * expected else 1 if len(set(words)) > 0.8 * expected else 0,
+        2 if sum(map(text.count, "#*$%&|<>")) > 0.15 * n else 0,
+        2 if letters > 20 and sum(map(str.isupper, text)) > 0.5 * letters else 0,
+        1 if plain >= 0.97 else 2 if plain < 0.75 else 0,
+        2 if n >= 8 and sum(a == b for a, b in zip(words, words[1:])) > 0.12 * n else 0,
+        2 if len(lines) > 3 and len(set(lines)) < 0.6 * len(lines) else 0,
+        2 if long and ratio > 3.2 else 1 if long and 1.3 < ratio < 2.6 else 0,
+        2 if n >= 30 and different < 0.35 else 1 if n >= 30 and different > 0.8 else 0,
+        0,
     ]
 
 
@@ -66,13 +71,17 @@ class LabelModel:
 
         a, b = math.log(self.share), math.log(1 - self.share)
         for j, v in enumerate(votes):
-            a += math.log(self.good[j][v])
-            b += math.log(self.bad[j][v])
+            if v:  # no vote is no evidence
+                a += math.log(self.good[j][v])
+                b += math.log(self.bad[j][v])
         return 1 / (1 + math.exp(min(700, b - a)))
 
 
 def fit_label_model(patterns: list[tuple[list[int], int]], rounds: int = ROUNDS) -> LabelModel:
-    """EM over ``(votes, number of documents)``; begins from the majority vote. Deterministic."""
+    """EM over ``(votes, number of documents)``. Deterministic: it begins with documents bad that any labeller calls so.
+
+    A small prior says that labellers are better than chance, which keeps "bad" from changing its meaning.
+    """
     import numpy as np
 
     k = len(LABELLERS)
@@ -80,23 +89,22 @@ def fit_label_model(patterns: list[tuple[list[int], int]], rounds: int = ROUNDS)
         return LabelModel(0.5, [[1 / 3] * 3] * k, [[1 / 3] * 3] * k)
     votes = np.array([p for p, _ in patterns])
     n = np.array([c for _, c in patterns], float)
-    good = (votes == 1).sum(1)
-    bad = 2.0 * (votes == 2).sum(1)  # labellers vote bad on clear cases only
-    z = (good + 1) / (good + bad * k / 2 + 2)
+    z = np.where((votes == 2).any(1), 0.05, 0.95)
+    trust = 0.01 * n.sum()
+    prior = trust * np.array([[1.0, 1.0, 0.02], [1.0, 0.3, 1.0]])  # of votes 0, 1, 2 given good, and given bad
     for _ in range(rounds):
         tables = []
-        for w in (n * z, n * (1 - z)):
-            counts = np.array([[w[votes[:, j] == v].sum() + 1.0 for v in range(3)] for j in range(k)])
+        for w, p in ((n * z, prior[0]), (n * (1 - z), prior[1])):
+            counts = np.array([[w[votes[:, j] == v].sum() + p[v] + 0.01 for v in range(3)] for j in range(k)])
             tables.append(counts / counts.sum(1, keepdims=True))
         share = min(max((n * z).sum() / n.sum(), 1e-3), 1 - 1e-3)
-        logs = [np.log(t)[np.arange(k), votes].sum(1) for t in tables]
+        logs = [np.where(votes > 0, np.log(t)[np.arange(k), votes], 0.0).sum(1) for t in tables]  # no vote is no evidence
         z = 1 / (1 + np.exp(np.clip(logs[1] + np.log(1 - share) - logs[0] - np.log(share), -700, 700)))
     return LabelModel(float(share), tables[0].tolist(), tables[1].tolist())
 
 
 def features_of(text: str | None, compress) -> list[int]:
     """Slots of hashed features: shapes of word pairs, binned shares, and the text's compression."""
-    import re
     import zlib
 
     text = text or ""
@@ -151,7 +159,7 @@ def weak_votes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
     """``(doc_id, weak_label, score, kept)``, one row for each input row; score is the chance of good quality.
 
-    Null and empty texts get a vote for too short. Rows with a null id are scored, but not trained on. Repeated
+    Null and empty texts get a vote for empty. Rows with a null id are scored, but not trained on. Repeated
     rows stay. An empty table gives an empty result; other columns are ignored. ``weak_label`` is the posterior.
     """
     import numpy as np
