@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import canonical, ranking, report, support, survival
+from .plans import canonical, model, ranking, report, support, survival
 
-_MODULES = (canonical, survival, support, ranking, report)
+_MODULES = (canonical, survival, model, support, ranking, report)
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}

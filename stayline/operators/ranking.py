@@ -64,7 +64,8 @@ def combine(scores: DataFrame, support: DataFrame, flags: DataFrame) -> DataFram
     has_flags = F.size(F.coalesce("flags", none)) > 0
     only = lambda c: F.when(scored, F.col(c))
     usable = F.coalesce("survival_90", "risk_score", "forward_90").isNotNull()
-    width = F.when(scored, F.greatest(F.lit(0.0), F.col("forward_hi") - F.col("forward_lo")))
+    span = F.col("forward_hi") - F.col("forward_lo")
+    width = F.when(scored & span.isNotNull(), F.greatest(F.lit(0.0), span))
     return j.select(
         "customer_id", F.coalesce("state", F.lit("NOT_ENOUGH_DATA")).alias("state"), only("survival_90").alias("survival_90"),
         only("risk_score").alias("risk_score"), only("forward_90").alias("forward_90"), width.alias("ci_width"),
@@ -90,7 +91,7 @@ def base_rate(accounts: DataFrame, cfg: RankingConfig = RankingConfig()) -> Data
 
 def lift_risk(p: Column, base: Column, points=LIFT_POINTS) -> tuple[Column, Column]:
     """``(risk, lift)``: the piecewise-linear map of p / base, flat beyond the last point."""
-    lift = F.greatest(F.lit(0.0), p) / base
+    lift = F.when(p.isNotNull(), F.greatest(F.lit(0.0), p) / base)  # greatest() would take NULL for 0
     risk = F.lit(points[-1][1])
     for (x0, y0), (x1, y1) in reversed(list(zip(points, points[1:]))):
         risk = F.when(lift <= x1, y0 + (y1 - y0) * (lift - x0) / (x1 - x0)).otherwise(risk)

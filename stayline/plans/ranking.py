@@ -151,7 +151,7 @@ _WEIGHT = "CASE flag_type WHEN 'cancellation_intent' THEN 1.0 WHEN 'renewal_or_c
 RANK = ctes("rank_scores", "rank_flags", "rank_support") + f""",
  sc AS (SELECT * EXCLUDE (k, pos) FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY pos) AS k FROM rank_scores) WHERE k = 1),
  cm AS (SELECT coalesce(s.customer_id, u.customer_id) AS customer_id, coalesce(state, 'NOT_ENOUGH_DATA') AS state, CASE WHEN state = 'SCORED' THEN survival_90 END AS survival_90,
-   CASE WHEN state = 'SCORED' THEN risk_score END AS risk_score, CASE WHEN state = 'SCORED' THEN forward_90 END AS forward_90, CASE WHEN state = 'SCORED' THEN greatest(0, forward_hi - forward_lo) END AS ci_width,
+   CASE WHEN state = 'SCORED' THEN risk_score END AS risk_score, CASE WHEN state = 'SCORED' THEN forward_90 END AS forward_90, CASE WHEN state = 'SCORED' AND forward_hi - forward_lo IS NOT NULL THEN greatest(0, forward_hi - forward_lo) END AS ci_width,
    tenure_days, event_observed, coalesce(state = 'SCORED' AND coalesce(survival_90, risk_score, forward_90) IS NULL, false) AS partial_alignment, coalesce(status, 'no_data') AS status, coalesce(n_threads, 0) AS n_threads,
    coalesce(support_confidence, 0) AS support_confidence, coalesce(urgency, 'unknown') AS urgency, coalesce(churn_language, false) AS churn_language FROM sc s FULL JOIN rank_support u ON s.customer_id = u.customer_id),
  fl AS (SELECT f.*, {_WEIGHT} AS w, CASE signal_strength WHEN 'weak' THEN 0.33 WHEN 'moderate' THEN 0.66 ELSE 1.0 END AS ss, CASE signal_strength WHEN 'weak' THEN 1 WHEN 'moderate' THEN 2 ELSE 3 END AS so FROM rank_flags f JOIN cm USING (customer_id) WHERE cm.status <> 'no_data'),
@@ -162,7 +162,7 @@ RANK = ctes("rank_scores", "rank_flags", "rank_support") + f""",
  pos AS (SELECT DISTINCT customer_id FROM fl WHERE flag_type = 'positive_feedback'),
  act AS (SELECT * FROM cm WHERE coalesce(event_observed, 0) <> 1),
  br AS (SELECT avg(1 - forward_90) AS base_rate, count(forward_90) AS n, coalesce(count(forward_90) >= 30 AND avg(1 - forward_90) > 0, false) AS use_lift FROM act),
- l0 AS (SELECT act.*, br.base_rate, br.use_lift, CASE WHEN br.use_lift THEN greatest(0, 1 - forward_90) / br.base_rate END AS lf FROM act, br),
+ l0 AS (SELECT act.*, br.base_rate, br.use_lift, CASE WHEN br.use_lift AND forward_90 IS NOT NULL THEN greatest(0, 1 - forward_90) / br.base_rate END AS lf FROM act, br),
  l1 AS (SELECT *, CASE WHEN lf IS NULL THEN NULL WHEN lf <= 1 THEN 0.2 * lf WHEN lf <= 1.5 THEN 0.2 + 0.2 * (lf - 1) / 0.5 WHEN lf <= 3 THEN 0.4 + 0.3 * (lf - 1.5) / 1.5 WHEN lf <= 6 THEN 0.7 + 0.3 * (lf - 3) / 3 ELSE 1 END AS raw FROM l0),
  q AS (SELECT l1.*, CASE WHEN use_lift THEN CASE WHEN raw IS NOT NULL THEN least(1, greatest(0, round_even(raw, 3))) END ELSE CASE WHEN coalesce(survival_90, risk_score) IS NOT NULL THEN least(1, greatest(0, round_even(coalesce(1 - survival_90, risk_score), 3))) END END AS quant, round_even(lf, 3) AS lift,
    CASE WHEN NOT use_lift THEN NULL WHEN forward_90 IS NOT NULL THEN 'available' WHEN state = 'SCORED' THEN 'beyond_follow_up' ELSE 'unavailable' END AS forward_status,

@@ -1 +1 @@
-"""Streaming."""
+"""Structured Streaming forms of stateless operators."""
