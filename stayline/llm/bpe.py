@@ -1,15 +1,16 @@
 """Byte-level BPE over distinct words, with the ranked merges folded by Spark's higher-order functions.
 
-1. Each block of documents lists its distinct words (matches of the tokenizer's pattern).
-2. The distinct words of all blocks are encoded once: a word is an array of one-byte pieces (a byte is the
-   Latin-1 character of its value), the ranks of neighbouring pieces stand beside it, and ``aggregate`` merges
-   the leftmost pair of the lowest rank until no pair has a rank. The rank map is one literal: an array of
-   small maps, addressed by a hash of the piece, because a lookup in a map literal walks all its entries.
-3. The words' ids go back to the blocks that use them, where each text is put together; decoding joins the
-   pieces' bytes again.
-
-Words of more than ``LONG_WORD`` bytes (a fold's steps grow with the word's length) are merged by the same
-rule in a small Python helper.
+1. The words (matches of the tokenizer's pattern) of all documents are counted, and the ``COMMON_WORDS`` most
+   frequent are taken: a vocabulary of fixed size that covers nine tenths of all occurrences.
+2. Spark encodes these distinct words once: a word is an array of one-byte pieces (a byte is the Latin-1
+   character of its value), the ranks of neighbouring pieces stand beside it, and ``aggregate`` merges the
+   leftmost pair of the lowest rank until no pair has a rank. The rank map is one literal: an array of small
+   maps, addressed by a hash of the piece, because a lookup in a map literal walks all its entries.
+3. Each text is put together where it is, with the vocabulary at hand; a word outside it is merged by the same
+   rule in Python (``merge_word``). Decoding joins the bytes of the ids' pieces again.
+
+Folding all distinct words in Spark and sending each block of documents its words gave the same results, but
+cost 2427 CPU seconds a GB (900 allowed) and over twice the disk: see the README.
 """
 
 from __future__ import annotations
@@ -24,11 +25,12 @@ from pyspark.sql import functions as F
 from .common import pick, small_batches, table, text_or_empty
 from .packing import cut_words
 
+#: Longer words (in bytes) are not counted: a fold's steps grow with the word's length.
 LONG_WORD = 64
 RANK_SLOTS = 1 << 15
-#: Rows of a Parquet file that make a block.
-BLOCK_ROWS = 8192
-#: Different space-delimited words whose encoding a task remembers.
+#: Distinct words that Spark encodes and every task has at hand.
+COMMON_WORDS = 100_000
+#: Different space-delimited words that a task counts or remembers at a time.
 CACHE_WORDS = 250_000
 
 
@@ -108,12 +110,33 @@ def encode_word(word: Column, ranks: Column) -> Column:
     )
 
 
-def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The same merges for one long word: a heap of pairs over a linked list, n log n steps."""
-    import heapq
-
+def merge_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The same merges for one word in Python; long words by a heap of pairs over a linked list, n log n steps."""
     if word in ranks:
         return [ranks[word]]
+    if len(word) > LONG_WORD:
+        return _merge_long(word, ranks)
+    pieces = [word[i : i + 1] for i in range(len(word))]
+    none = len(ranks) + 1_000_000
+    pairs = [ranks.get(a + b, none) for a, b in zip(pieces, pieces[1:])]
+    while pairs:
+        best = min(pairs)
+        if best == none:
+            break
+        i = pairs.index(best)
+        merged = pieces[i] + pieces[i + 1]
+        pieces[i : i + 2] = [merged]
+        del pairs[i]
+        if i:
+            pairs[i - 1] = ranks.get(pieces[i - 1] + merged, none)
+        if i < len(pairs):
+            pairs[i] = ranks.get(merged + pieces[i + 1], none)
+    return [ranks[p] for p in pieces]
+
+
+def _merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    import heapq
+
     n = len(word)
     pieces: list[bytes | None] = [word[i : i + 1] for i in range(n)]
     after, before = [*range(1, n), -1], list(range(-1, n - 1))
@@ -134,134 +157,119 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in pieces if p is not None]
 
 
-def with_blocks(docs: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Adds ``block``: runs of rows of a Parquet file, the same at every read of it."""
-    return docs.select(
-        "*",
-        F.xxhash64(
-            F.col("_metadata.file_path"), F.floor(F.col("_metadata.row_index") / block_rows).alias("part")
-        ).alias("block"),
-    )
-
-
-def block_words(rows: DataFrame, pattern: str) -> DataFrame:
-    """``(block, word)``: the distinct words of each block, as Latin-1 coded bytes, without the long ones."""
+def count_words(texts: DataFrame, pattern: str) -> DataFrame:
+    """``(word, n)``: how often each word (as Latin-1 coded bytes) occurs in column ``text``, without long words."""
     import pyarrow as pa
 
     def run(batches):
+        from collections import Counter
+
         import regex
 
         split = regex.compile(pattern).findall
-        pending: dict[int, set[str]] = {}
-
-        def flush(block: int):
-            spaced = pending.pop(block)
-            words = {w.encode("utf-8", "surrogatepass").decode("latin-1") for x in spaced for w in split(x)}
-            words = [w for w in words if len(w) <= LONG_WORD]
-            for at in range(0, len(words), 50_000):
-                part = words[at : at + 50_000]
+        spaced: Counter[str] = Counter()
+
+        def flush():
+            words: Counter[str] = Counter()
+            for x, n in spaced.items():
+                for w in split(x):
+                    words[w] += n
+            spaced.clear()
+            coded = [(c, n) for w, n in words.items() if len(c := w.encode("utf-8", "surrogatepass").decode("latin-1")) <= LONG_WORD]
+            for at in range(0, len(coded), 50_000):
+                part = coded[at : at + 50_000]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([block] * len(part), pa.int64()), pa.array(part, pa.string())], names=["block", "word"]
+                    [pa.array([c for c, _ in part], pa.string()), pa.array([n for _, n in part], pa.int64())], names=["word", "n"]
                 )
 
         for b in batches:
-            for block, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if block not in pending:
-                    for other in list(pending):  # a block's rows stand together
-                        yield from flush(other)
-                    pending[block] = set()
-                pending[block].update(cut_words(text))
-                if len(pending[block]) > CACHE_WORDS:
-                    yield from flush(block)
-                    pending[block] = set()
-        for other in list(pending):
-            yield from flush(other)
+            for text in b.column(0).to_pylist():
+                spaced.update(cut_words(text))
+            if len(spaced) > CACHE_WORDS:
+                yield from flush()
+        yield from flush()
+
+    return texts.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
-    return rows.select("block", "text").mapInArrow(run, "block long, word string")
+
+def common_words(texts: DataFrame, ranks: dict[bytes, int], pattern: str, limit: int = COMMON_WORDS) -> DataFrame:
+    """``(word, ids)`` of the most frequent words over all texts; ties by the word. ``ids`` are joined by commas."""
+    most = count_words(texts, pattern).orderBy(F.desc("n"), "word").limit(limit).select("word")
+    # dealt anew: the merges of a vocabulary are worth several tasks
+    return most.repartition(32, "word").select("word", F.array_join(encode_word(F.col("word"), rank_literal(ranks)), ",").alias("ids"))
 
 
 def encode_documents(
     docs: DataFrame, ranks: dict[bytes, int], pattern: str,
-    id_col: str = "doc_id", text_col: str = "text", block_col: str | None = None,
+    id_col: str = "doc_id", text_col: str = "text", common: int = COMMON_WORDS,
 ) -> DataFrame:
     """``(doc_id, n_tokens, ids_sha256, decoded_sha256)``, one row for each input row.
 
     Null and empty texts have no ids (the digests are those of nothing). Null ids and repeated rows stay. An
-    empty table gives an empty result. ``block_col`` names a column (long) that deals rows into blocks of
-    bounded size; without it, 64 rows' ids share a block by hash. Other columns are ignored.
+    empty table gives an empty result. Other columns are ignored.
     """
     import pyarrow as pa
 
     spark = docs.sparkSession
     small_batches(spark)
-    block = F.col(f"`{block_col}`") if block_col else F.pmod(F.xxhash64(F.col(f"`{id_col}`")), F.lit(1 << 10))
-    rows = docs.select(
-        F.col(f"`{id_col}`").alias("doc_id"), text_or_empty(text_col).alias("text"), block.alias("block")
-    )
+    rows = pick(docs, id_col, text_col).toDF("doc_id", "text").select("doc_id", text_or_empty().alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    used = block_words(rows, pattern).repartition("word")
-    encoded = used.select("word").distinct().withColumn("ids", F.array_join(encode_word(F.col("word"), rank_literal(ranks)), ","))
-    dictionary = used.join(encoded, "word").select("block", "word", "ids")
-    vocabulary = spark.sparkContext.broadcast(ranks)  # one file of a fixed vocabulary
-    name = crc32(b"".join(ranks))
+    found = {r.word: r.ids for r in common_words(rows, ranks, pattern, common).collect()}  # COMMON_WORDS at most
+    shared = spark.sparkContext.broadcast((ranks, found))  # a vocabulary file and a vocabulary of fixed size
+    name = crc32(b"".join(ranks)) ^ crc32("".join(sorted(found)).encode())
 
-    def run(texts, words):
+    def run(batches):
         from hashlib import sha256
 
         import regex
 
         split = regex.compile(pattern).findall
-        known_ids = dict(zip(words.column("word").to_pylist(), words.column("ids").to_pylist()))
-        by_piece, pieces = _vocabulary(name, vocabulary)
-        known: dict[str, tuple[int, str, bytes]] = {}
+        by_piece, bytes_of, vocabulary, known = _vocabulary(name, shared)
 
         def encode(spaced: str) -> tuple[int, str, bytes]:
             ids = []
             for w in split(spaced):
-                raw = w.encode("utf-8", "surrogatepass")
-                got = known_ids.get(raw.decode("latin-1")) if len(raw) <= LONG_WORD else None
-                ids.append(got if got is not None else ",".join(map(str, merge_long(raw, by_piece))))
+                got = vocabulary.get(w)
+                ids.append(got if got is not None else ",".join(map(str, merge_word(w.encode("utf-8", "surrogatepass"), by_piece))))
             joined = ",".join(ids)
             numbers = joined.split(",")
-            return len(numbers), joined, b"".join(map(pieces.__getitem__, numbers))
-
-        counts, id_shas, byte_shas = [], [], []
-        for text in texts.column("text").to_pylist():
-            cut = cut_words(text)
-            if len(known) > CACHE_WORDS:
-                known.clear()
-            got = []
-            for w in cut:
-                x = known.get(w)
-                if x is None:
-                    x = known[w] = encode(w)
-                got.append(x)
-            counts.append(sum(x[0] for x in got))
-            id_shas.append(sha256(",".join([x[1] for x in got]).encode()).hexdigest())
-            byte_shas.append(sha256(b"".join([x[2] for x in got])).hexdigest())
-        return pa.table(
-            [texts.column("doc_id"), pa.array(counts, pa.int64()), pa.array(id_shas, pa.string()), pa.array(byte_shas, pa.string())],
-            names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-        )
+            return len(numbers), joined, b"".join(map(bytes_of.__getitem__, numbers))
 
-    return (
-        rows.groupBy("block")
-        .cogroup(dictionary.groupBy("block"))
-        .applyInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
-    )
+        for b in batches:
+            counts, id_shas, byte_shas = [], [], []
+            for text in b.column(1).to_pylist():
+                got = []
+                for w in cut_words(text):
+                    x = known.get(w)
+                    if x is None:
+                        x = encode(w)
+                        if len(known) < CACHE_WORDS:
+                            known[w] = x
+                    got.append(x)
+                counts.append(sum([x[0] for x in got]))
+                id_shas.append(sha256(",".join([x[1] for x in got]).encode()).hexdigest())
+                byte_shas.append(sha256(b"".join([x[2] for x in got])).hexdigest())
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(counts, pa.int64()), pa.array(id_shas, pa.string()), pa.array(byte_shas, pa.string())],
+                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+            )
+
+    return rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 _vocabularies: dict = {}
 
 
-def _vocabulary(name: int, ranks) -> tuple[dict[bytes, int], dict[str, bytes]]:
-    """The ranks, and the bytes of each id (as decimal text), once for each Python worker."""
+def _vocabulary(name: int, shared) -> tuple:
+    """Once for each Python worker: ranks, the bytes of each id (as decimal text), the common words' ids, and the
+    words that its tasks remember."""
     if name not in _vocabularies:
         _vocabularies.clear()
-        _vocabularies[name] = ranks.value, {str(rank): piece for piece, rank in ranks.value.items()}
+        ranks, found = shared.value
+        words = {w.encode("latin-1").decode("utf-8", "surrogatepass"): ids for w, ids in found.items()}
+        _vocabularies[name] = ranks, {str(rank): piece for piece, rank in ranks.items()}, words, {}
     return _vocabularies[name]
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = with_blocks(table(spark, sf_dir, "documents"))
-    return encode_documents(docs, rank_table(), split_pattern(), block_col="block")
+    return encode_documents(table(spark, sf_dir, "documents"), rank_table(), split_pattern())
