@@ -21,9 +21,11 @@ SAMPLE = 3000
 NGRAMS = (3, 4, 5)
 SLOTS_LOG2 = 20
 #: n-grams that the regression sees, at most.
-FEATURES = 1 << 14
+FEATURES = 1 << 11
 LEAST_DOCS = 4
 SMOOTHING = 1.0
+#: Ridge penalty of the regression; rare n-grams of few documents should not be learned by heart.
+L2 = 3e-4
 #: Characters that are hashed at once (bounded memory for very long texts).
 PIECE = 1 << 19
 
@@ -136,7 +138,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_co
     sample_rows.sort(key=lambda r: (r.toxic, r.cols))
     y = np.array([r.toxic for r in sample_rows], float)
     weight = np.where(y == 1, share / n1, (1 - share) / n0)  # classes weigh as among all labels
-    coef, bias = fit_logistic([r.cols for r in sample_rows], y, weight, len(slots), l2=3e-5, scale=ratio)
+    coef, bias = fit_logistic([r.cols for r in sample_rows], y, weight, len(slots), l2=L2, scale=ratio)
     weights = coef * ratio
     used = np.flatnonzero(np.abs(weights) > 1e-4)
     return ToxicityModel(slots[used].tolist(), weights[used].tolist(), bias)
