@@ -223,21 +223,21 @@ def absolute_risk(spark, sf_dir):
     return active.select("customer_id", R.absolute_risk(F.col("survival_90"), F.col("risk_score")).alias("risk"))
 
 
-def _score_query(name: str, sql: str, *columns):
+def _score_query(name: str, sql: str, columns):
     @query(RANK + sql)
     def run(spark, sf_dir):
-        return scored_of(spark, sf_dir).select("customer_id", *columns)
+        return scored_of(spark, sf_dir).select("customer_id", *columns())  # built late: columns need a session
 
     QUERIES[name], ORACLE_SQL[name] = QUERIES.pop("run"), ORACLE_SQL.pop("run")
 
 
-_score_query("qualitative_score", "SELECT customer_id, round(qual, 6) AS qual FROM s1", F.round("qual", 6).alias("qual"))
-_score_query("top_flags", "SELECT customer_id, top_flags, strongest FROM q", F.array_join(F.transform("top_flags", lambda f: f["flag_type"]), ",").alias("top_flags"), "strongest")
-_score_query("combined_score", "SELECT customer_id, round(score, 6) AS score FROM s2", F.round("score", 6).alias("score"))
-_score_query("critical_rules", "SELECT customer_id, rules FROM s1", F.array_join("rules", ",").alias("rules"))
-_score_query("risk_level", "SELECT customer_id, level FROM s3", "level")
-_score_query("account_confidence", "SELECT customer_id, quant_confidence, confidence FROM s3", "quant_confidence", "confidence")
-_score_query("account_reasons", "SELECT customer_id, reasons FROM s4", F.array_join(F.transform("reasons", lambda r: r["reason_type"]), ",").alias("reasons"))
+_score_query("qualitative_score", "SELECT customer_id, round(qual, 6) AS qual FROM s1", lambda: [F.round("qual", 6).alias("qual")])
+_score_query("top_flags", "SELECT customer_id, top_flags, strongest FROM q", lambda: [F.array_join(F.transform("top_flags", lambda f: f["flag_type"]), ",").alias("top_flags"), "strongest"])
+_score_query("combined_score", "SELECT customer_id, round(score, 6) AS score FROM s2", lambda: [F.round("score", 6).alias("score")])
+_score_query("critical_rules", "SELECT customer_id, rules FROM s1", lambda: [F.array_join("rules", ",").alias("rules")])
+_score_query("risk_level", "SELECT customer_id, level FROM s3", lambda: ["level"])
+_score_query("account_confidence", "SELECT customer_id, quant_confidence, confidence FROM s3", lambda: ["quant_confidence", "confidence"])
+_score_query("account_reasons", "SELECT customer_id, reasons FROM s4", lambda: [F.array_join(F.transform("reasons", lambda r: r["reason_type"]), ",").alias("reasons")])
 
 
 @query(RANK + "SELECT customer_id, tenure_days FROM cm WHERE event_observed = 1")
