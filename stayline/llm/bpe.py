@@ -195,8 +195,10 @@ def count_words(texts: DataFrame, pattern: str) -> DataFrame:
 def common_words(texts: DataFrame, ranks: dict[bytes, int], pattern: str, limit: int = COMMON_WORDS) -> DataFrame:
     """``(word, ids)`` of the most frequent words over all texts; ties by the word. ``ids`` are joined by commas."""
     most = count_words(texts, pattern).orderBy(F.desc("n"), "word").limit(limit).select("word")
+    # one variable holds the literal, which else stood (and was parsed) at every lookup
+    ids = F.get(F.transform(F.array(rank_literal(ranks)), lambda table: encode_word(F.col("word"), table)), 0)
     # dealt anew: the merges of a vocabulary are worth several tasks
-    return most.repartition(32, "word").select("word", F.array_join(encode_word(F.col("word"), rank_literal(ranks)), ",").alias("ids"))
+    return most.repartition(32, "word").select("word", F.array_join(ids, ",").alias("ids"))
 
 
 def encode_documents(
