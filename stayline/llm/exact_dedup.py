@@ -1,8 +1,8 @@
 """Exact duplicates through an extendible-hash index on files in the shared folder.
 
 Pages: every task normalises its rows, hashes them (key: XXH64, digest: SHA-256) and appends them to the
-index's page files; of byte-equal bodies in a batch only the first carries its bytes, so a group of copies
-costs its bytes once for each batch, not for each row.
+index's page files; of byte-equal bodies that a task remembers only the first carries its bytes, so a group of
+copies costs its bytes once for each task or so, not for each row, and its owner reads as few.
 
 Directory: the distinct keys are counted by their leading bits (a bounded number of counters). Buckets start
 as one; an overfull bucket splits on its next bit, doubling the directory when it is already at full depth.
@@ -22,10 +22,12 @@ from .common import materialize, new_folder, pick, small_batches, table, text_or
 
 BUCKET_KEYS = 1_000
 MAX_DEPTH = 18
+#: Bytes of bodies that a task remembers at a time; forgetting one only costs its bytes once more.
+REMEMBERED_BYTES = 32 << 20
 
 
 def index_pages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, n_cp, key, sha, body)``; body is null where an equal one stands earlier in its batch."""
+    """``(doc_id, n_cp, key, sha, body)``; body is null where an equal one, still remembered, stands earlier in its task."""
     import pyarrow as pa
 
     small_batches(docs.sparkSession)
@@ -38,15 +40,23 @@ def index_pages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
         import xxhash
 
+        seen: set[bytes] = set()
+        held = 0
         for b in batches:
-            seen: set[bytes] = set()
             keys, shas, bodies = [], [], []
             for raw in b.column(2).to_pylist():
                 body = raw.translate(None, b" \t\n\x0b\x0c\r")
                 keys.append(xxhash.xxh64_intdigest(body))
                 shas.append(sha256(body).digest())
-                bodies.append(None if body in seen else body)
+                if body in seen:
+                    bodies.append(None)
+                    continue
+                bodies.append(body)
+                if held + len(body) > REMEMBERED_BYTES:
+                    seen.clear()
+                    held = 0
                 seen.add(body)
+                held += len(body)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(keys, pa.uint64()).view(pa.int64()), pa.array(shas, pa.binary()), pa.array(bodies, pa.binary())],
                 names=["doc_id", "n_cp", "key", "sha", "body"],
