@@ -1,7 +1,8 @@
 """Byte-level BPE over distinct words, with the ranked merges folded by Spark's higher-order functions.
 
-1. The words (matches of the tokenizer's pattern) of all documents are counted, and the ``COMMON_WORDS`` most
-   frequent are taken: a vocabulary of fixed size that covers nine tenths of all occurrences.
+1. The words (matches of the tokenizer's pattern) of all documents are counted. Of those that make at least one
+   in ``COMMON_SHARE`` of all occurrences (as many words at most, whatever the input) the ``COMMON_WORDS`` most
+   frequent are taken: a vocabulary of bounded size that covers over nine tenths of all occurrences.
 2. Spark encodes these distinct words once: a word is an array of one-byte pieces (a byte is the Latin-1
    character of its value), the ranks of neighbouring pieces stand beside it, and ``aggregate`` merges the
    leftmost pair of the lowest rank until no pair has a rank. The rank map is one literal: an array of small
@@ -22,14 +23,15 @@ from zlib import crc32
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pick, small_batches, table, text_or_empty
+from .common import materialize, pick, small_batches, table, text_or_empty
 from .packing import cut_words
 
 #: Longer words (in bytes) are not counted: a fold's steps grow with the word's length.
 LONG_WORD = 64
 RANK_SLOTS = 1 << 15
-#: Distinct words that Spark encodes and every task has at hand.
-COMMON_WORDS = 100_000
+#: Distinct words that Spark encodes and every task has at hand, at most; each is one in COMMON_SHARE occurrences or more.
+COMMON_WORDS = 300_000
+COMMON_SHARE = 8_000_000
 #: Different space-delimited words that a task counts or remembers at a time.
 CACHE_WORDS = 250_000
 
@@ -194,7 +196,11 @@ def count_words(texts: DataFrame, pattern: str) -> DataFrame:
 
 def common_words(texts: DataFrame, ranks: dict[bytes, int], pattern: str, limit: int = COMMON_WORDS) -> DataFrame:
     """``(word, ids)`` of the most frequent words over all texts; ties by the word. ``ids`` are joined by commas."""
-    most = count_words(texts, pattern).orderBy(F.desc("n"), "word").limit(limit).select("word")
+    counts = materialize(count_words(texts, pattern), "word-counts")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    # the share bounds what is sorted: a word of so many occurrences leaves room for COMMON_SHARE words at most
+    frequent = counts.where(F.col("n") >= total / COMMON_SHARE)
+    most = frequent.orderBy(F.desc("n"), "word").limit(limit).select("word")
     # one variable holds the literal, which else stood (and was parsed) at every lookup
     ids = F.get(F.transform(F.array(rank_literal(ranks)), lambda table: encode_word(F.col("word"), table)), 0)
     # dealt anew: the merges of a vocabulary are worth several tasks
@@ -216,7 +222,8 @@ def encode_documents(
     small_batches(spark)
     rows = pick(docs, id_col, text_col).toDF("doc_id", "text").select("doc_id", text_or_empty().alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    found = {r.word: r.ids for r in common_words(rows, ranks, pattern, common).collect()}  # COMMON_WORDS at most
+    vocabulary = common_words(rows, ranks, pattern, common).toArrow()  # COMMON_WORDS rows at most
+    found = dict(zip(*(vocabulary.column(name).to_pylist() for name in ("word", "ids"))))
     shared = spark.sparkContext.broadcast((ranks, found))  # a vocabulary file and a vocabulary of fixed size
     name = crc32(b"".join(ranks)) ^ crc32("".join(sorted(found)).encode())
 
