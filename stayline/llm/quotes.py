@@ -12,6 +12,9 @@ one original for each hash, and positions come from counts of blocks of turns.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -100,12 +103,31 @@ def thread_roots(links: DataFrame, max_rounds: int = 40) -> DataFrame:
     raise RuntimeError("reply chains did not settle; raise max_rounds")
 
 
+def rows_before(placed: DataFrame) -> DataFrame:
+    """``(conv_id, root, block, before)``: how many rows of the conversation come before each block.
+
+    A block holds the turns of one root inside BLOCK_TURNS turns, so a root that a whole conversation answers is many
+    blocks. Blocks are summed inside sections of BLOCK_TURNS roots, and the sections inside the conversation.
+    """
+    blocks = placed.groupBy("conv_id", "root", "block").agg(F.count("*").alias("n"))
+    blocks = blocks.withColumn("section", F.floor(F.col("root") / BLOCK_TURNS))
+    sections = blocks.groupBy("conv_id", "section").agg(F.sum("n").alias("n"))
+    earlier = F.sum("n").over(Window.partitionBy("conv_id").orderBy("section")) - F.col("n")
+    sections = sections.select("conv_id", "section", earlier.alias("earlier"))
+    inside = F.sum("n").over(Window.partitionBy("conv_id", "section").orderBy("root", "block")) - F.col("n")
+    blocks = blocks.withColumn("inside", inside)
+    same = blocks["conv_id"].eqNullSafe(sections["conv_id"]) & blocks["section"].eqNullSafe(sections["section"])
+    return blocks.join(sections, same).select(
+        blocks["conv_id"], "root", "block", (F.col("earlier") + F.col("inside")).alias("before")
+    )
+
+
 def reply_ordered(conversations: DataFrame) -> DataFrame:
     """``(conv_id, turn, role, reply_to, root, position, n_passages, n_linked, max_level, text, copies)``.
 
     One row for each different (conv_id, turn, role, text); ``copies`` says how often it came. Null texts count
     as empty. Null conversation ids or turns are messages without place: they stay, unlinked, and are ordered
-    as Spark orders nulls. Messages of one turn are ordered by role and text's hash. ``position`` counts from 0
+    as Spark orders nulls. Messages of one turn are ordered by role and text. ``position`` counts from 0
     within the conversation. An empty table gives an empty result; other columns are ignored.
     """
     rows = pick(conversations, "conv_id", "turn", "role", "text").withColumn("text", F.coalesce("text", F.lit("")))
@@ -114,27 +136,23 @@ def reply_ordered(conversations: DataFrame) -> DataFrame:
     links = materialize(link_quotes(messages.drop("copies", "role")), "quotes")
     roots = thread_roots(links.where("reply_to is not null"))
     placed = (
-        messages.join(links, ["conv_id", "turn"], "left")
+        messages.drop("message")
+        .join(links, ["conv_id", "turn"], "left")
         .join(roots, ["conv_id", "turn"], "left")
         .withColumn("root", F.coalesce("root", "turn"))
-        .withColumn("block", F.floor(F.col("root") / BLOCK_TURNS))
+        .withColumn("block", F.floor(F.col("turn") / BLOCK_TURNS))
         .withColumn("role_order", F.coalesce("role", F.lit("")))
     )
-    blocks = placed.groupBy("conv_id", "block").agg(F.count("*").alias("n"))
-    before = blocks.select(
-        "conv_id",
-        "block",
-        (F.sum("n").over(Window.partitionBy("conv_id").orderBy("block")) - F.col("n")).alias("before"),
-    )
-    within = Window.partitionBy("conv_id", "block").orderBy("root", "turn", "role_order", "message")
+    before = rows_before(placed)
+    within = Window.partitionBy("conv_id", "root", "block").orderBy("turn", "role_order", "role", "text")
     placed = placed.withColumn("place", F.row_number().over(within) - 1)
-    same = placed["conv_id"].eqNullSafe(before["conv_id"]) & placed["block"].eqNullSafe(before["block"])
+    same = reduce(and_, (placed[c].eqNullSafe(before[c]) for c in ("conv_id", "root", "block")))
     return placed.join(before, same).select(
         placed["conv_id"],
         "turn",
         "role",
         "reply_to",
-        "root",
+        placed["root"],
         (F.col("before") + F.col("place")).cast("long").alias("position"),
         F.coalesce("n_passages", F.lit(0)).cast("long").alias("n_passages"),
         F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"),
