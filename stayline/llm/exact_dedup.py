@@ -159,4 +159,4 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_duplicates(table(spark, sf_dir, "documents"))
+    return exact_duplicates(table(spark, sf_dir, "documents")).drop("chain")  # SQL has no XXH64 to tell chains by

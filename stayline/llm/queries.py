@@ -11,8 +11,11 @@ from .quality_rules import op4_quality_rules
 from .quotes import op9_quote_linking
 from .secrets import op6_secret_ledger
 from .simhash import op1_simhash_near_dedup
+from .sql import ORACLE_SQL
 from .toxicity import op3_toxicity_nb_ngrams
 
+__all__ = ["ORACLE_SQL", "QUERIES"]
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -28,5 +31,3 @@ QUERIES = {
         op10_exact_dedup,
     )
 }
-
-ORACLE_SQL: dict[str, str] = {}

@@ -2,10 +2,13 @@ import re
 from collections import Counter
 from hashlib import sha256
 
+import duckdb
 import pytest
+from oracle import compare, connect
 from pyspark.sql import functions as F
 from stayline.llm import pii, quality_model, quality_rules, quotes, secrets, toxicity
 from stayline.llm.common import new_folder
+from stayline.llm.queries import ORACLE_SQL, QUERIES
 
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 
@@ -248,3 +251,32 @@ def test_conversations_without_quotes_stay(spark):
     for r in rows:
         places[r.conv_id] += 1
     assert {(r.conv_id, r.position) for r in rows} == {(c, i) for c, n in places.items() for i in range(n)}
+
+
+def test_a_conversation_that_answers_one_message(spark):
+    rows = [(9, i, "u", f"> root line\nreply {i}" if i else "root line") for i in range(3000)]
+    got = quotes.reply_ordered(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert {(r.turn, r.position, r.root) for r in got} == {(i, i, 0) for i in range(3000)}
+
+
+# --- SQL ---------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_queries_match_sql(spark, name):
+    sf_dir = "/root/testdata/sf0.001"
+    assert compare(QUERIES[name](spark, sf_dir), ORACLE_SQL[name], connect(sf_dir)) is None
+
+
+def test_sql_links_the_same_quotes(spark):
+    df = spark.createDataFrame(ROWS, "conv_id long, turn long, role string, text string")
+    con = duckdb.connect()
+    con.register("conversations", df.toArrow())
+    assert compare(quotes.reply_ordered(df), ORACLE_SQL["op9_quote_linking"], con) is None
+
+
+def test_sql_finds_the_same_secrets(spark):
+    df = spark.createDataFrame(list(enumerate([*SECRETS, None, "", SECRETS[0]])), "doc_id long, text string")
+    con = duckdb.connect()
+    con.register("documents", df.toArrow())
+    assert compare(secrets.find_secrets(df), ORACLE_SQL["op6_secret_ledger"], con) is None
