@@ -26,6 +26,8 @@ LEAST_DOCS = 4
 SMOOTHING = 1.0
 #: Ridge penalty of the regression; rare n-grams of few documents should not be learned by heart.
 L2 = 3e-4
+#: A missed toxic row counts as much as this many false alarms; so 0.5 is reached where one in 5 rows is toxic.
+TOXIC_COST = 4.0
 #: Characters that are hashed at once (bounded memory for very long texts).
 PIECE = 1 << 19
 
@@ -66,7 +68,9 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
+def fit_toxicity(
+    docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", cost: float = TOXIC_COST
+) -> ToxicityModel:
     """Learns from labelled rows that are not held out; rows with a null id or label teach nothing.
 
     Labels that disagree about an id count as toxic. With one class only, the model scores its share.
@@ -137,7 +141,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_co
     sample_rows = texts.mapInArrow(encode, "toxic int, cols array<int>").collect()  # bounded, as the sample is
     sample_rows.sort(key=lambda r: (r.toxic, r.cols))
     y = np.array([r.toxic for r in sample_rows], float)
-    weight = np.where(y == 1, share / n1, (1 - share) / n0)  # classes weigh as among all labels
+    toxic = cost * share / (cost * share + 1 - share)
+    weight = np.where(y == 1, toxic / n1, (1 - toxic) / n0)  # classes weigh as among all labels, toxic ones by their cost
     coef, bias = fit_logistic([r.cols for r in sample_rows], y, weight, len(slots), l2=L2, scale=ratio)
     weights = coef * ratio
     used = np.flatnonzero(np.abs(weights) > 1e-4)
