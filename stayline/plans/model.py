@@ -33,6 +33,19 @@ def fitted(spark, sf_dir):
     return C.cox_fit(matrix, specs, CFG), matrix, specs
 
 
+@query()
+def cox_fit(spark, sf_dir):
+    """Coefficients of the plain fit and of the fit stratified by plan tier."""
+    plain, matrix, specs = fitted(spark, sf_dir)
+    models = (plain, C.cox_fit(matrix, specs, CFG, strata="plan_tier"))
+    rows = [
+        (m.strata, c, beta, mean, sd, m.n, m.n_events)
+        for m in models
+        for c, beta, mean, sd in zip(m.columns, m.beta, m.mean, m.sd)
+    ]
+    return spark.createDataFrame(rows, "strata string, column string, coefficient double, mean double, sd double, n long, n_events long")
+
+
 @query()
 def hazard_ratios(spark, sf_dir):
     return C.hazard_ratios(spark, fitted(spark, sf_dir)[0])

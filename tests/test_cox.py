@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from stayline.operators import cox as C
 from stayline.operators import survival as M
+from stayline.plans.model import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -63,6 +64,14 @@ def test_stratified_fit_matches_rows(cohort):
     assert model.columns == ["a"] and np.allclose(model.beta, brute_fit(time, event, x[:, :1], strata), atol=1e-6)
 
 
+def test_fit_query_has_a_plain_and_a_stratified_fit(spark):
+    rows = QUERIES["cox_fit"](spark, "/root/testdata/sf0.001").collect()
+    plain = {r.column for r in rows if r.strata is None}
+    stratified = {r.column for r in rows if r.strata == "plan_tier"}
+    assert stratified and stratified < plain and not any(c.startswith("plan_tier") for c in stratified)
+    assert all(r.sd > 0 and math.isfinite(r.coefficient) for r in rows)
+
+
 def test_scores_contributions_and_forward_agree(spark, cohort, tmp_path):
     matrix, specs, *_ = cohort
     model = C.cox_fit(matrix, specs)
