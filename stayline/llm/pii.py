@@ -29,8 +29,8 @@ PHONE = re.compile(r"(?<![\w.+-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\) ?|\d{2,4}[ .
 IPV4 = re.compile(r"(?<![\w.-])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\w-]|\.\d)")
 SOCIAL = re.compile(r"(?<![\w.-])\d{3}-\d{2}-\d{4}(?![\w-]|\.\d)")
 DATE = re.compile(r"(?<![\w./-])(?:\d{4}([-/.])\d{2}\1\d{2}|\d{2}([-/.])\d{2}\2\d{4})(?![\w/-]|\.\d)")
-#: One cheap look for anything that the patterns above could start on.
-HINT = re.compile(r"@|\d[\d ().-]{6}")
+#: One cheap look for anything that the patterns above could match: each match holds an @ or a digit and six of these.
+HINT = re.compile(r"@|\d[\d ()./-]{6}")
 
 
 class Feistel:

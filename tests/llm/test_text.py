@@ -204,6 +204,30 @@ def test_pseudonyms_keep_formats_and_can_be_undone():
     assert pii.pseudonymise_text(new, f, -1)[0] == text
 
 
+ALONE = {
+    "email": ["a@b.co", "ann.lee+x@mail.example.org"],
+    "card": ["4111111111111111", "4111-1111-1111-1111", "4222222222222"],
+    "phone": ["(12)345 678", "12 345 678", "12.345.678", "+12345678", "+1 (212) 555-0199"],
+    "social": ["123-45-6789"],
+    "ipv4": ["1.2.3.4", "192.168.10.200"],
+    "date": ["31/12/1999", "2024/05/12", "12/31/1999", "31.12.1999", "1999-12-31"],
+}
+
+
+@pytest.mark.parametrize("kind", sorted(ALONE))
+def test_a_private_value_alone_in_a_text_is_replaced(kind):
+    f = pii.Feistel(b"key")
+    pattern, rename = {k: (p, r) for k, p, r in pii.RULES}[kind]
+    for value in ALONE[kind]:
+        text = f"born {value} in Rome"
+        assert pattern.search(text)[0] == value  # no pre-filter here
+        want = text.replace(value, rename(value, f, 1))
+        assert want != text
+        assert pii.pseudonymise_text(text, f) == (want, [(kind, 5, 5 + len(value))])
+        assert pii.pseudonymise_text(f"{text}, x@y.org", f)[0].startswith(want)
+        assert pii.pseudonymise_text(want, f, -1)[0] == text
+
+
 def test_pseudonyms_of_documents(spark, real_docs, odd_docs, no_docs):
     done = pii.pseudonymise(real_docs)
     both = real_docs.select("doc_id", F.col("text").alias("old")).join(done, "doc_id").collect()
