@@ -6,6 +6,7 @@ stage's docs. All but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,30 +14,50 @@ from stayline.llm.common import materialize, table
 from stayline.llm.exact_dedup import exact_duplicates
 from stayline.llm.packing import pack_documents, tokenizer_file
 from stayline.llm.pii import pseudonymise_rows
-from stayline.llm.quality_rules import quality_rules
+from stayline.llm.quality_rules import kept_rows
 from stayline.llm.simhash import near_duplicates
 
 
-def _keep(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is in ``kept``, one row for each id that repeats itself exactly."""
-    same = docs["doc_id"].eqNullSafe(kept["doc_id"])
-    return docs.join(kept, same, "left_semi")
+def _with_rows(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a key that no two rows share, and the key's name; keys sort by id (null last), then content.
+
+    File and index tell rows apart that are alike in all columns. Tables that are not files are written first.
+    """
+    name = "row"
+    while name in docs.columns:
+        name += "_"
+    try:
+        docs.select("_metadata.row_index")
+    except AnalysisException:
+        docs = materialize(docs, "rows")
+    content = F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")]
+    key = F.struct(F.col("doc_id").isNull().alias("blank"), F.col("doc_id").alias("id"), content.alias("content"), *place)
+    return docs.withColumn(name, key), name
+
+
+def _keep(rows: DataFrame, name: str, kept: DataFrame) -> DataFrame:
+    """The rows whose key is ``kept``'s doc_id, each by itself: equal ids don't readmit each other."""
+    keys = kept.select(F.col("doc_id.file").alias("file"), F.col("doc_id.at").alias("at"))
+    same = (rows[name]["file"] == keys["file"]) & (rows[name]["at"] == keys["at"])
+    return rows.join(keys, same, "left_semi").drop(name)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression bands or the base rules reject go."""
-    return _keep(docs, quality_rules(docs).where("kept").select("doc_id"))
+    return kept_rows(docs)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts stays."""
-    return _keep(docs, exact_duplicates(docs).where("kept").select("doc_id"))
+    """One row of each group of equal texts stays, whether or not ids are null or repeated."""
+    rows, name = _with_rows(docs)
+    return _keep(rows, name, exact_duplicates(rows, name).where("kept").select("doc_id"))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints stays: the one with the smallest id."""
-    groups = near_duplicates(docs)
-    return _keep(docs, groups.where("component_id is null or doc_id = component_id").select("doc_id"))
+    """One row of each group of linked fingerprints stays: the one with the smallest id."""
+    rows, name = _with_rows(docs)
+    return _keep(rows, name, near_duplicates(rows, name).where("doc_id.file = component_id.file and doc_id.at = component_id.at").select("doc_id"))
 
 
 def private_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

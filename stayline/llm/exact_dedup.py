@@ -141,11 +141,11 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     pages, entries = build_index(docs, id_col, text_col, **index)
     totals = pages.groupBy("key", "sha").agg(
-        F.count("*").alias("n"), F.max(F.struct("n_cp", F.bitwise_not("doc_id").alias("late"))).alias("best")
+        F.count("*").alias("n"), F.min(F.struct(-F.col("n_cp"), F.col("doc_id").isNull(), "doc_id")).alias("best")
     )
     groups = (
         totals.join(entries, ["key", "sha"])
-        .withColumn("keep_id", F.bitwise_not("best.late"))
+        .withColumn("keep_id", F.col("best.doc_id"))
         .select("key", "sha", "keep_id", "chain", F.col("n").alias("group_size"))
     )
     return pages.select("doc_id", "key", "sha").join(groups, ["key", "sha"]).select(

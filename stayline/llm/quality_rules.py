@@ -136,5 +136,24 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return rows.mapInArrow(run, f"doc_id {kind}, {_SCHEMA}")
 
 
+def kept_rows(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all columns, that ``quality_rules`` keeps; each row is judged by its own text."""
+    import pyarrow as pa
+
+    small_batches(docs.sparkSession)
+    at = docs.columns.index(text_col)
+    rows = docs.withColumn(text_col, F.col(f"`{text_col}`").cast("string"))
+
+    def run(batches):
+        import zstandard
+
+        compress = zstandard.ZstdCompressor(level=LEVEL, write_checksum=False).compress
+        kept = [part.split()[0] for part in _SCHEMA.split(", ")].index("kept")
+        for b in batches:
+            yield b.filter(pa.array([measure(t, compress)[kept] for t in b.column(at).to_pylist()], pa.bool_()))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))

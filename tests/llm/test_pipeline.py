@@ -7,6 +7,7 @@ import __spark_entry__ as entry
 import corpus_pipeline
 import public_tokenizers
 import zstandard
+from pyspark.sql import functions as F
 from stayline.llm import pii, quality_rules
 
 sys.path.insert(0, __file__.rsplit("/", 1)[0])
@@ -38,6 +39,43 @@ def test_pipeline_matches_brute_force(spark):
     assert dict(got) == want
 
 
+def test_null_and_repeated_ids_are_judged_by_row(spark, real_docs, odd_docs, tmp_path):
+    """Rows of one id, or of none, don't readmit each other, and one row of each group of copies stays."""
+    compress = zstandard.ZstdCompressor(level=quality_rules.LEVEL, write_checksum=False).compress
+    good = sorted((r.text for r in real_docs.collect() if quality_rules.measure(r.text, compress)[6]), key=lambda t: (len(t), t))
+    a, b, c = good[-1], good[-3], good[-5]
+    near = a + " x"
+    rows = [(20, a), (20, a), (20, b), (None, c), (None, c), (None, "too short"), (21, "too short"), (21, c), (20, a.replace(" ", "  ")), (None, near), (22, b)]
+    more = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], odd_docs.schema.simpleString()[7:-1].split(",fp")[0])
+    for n in odd_docs.columns[5:]:
+        more = more.withColumn(n, F.lit("clash"))
+    odd_docs.union(more).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    want = [(r.doc_id, r.text) for r in docs.collect() if quality_rules.measure(r.text, compress)[6]]
+    docs = corpus_pipeline.materialize(corpus_pipeline.quality_stage(spark, docs, ""), "odd-quality")
+    assert Counter((r.doc_id, r.text) for r in docs.collect()) == Counter(want)
+    assert (None, "too short") not in want and len(want) > 5
+
+    def one_each(rows, group, rank):
+        best = {}
+        for r in rows:
+            k = group(r)
+            if k not in best or rank(r) < rank(best[k]):
+                best[k] = r
+        return list(best.values())
+
+    late = lambda r: (r[0] is None, r[0] or 0)
+    want = one_each(want, lambda r: "".join(x for x in r[1] if x not in " \t\n\x0b\x0c\r"), lambda r: (-len(r[1]), *late(r)))
+    docs = corpus_pipeline.materialize(corpus_pipeline.exact_stage(spark, docs, ""), "odd-exact")
+    assert Counter((r.doc_id, r.text) for r in docs.collect()) == Counter(want)
+
+    prints = [(r, brute_fingerprint(r[1])) for r in want]
+    root = brute_components([(k, fp) for k, (_, fp) in enumerate(prints)])
+    want = [r for r, _ in one_each(prints, lambda x: root[x[1]], lambda x: late(x[0]))]
+    got = corpus_pipeline.near_stage(spark, docs, "").collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter(want)
+
+
 def test_stages_return_the_columns_of_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
