@@ -9,6 +9,7 @@ keeps its own name.
 
 from __future__ import annotations
 
+import bisect
 import datetime
 import re
 from collections.abc import Callable
@@ -24,11 +25,14 @@ KEY = b"pseudonyms of the test tables"
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
 EMAIL = re.compile(r"(?<![\w.+%-])[\w.+%-]+@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}")
-CARD = re.compile(r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-]|\.\d)")
+#: A run of digit groups: the cards in it are found by ``card_spans`` and ``cards_among``.
+CARD = re.compile(r"(?<![\w.-])\d(?:[ -]?\d){12,}(?![\w-]|\.\d)")
 PHONE = re.compile(r"(?<![\w.+-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\) ?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?![\w-]|\.\d)|(?<![\w.+-])\+\d{8,15}(?!\w)")
 IPV4 = re.compile(r"(?<![\w.-])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\w-]|\.\d)")
 SOCIAL = re.compile(r"(?<![\w.-])\d{3}-\d{2}-\d{4}(?![\w-]|\.\d)")
-DATE = re.compile(r"(?<![\w./-])(?:\d{4}([-/.])\d{2}\1\d{2}|\d{2}([-/.])\d{2}\2\d{4})(?![\w/-]|\.\d)")
+DATE = re.compile(r"(?<![\w./-])(?:\d{4}([-/.])\d{2}\1\d{2}|\d{2}([-/.])\d{2}\2\d{4})(?!(?![Tt]\d)[\w/-]|\.\d)")
+#: Group lengths that only cards have; one group of 13 to 19 digits is a layout too.
+LAYOUTS = ((4, 4, 4, 4), (4, 6, 5), (4, 6, 4))
 #: One cheap look for anything that the patterns above could match: each match holds an @ or a digit and six of these.
 HINT = re.compile(r"@|\d[\d ()./-]{6}")
 
@@ -99,12 +103,64 @@ def _digits(value: str) -> str:
     return "".join(c for c in value if c in "0123456789")
 
 
+def is_card(d: str) -> bool:
+    return 13 <= len(d) <= 19 and luhn_digit(d[:-1]) == d[-1] and len(set(d)) > 1
+
+
 def card(value: str, f: Feistel, by: int) -> str | None:
     d = _digits(value)
-    if luhn_digit(d[:-1]) != d[-1] or len(set(d)) == 1:
+    if not is_card(d):
         return None
-    body = f"{f.step('card', 10 ** (len(d) - 1), int(d[:-1]), by):0{len(d) - 1}d}"
-    return _fill(value, body + luhn_digit(body))
+    while True:  # past the one name of equal digits, which is no card
+        body = f"{f.step('card', 10 ** (len(d) - 1), int(d[:-1]), by):0{len(d) - 1}d}"
+        d = body + luhn_digit(body)
+        if is_card(d):
+            return _fill(value, d)
+
+
+def card_spans(run: str) -> list[tuple[int, int]]:
+    """Where cards may stand in a run of digit groups, in the order to try; only the groups' lengths decide.
+
+    First the layouts of cards, from any group on. Then the run is cut into pieces of at most 19 digits, and
+    each piece is tried whole and by its shorter ends.
+    """
+    groups = [m.span() for m in re.finditer(r"\d+", run)]
+    sizes = [e - s for s, e in groups]
+    spans = []
+    for i, size in enumerate(sizes):
+        if 13 <= size <= 19:
+            spans.append(groups[i])
+        for layout in LAYOUTS:
+            if tuple(sizes[i : i + len(layout)]) == layout:
+                spans.append((groups[i][0], groups[i + len(layout) - 1][1]))
+    i = 0
+    while i < len(sizes):
+        total, j, ends = sizes[i], i + 1, []
+        while j < len(sizes) and total + sizes[j] <= 19:
+            if total >= 13:
+                ends.append(j)
+            total += sizes[j]
+            j += 1
+        if 13 <= total <= 19:
+            ends.append(j)
+        spans += [(groups[i][0], groups[k - 1][1]) for k in reversed(ends)]
+        i = j if ends else i + 1
+    return list(dict.fromkeys(spans))
+
+
+def cards_among(run: str, spans: list[tuple[int, int]]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """The spans with a right check digit, earlier ones winning overlaps; and the refused ones that no earlier one met."""
+    taken = bytearray(len(run))
+    got, refused = [], []
+    for s, e in spans:
+        if any(taken[s:e]):
+            continue
+        if is_card(_digits(run[s:e])):
+            taken[s:e] = b"\x01" * (e - s)
+            got.append((s, e))
+        else:
+            refused.append((s, e))
+    return got, refused
 
 
 def phone(value: str, f: Feistel, by: int) -> str | None:
@@ -203,20 +259,70 @@ RULES: tuple[tuple[str, re.Pattern, Callable], ...] = (
 )
 
 
+def _meets(found: list[tuple[int, int, str, str]], start: int, end: int) -> bool:
+    return any(s < end and start < e for s, e, _, _ in found)
+
+
+class _Run:
+    """A run of digit groups and the values in it.
+
+    A new value must leave the run's cards where they are, or they could not be undone: it takes further steps
+    until that is so. Values are undone in reverse order, so that each finds what it was named beside.
+    """
+
+    def __init__(self, at: int, text: str, spans: list[tuple[int, int]]):
+        self.at, self.text = at, text
+        self.cards, refused = cards_among(text, spans)
+        self.refused = sorted(refused)
+        self.jobs: list[tuple[int, int, int, Callable]] = []
+
+    def renamed(self, text: str, f: Feistel, by: int):
+        """``(job, new value)`` of each value."""
+        now = list(self.text)
+        for k, s, e, rename in self.jobs if by == 1 else reversed(self.jobs):
+            value = text[self.at + s : self.at + e]
+            lo, hi = max(0, s), min(e, len(now))
+            first = bisect.bisect_left(self.refused, (lo - 37,))  # 19 digits and 18 separators are the longest span
+            near = [x for x in self.refused[first : bisect.bisect_left(self.refused, (hi,))] if x[1] > lo]
+            while True:
+                value = rename(value, f, by)
+                now[lo:hi] = value[lo - s : hi - s]
+                if not any(is_card(_digits("".join(now[x:y]))) for x, y in near):
+                    break
+            yield k, value
+
+
 def pseudonymise_text(text: str, f: Feistel, by: int = 1) -> tuple[str, list[tuple[str, int, int]]]:
     """The text with pseudonyms, and ``(kind, start, end)`` in code points of the original; earlier rules win overlaps."""
     if not HINT.search(text):
         return text, []
     found: list[tuple[int, int, str, str]] = []
+    runs: list[_Run] = []
     for kind, pattern, rename in RULES:
         if kind == "email" and "@" not in text:
             continue
         for m in pattern.finditer(text):
-            if any(s < m.end() and m.start() < e for s, e, _, _ in found):
+            if kind == "card":
+                beside = [x for x in found if x[2] != "card" and x[0] < m.end() and m.start() < x[1]]
+                run = _Run(m.start(), m[0], [(s, e) for s, e in card_spans(m[0]) if not _meets(beside, m.start() + s, m.start() + e)])
+                runs.append(run)
+                for s, e in run.cards:
+                    run.jobs.append((len(found), s, e, card))
+                    found.append((m.start() + s, m.start() + e, kind, m[0][s:e]))
+                continue
+            if _meets(found, m.start(), m.end()):
                 continue
             new = rename(m[0], f, by)
-            if new is not None:
-                found.append((m.start(), m.end(), kind, new))
+            if new is None:
+                continue
+            k = bisect.bisect_left(runs, m.end(), key=lambda r: r.at) - 1  # runs are disjoint, and no match meets two
+            if k >= 0 and m.start() < runs[k].at + len(runs[k].text):
+                run = runs[k]
+                run.jobs.append((len(found), m.start() - run.at, m.end() - run.at, rename))
+            found.append((m.start(), m.end(), kind, new))
+    for run in runs:
+        for k, new in run.renamed(text, f, by):
+            found[k] = (*found[k][:3], new)
     found.sort()
     out, at = [], 0
     for s, e, _, new in found:

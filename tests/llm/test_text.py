@@ -228,6 +228,52 @@ def test_a_private_value_alone_in_a_text_is_replaced(kind):
         assert pii.pseudonymise_text(want, f, -1)[0] == text
 
 
+@pytest.mark.parametrize("card", ["4111 1111 1111 1111", "4111111111111111", "4111-1111-1111-1111", "3782 822463 10005"])
+@pytest.mark.parametrize("text", ["{} 12/27", "{} 20 times", "{} 123", "{} 2027 12 555", "1 {}", "no 20 {}, 7", "{} {} 12", "{}-123", "{} 1.5"])
+def test_a_card_beside_other_digits_is_the_same_card(card, text):
+    for k in range(20):  # some names have to take further steps
+        f = pii.Feistel(b"key %d" % k)
+        alone = pii.pseudonymise_text(card, f)[0]
+        new, spans = pii.pseudonymise_text(text.replace("{}", card), f)
+        assert new == text.replace("{}", alone) and {x for x, _, _ in spans} == {"card"}
+        assert pii.pseudonymise_text(new, f, -1)[0] == text.replace("{}", card)
+
+
+def test_runs_of_digits_can_be_undone():
+    import random
+
+    rng = random.Random(2)
+    for k in range(3000):
+        sizes = rng.choice([[3, 3, 4] * 3, [4] * rng.randint(4, 8), [rng.randint(1, 8) for _ in range(rng.randint(2, 9))], [4, 4, 4, 4, 3], [19, 4], [3, 2, 4, 4, 4, 4]])
+        groups = ["".join(rng.choice("0123456789") for _ in range(n)) for n in sizes]
+        text = "".join(g + rng.choice(["  ", " ", " ", "-", " x", ".", "/"]) for g in groups)
+        f = pii.Feistel(b"%d" % k)
+        new, spans = pii.pseudonymise_text(text, f)
+        back, again = pii.pseudonymise_text(new, f, -1)
+        assert (back, again) == (text, spans), text
+
+
+def test_long_runs_take_time_in_proportion():
+    import random
+    import time
+
+    rng = random.Random(2)
+    text = " ".join(str(rng.randint(1, 99999)) for _ in range(20_000))
+    start = time.process_time()
+    new = pii.pseudonymise_text(text, pii.Feistel(b"k"))[0]
+    assert new != text and time.process_time() - start < 30
+
+
+def test_the_date_of_a_time_stamp_is_replaced():
+    f = pii.Feistel(b"key")
+    for date in ("2024-05-12", "2024/05/12", "12.05.2024"):
+        new = pii.pseudonymise_text(date, f)[0]
+        for rest in ("T08:30:00Z", "t08:30"):
+            assert pii.pseudonymise_text(f"at {date}{rest}.", f) == (f"at {new}{rest}.", [("date", 3, 13)])
+        for whole in (f"{date}x", f"{date}Tuesday"):
+            assert pii.pseudonymise_text(whole, f)[0] == whole
+
+
 def test_pseudonyms_of_documents(spark, real_docs, odd_docs, no_docs):
     done = pii.pseudonymise(real_docs)
     both = real_docs.select("doc_id", F.col("text").alias("old")).join(done, "doc_id").collect()
