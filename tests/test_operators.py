@@ -140,6 +140,75 @@ def test_csv_keeps_ids_and_order(spark, tmp_path):
         tables.read_table(spark, "x.docx")
 
 
+def brute_collapse(threads, links):
+    """All threads of a customer in one loop over pairs; rows are (thread, customer, created, hint, tokens)."""
+    gone = {}
+    info = {t: (-n, at, t) for t, _, at, _, n in threads}
+    order = sorted(threads, key=lambda r: (r[2], r[0]))
+
+    def join(x, y):
+        keep, drop = sorted((x, y), key=info.get)
+        gone[drop] = keep
+
+    for t, _, _, target, _ in order:
+        if t in gone or not target:
+            continue
+        seen = {t}
+        while target in gone and target not in seen:
+            seen.add(target)
+            target = gone[target]
+        if target != t and {(t, target), (target, t)} & links:
+            join(t, target)
+    names = [r[0] for r in order]
+    for k, x in enumerate(names):
+        for y in names[k + 1 :]:
+            if x not in gone and y not in gone and (x, y) in links:
+                join(x, y)
+    return gone
+
+
+def test_duplicates_settle_by_links(spark):
+    import random
+
+    rng = random.Random(4)
+    n = 240
+    at = lambda k: f"2024-01-{1 + k // 24:02d} {k % 24:02d}:00:00"
+    threads = [(f"t{rng.random()}", "c", at(k), None, rng.randint(1, 4)) for k in range(n)]
+    links = {(threads[i][0], threads[j][0]) for i, j in (sorted(rng.sample(range(g, min(n, g + 8)), 2)) for g in rng.choices(range(0, n - 8, 4), k=250))}
+    hints = {**{rng.choice(p): q for p in links for q in p if rng.random() < 0.2}, **{rng.choice(threads)[0]: rng.choice(threads)[0] for _ in range(20)}}
+    threads = [(t, c, a, hints.get(t), k) for t, c, a, _, k in threads]
+    df = spark.createDataFrame(threads, "thread_id string, customer_id string, created_at string, duplicate_of string, tokens int")
+    pairs = spark.createDataFrame([("c", *p) for p in links], "customer_id string, a string, b string")
+    want = brute_collapse(threads, links)
+    assert len(want) > 50
+    assert {r.thread_id: r.duplicate_of for r in T.collapse_duplicates(df, pairs, T.SupportConfig()).collect()} == want
+
+
+def test_threads_without_links_enter_no_group(spark):
+    """A busy customer: one chain of 20,000 threads with two links; the group's Python sees the linked rows only."""
+    seen = spark.sparkContext.accumulator(0)
+
+    hours = spark.range(20_000).selectExpr("concat('t', id) as thread_id", "'c' as customer_id", "cast(timestamp_seconds(1600000000 + id * 3600) as string) as created_at", "cast(null as string) as duplicate_of", "1 as tokens")
+    pairs = spark.createDataFrame([("c", "t5", "t9"), ("c", "t19000", "t19001")], "customer_id string, a string, b string")
+    from pyspark.sql.pandas.group_ops import PandasGroupedOpsMixin
+
+    old = PandasGroupedOpsMixin.applyInPandas
+
+    def spy(self, f, schema):
+        def g(pdf):
+            seen.add(len(pdf))
+            return f(pdf)
+
+        return old(self, g, schema)
+
+    PandasGroupedOpsMixin.applyInPandas = spy
+    try:
+        got = {r.thread_id: r.duplicate_of for r in T.collapse_duplicates(hours, pairs, T.SupportConfig()).collect()}
+    finally:
+        PandasGroupedOpsMixin.applyInPandas = old
+    assert got == {"t9": "t5", "t19001": "t19000"} and seen.value == 4
+
+
 def test_threads_from_json(spark, tmp_path):
     (tmp_path / "t.json").write_text('[{"thread_id": "t1", "customer_id": "c", "messages": [{"message_id": "m", "timestamp": "2024-01-01T00:00:00Z", "role": "customer", "text": "x"}]}]')
     threads, msgs = tables.flatten_threads(tables.read_threads(spark, str(tmp_path / "t.json")))
