@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.components import write_and_read
 from ..functions.scalars import clip
 from ..functions.stats import normal_p, t_p
 from .survival import (
@@ -372,31 +373,78 @@ def c_index(df: DataFrame, bucket_rows: int = 20_000) -> DataFrame:
     return one.withColumn("c_index", F.try_divide(F.col("concordant") + 0.5 * F.col("tied"), F.col("pairs")))
 
 
-def c_index_bootstrap(df: DataFrame, rounds: int = 200, seed: int = 7, bins: int = 64) -> DataFrame:
-    """One row ``(lo, hi)``: percentiles over rounds of Poisson weights hashed from (seed, round, id), on score bins."""
-    bounds = sorted(set(df.approxQuantile("score", [i / bins for i in range(1, bins)], 0.001)))
-    binned = df.withColumn("bin", F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<double>"), lambda b: b <= F.col("score"))))
-    drawn = binned.select("customer_id", "duration", "event", "bin", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"))
+def concordance_inside(key, score, n) -> float:
+    """Weighted concordant pairs and half of the tied ones, from arrays of cells sorted by score.
+
+    ``key`` is twice the day, plus 1 where no event is seen: a cell outlives an event if its key is larger.
+    Halves of the scores are counted against each other by running sums over keys, then each by itself.
+    """
+    import numpy as np
+
+    def against(low, high):
+        order = np.argsort(key[low], kind="stable")
+        left = np.concatenate([np.cumsum(n[low][order][::-1])[::-1], [0]])
+        hit = key[high] % 2 == 0
+        return float((n[high][hit] * left[np.searchsorted(key[low][order], key[high][hit], side="right")]).sum())
+
+    starts = np.concatenate([[0], np.flatnonzero(np.diff(score)) + 1, [len(score)]])
+    total, waiting = 0.0, [(0, len(starts) - 1)]
+    while waiting:
+        a, b = waiting.pop()
+        if b - a == 1:
+            one = slice(starts[a], starts[b])
+            total += 0.5 * against(one, one)
+        elif b > a:
+            m = (a + b) // 2
+            total += against(slice(starts[a], starts[m]), slice(starts[m], starts[b]))
+            waiting += [(a, m), (m, b)]
+    return total
+
+
+def c_index_bootstrap(df: DataFrame, rounds: int = 200, seed: int = 7, bucket_rows: int = 20_000) -> DataFrame:
+    """One row ``(lo, hi)``: percentiles over rounds of Poisson weights hashed from (seed, round, id), on exact scores.
+
+    As in ``c_index``, pairs across score buckets follow from running counts of (bucket, day) cells, and pairs
+    within a bucket are compared in a task of the round and bucket.
+    """
+    n = df.count()
+    k = max(1, min(1_000, n // bucket_rows))
+    bounds = sorted(set(df.approxQuantile("score", [i / k for i in range(1, k)], 0.1 / k))) if k > 1 else []
+    bins = len(bounds) + 1
+    bucketed = df.withColumn("bucket", F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<double>"), lambda b: b <= F.col("score"))))
+    drawn = bucketed.select("customer_id", "duration", "event", "score", "bucket", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"))
     u = F.pmod(F.xxhash64(F.lit(seed), "round", "customer_id"), F.lit(1 << 30)) / float(1 << 30)
     weight, total = F.lit(0), 0.0
-    for k in range(8):
-        total += math.exp(-1) / math.factorial(k)
+    for j in range(8):
+        total += math.exp(-1) / math.factorial(j)
         weight = weight + (u >= total).cast("int")
-    cells = drawn.withColumn("w", weight).groupBy("round", "bin", "duration", "event").agg(F.sum("w").alias("n"))
+    weighted = drawn.withColumn("w", weight).where("w > 0").groupBy("round", "bucket", "score", "duration", "event").agg(F.sum("w").alias("n"))
+    cells = write_and_read(weighted, "bootstrap")
 
-    def one(pdf):
+    def across(pdf):
         import numpy as np
         import pandas as pd
 
         days, at = np.unique(pdf.duration, return_inverse=True)
         grid = np.zeros((2, bins, len(days)))
-        np.add.at(grid, (pdf.event.to_numpy(), pdf.bin.to_numpy(), at), pdf.n.to_numpy())
+        np.add.at(grid, (pdf.event.to_numpy(), pdf.bucket.to_numpy(), at), pdf.n.to_numpy())
         after = np.cumsum((grid[0] + grid[1])[:, ::-1], 1)[:, ::-1] - grid[1]
         below = np.cumsum(after, 0) - after
-        good, pairs = (grid[1] * (below + 0.5 * after)).sum(), (grid[1] * after.sum(0)).sum()
-        return pd.DataFrame({"c": [good / pairs if pairs else float("nan")]})
+        return pd.DataFrame({"round": [pdf["round"].iloc[0]], "good": [(grid[1] * below).sum()], "pairs": [(grid[1] * after.sum(0)).sum()]})
+
+    def inside(pdf):
+        import numpy as np
+        import pandas as pd
+
+        pdf = pdf.sort_values("score")
+        key = 2 * np.unique(pdf.duration, return_inverse=True)[1] + (pdf.event.to_numpy() == 0)
+        good = concordance_inside(key, pdf.score.to_numpy(), pdf.n.to_numpy())
+        return pd.DataFrame({"round": [pdf["round"].iloc[0]], "good": [good], "pairs": [0.0]})
 
-    values = cells.groupBy("round").applyInPandas(one, "c double")
+    schema = "round int, good double, pairs double"
+    grid = cells.groupBy("round", "bucket", "duration", "event").agg(F.sum("n").alias("n"))
+    sums = grid.groupBy("round").applyInPandas(across, schema).union(cells.groupBy("round", "bucket").applyInPandas(inside, schema))
+    values = sums.groupBy("round").agg((F.sum("good") / F.nullif(F.sum("pairs"), F.lit(0.0))).alias("c"))
     return values.agg(F.percentile("c", 0.025).alias("lo"), F.percentile("c", 0.975).alias("hi"))
 
 

@@ -14,7 +14,7 @@ from .views import view
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-CFG = M.SurvivalConfig(min_customers=20, min_events=5, min_events_per_predictor=1.0, bootstrap=50)
+CFG = M.SurvivalConfig(min_customers=20, min_events=5, min_events_per_predictor=1.0)
 
 
 def query(sql: str | None = None):

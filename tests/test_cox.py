@@ -140,3 +140,29 @@ def test_dataset_version_ignores_order(spark, cohort):
     matrix = cohort[0]
     assert C.dataset_version(matrix) == C.dataset_version(matrix.repartition(7, "a"))
     assert C.dataset_version(matrix) != C.dataset_version(matrix.limit(10))
+
+
+@pytest.mark.parametrize("bucket_rows", [20_000, 40])
+def test_bootstrap_interval_matches_brute_force(spark, bucket_rows):
+    rng = np.random.default_rng(8)
+    n = 260
+    time, event = rng.integers(1, 40, n), (rng.random(n) < 0.6).astype(int)
+    score = np.round(rng.normal(0, 1, n) - 0.08 * time, 1)
+    score[:60] = 0.25  # many ties
+    df = spark.createDataFrame([(f"c{i}", float(t), int(e), float(s)) for i, (t, e, s) in enumerate(zip(time, event, score))], "customer_id string, duration double, event int, score double")
+    u = df.selectExpr("customer_id", "transform(sequence(1, 200), r -> pmod(xxhash64(7, r, customer_id), 1073741824) / 1073741824D) as u").collect()
+    u = {r.customer_id: r.u for r in u}
+    u = np.array([u[f"c{i}"] for i in range(n)])
+    steps = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(8)])
+    w = np.searchsorted(steps, u, side="right")
+    lives = (event[:, None] == 1) & ((time > time[:, None]) | ((time == time[:, None]) & (event == 0)))
+    value = 1.0 * (score[:, None] > score) + 0.5 * (score[:, None] == score)
+    c = [(w[:, r] @ (lives * value) @ w[:, r]) / (w[:, r] @ lives @ w[:, r]) for r in range(200)]
+    got = C.c_index_bootstrap(df, bucket_rows=bucket_rows).first()
+    assert (got.lo, got.hi) == pytest.approx(np.percentile(c, [2.5, 97.5]), abs=1e-12)
+
+
+def test_registered_bootstrap_has_all_rounds():
+    from stayline.plans.model import CFG
+
+    assert CFG.bootstrap == M.SurvivalConfig().bootstrap == 200
