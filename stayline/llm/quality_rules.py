@@ -24,7 +24,7 @@ WHOLE_BANDS = (
     (131072, 1.3, 4.0),
 )
 CHUNK_BYTES = 2048
-#: Chunks shorter than this (the rest at a text's end) are not judged by themselves.
+#: A shorter rest at a text's end is judged as the last bytes of this number, some of the chunk before among them.
 CHUNK_LEAST = 1024
 CHUNK_BANDS = ((CHUNK_LEAST, 1.15, 2.7), (CHUNK_BYTES, 1.2, 2.8))
 #: Largest share of judged chunks outside their band.
@@ -87,8 +87,8 @@ def measure(text: str | None, compress) -> tuple:
     low, high = band(len(raw), WHOLE_BANDS)
     judged = bad = 0
     for at in range(0, len(raw), CHUNK_BYTES):
-        chunk = raw[at : at + CHUNK_BYTES]
-        if len(chunk) >= CHUNK_LEAST:
+        chunk = raw[min(at, max(0, len(raw) - CHUNK_LEAST)) : at + CHUNK_BYTES]
+        if len(chunk) >= CHUNK_LEAST:  # a text shorter than that is judged whole
             a, b = band(len(chunk), CHUNK_BANDS)
             judged += 1
             bad += not a <= len(chunk) / len(compress(chunk)) <= b

@@ -51,6 +51,22 @@ def test_bands_keep_prose_and_reject_repetition_and_noise(spark):
     assert got[0] == "kept" and got[1] == "incompressible" and got[2] == "base" and got[3] != "kept"
 
 
+@pytest.mark.parametrize("rest", [200, 500, 800, 950, 1023])
+def test_the_rest_of_a_text_is_judged(real_docs, rest):
+    import random
+
+    import zstandard
+
+    compress = zstandard.ZstdCompressor(level=quality_rules.LEVEL, write_checksum=False).compress
+    prose = max((r.text for r in real_docs.where("lang = 'en'").collect() if quality_rules.measure(r.text, compress)[6] and r.text.isascii()), key=len)
+    rng = random.Random(1)
+    noise = "".join(chr(rng.randrange(33, 127)) for _ in range(rest))
+    for tail in [("ab" * rest)[:rest]] * (rest >= 800) + [noise] * (rest >= 950):
+        assert quality_rules.measure(prose[:2048] + tail, compress)[8] == 0.5
+    clean = quality_rules.measure(prose[: 2048 + rest], compress)
+    assert clean[8] == 0 and clean[6]
+
+
 def test_clean_documents_of_the_labels_are_kept(spark):
     sf = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
