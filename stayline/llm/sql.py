@@ -97,9 +97,10 @@ WITH docs AS (
     FROM documents),
   ranked AS (
     SELECT doc_id, text_sha256, count(*) OVER (PARTITION BY text_sha256) AS group_size,
-      first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n DESC, doc_id) AS keep_id
+      first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n DESC, doc_id) AS keep_id,
+      row_number() OVER (PARTITION BY text_sha256 ORDER BY n DESC, doc_id) AS place
     FROM docs)
-SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM ranked"""
+SELECT doc_id, keep_id, group_size, place = 1 AS kept, text_sha256 FROM ranked"""
 
 ORACLE_SQL: dict[str, str] = {
     "op6_secret_ledger": secret_spans(),

@@ -51,7 +51,7 @@ def test_near_duplicates_match_brute_force(request, name):
     assert Counter(map(tuple, got.collect())) == want
 
 
-def test_links_keep_every_component_in_dense_groups(spark):
+def test_links_are_all_pairs_in_dense_groups(spark):
     import random
 
     rng = random.Random(5)
@@ -72,18 +72,24 @@ def test_links_keep_every_component_in_dense_groups(spark):
     signed = [(fp - (1 << 64) if fp >> 63 else fp,) for _, fp in rows]
     links = [(a % (1 << 64), b % (1 << 64)) for a, b in simhash.fingerprint_links(spark.createDataFrame(signed, "fp long")).collect()]
     assert all(0 < (a ^ b).bit_count() <= 2 for a, b in links)
-    parent = {fp: fp for fp in prints}
-
-    def root(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for a, b in links:
-        parent[root(a)] = root(b)
-    for a, b in combinations(prints, 2):
-        if (a ^ b).bit_count() <= 2:
-            assert root(a) == root(b)
+    want = {frozenset(x) for x in combinations(prints, 2) if (x[0] ^ x[1]).bit_count() <= 2}
+    assert {frozenset(x) for x in links} == want and len(links) == len(want)
+    report = simhash.link_report(spark.createDataFrame(signed, "fp long")).first()
+    assert report.pairs == report.discarded + report.refuted + report.verified
+    assert report.verified >= len(want) and report.discarded > 10 * report.refuted
+
+
+def test_pivot_coordinates_are_distances(spark):
+    """The free coordinates and the bins are what the distances to the pivots say, and finer masks nest."""
+    prints = [0, -1, 1 << 62, -(1 << 63), 123456789123456789]
+    pivots = [p % (1 << 64) for p in simhash.pivots()]
+    assert len(set(pivots)) == 65 + simhash.FREE_PIVOTS
+    for fp, coords, d in simhash.pivot_table(spark.createDataFrame([(x,) for x in prints], "fp long")).collect():
+        far = [((fp % (1 << 64)) ^ p).bit_count() for p in pivots]
+        assert list(d) == far[65:]
+        assert coords % (1 << 64) == sum(1 << b for b in range(64) if far[1 + b] < far[0])
+    for finer, bits in zip(simhash.refinements(), (32, 48, 56)):
+        assert all(m & x == m and x.bit_count() == bits for m, xs in finer.items() for x in xs)
 
 
 def test_components_of_chain_star_and_repeats(spark):
@@ -93,34 +99,64 @@ def test_components_of_chain_star_and_repeats(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-@pytest.mark.parametrize("name", ["real_docs", "odd_docs", "no_docs"])
-def test_exact_duplicates_match_brute_force(request, name):
-    rows = [(r.doc_id, r.text or "") for r in request.getfixturevalue(name).select("doc_id", "text").collect()]
+def exact_by_hand(docs):
+    """``(doc_id, keep_id, group_size, kept, text_sha256)`` of every row; one row of each group is kept."""
     groups = defaultdict(list)
-    for i, text in rows:
-        groups["".join(c for c in text if c not in " \t\n\x0b\x0c\r")].append((-len(text), i is None, i or 0, i))
+    for r in docs.select("doc_id", "text").collect():
+        text = r.text or ""
+        groups["".join(c for c in text if c not in " \t\n\x0b\x0c\r")].append((-len(text), r.doc_id is None, r.doc_id or 0, r.doc_id))
     want = Counter()
     for body, members in groups.items():
-        keep = min(members)[3]
-        for m in members:
-            want[m[3], keep, len(members), m[3] == keep, sha256(body.encode()).hexdigest()] += 1
-    got = exact_dedup.exact_duplicates(request.getfixturevalue(name), bucket_keys=30)
-    assert Counter(tuple(r)[:5] for r in got.collect()) == want
+        keep = min(members)
+        members.remove(keep)
+        for m, kept in [(keep, True), *((m, False) for m in members)]:
+            want[m[3], keep[3], len(members) + 1, kept, sha256(body.encode()).hexdigest()] += 1
+    return want
+
+
+@pytest.mark.parametrize("name", ["real_docs", "odd_docs", "no_docs"])
+@pytest.mark.parametrize("index", [{}, {"bucket_rows": 5}, {"bucket_rows": 2, "max_depth": 2}])
+def test_exact_duplicates_match_brute_force(request, name, index):
+    docs = request.getfixturevalue(name)
+    got = exact_dedup.exact_duplicates(docs, **index)
+    assert Counter(tuple(r)[:5] for r in got.collect()) == exact_by_hand(docs)
+
+
+def test_ids_of_any_type_that_sorts(spark):
+    docs = spark.createDataFrame([("b", "x y"), ("a", "xy "), (None, "x y"), ("c", "z"), ("c", "z")], "doc_id string, text string")
+    got = Counter((r.doc_id, r.keep_id, r.kept) for r in exact_dedup.exact_duplicates(docs).collect())
+    assert got == Counter([("b", "a", False), ("a", "a", True), (None, "a", False), ("c", "c", True), ("c", "c", False)])
 
 
 def test_directory_doubles_only_where_it_must():
-    depth, slots = exact_dedup.directory_of({0: 5, 1: 5, 8: 1}, 4, 5)
+    depth, slots, sizes = exact_dedup.directory_of({0: 5, 1: 5, 8: 1}, 4, 5)
     assert depth == 4 and len(slots) == 16
-    assert slots[0] != slots[1] and len(set(slots[8:])) == 1
-    assert exact_dedup.directory_of({}, 4, 5) == (0, [0])
+    assert slots == sorted(slots) and slots[0] != slots[1] and len(set(slots[8:])) == 1
+    assert sizes[slots[0]] == sizes[slots[1]] == 5 and sizes[slots[8]] == 1
+    assert exact_dedup.directory_of({}, 4, 5) == (0, [0], [0])
     assert exact_dedup.directory_of({3: 50}, 4, 5)[0] == 4  # one prefix: split as far as the depth allows
 
 
-def test_index_chains_keys_that_collide(spark, monkeypatch):
-    monkeypatch.setattr(xxhash, "xxh64_intdigest", lambda *a, **k: 1)
-    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["a b", "ab", "c", "d", "c "])], "doc_id long, text string")
-    pages, entries = exact_dedup.build_index(docs)
-    if pages.select("key").distinct().count() == 1:  # the workers took the patched module
-        assert sorted(r.chain for r in entries.collect()) == [1, 2, 3]
-    got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.exact_duplicates(docs).collect()}
-    assert got == {0: (0, 2), 1: (0, 2), 2: (4, 2), 4: (4, 2), 3: (3, 1)}
+@pytest.mark.parametrize("index", [{}, {"bucket_rows": 2, "max_depth": 1}, {"bucket_rows": 1}])
+def test_index_chains_texts_of_one_key(spark, index):
+    """Every text has the key 1: only comparing bytes tells them apart, in one bucket or over its overflow pages."""
+    texts = ["a b", "ab", "c", "d", "c ", "", None, "d  ", "ab"] * 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7)
+    index = {**index, "key_of": lambda body: 1}
+    rows, postings = exact_dedup.build_index(docs, **index)
+    assert {r.key for r in postings.collect()} == {1} and rows.count() == 27
+    entries = {(r.bucket, r.key, r.chain): bytes(r.sha) for r in postings.collect()}
+    assert sorted(k[2] for k in entries) == [1, 2, 3, 4] and len(set(entries.values())) == 4
+    got = exact_dedup.exact_duplicates(docs, **index)
+    assert Counter(tuple(r)[:5] for r in got.collect()) == exact_by_hand(docs)
+
+
+def test_owners_hold_key_ranges(real_docs):
+    """Buckets are key ranges in order, and the groups depend on them."""
+    _, postings = exact_dedup.build_index(real_docs, bucket_rows=20)
+    ranges = defaultdict(list)
+    for r in postings.collect():
+        ranges[r.bucket].append(r.key % (1 << 64))
+    assert len(ranges) > 5
+    spans = [(min(ranges[b]), max(ranges[b])) for b in sorted(ranges)]
+    assert all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
