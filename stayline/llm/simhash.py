@@ -1,37 +1,35 @@
 """SimHash near-duplicates through pivot distance tables.
 
-Fingerprints link at Hamming distance 2 or less. Reference fingerprints (pivots) do the search:
-
-* 4 families of pivots. Family f holds the base reference with one of the 16 bits of block f flipped. How a
-  fingerprint's distance to these pivots differs from its distance to the base (+1 or -1 for each) is its
-  family coordinate. A differing bit changes the coordinates of one family only, so fingerprints that are 2
-  bits apart agree on at least 2 of 4 families: agreeing on a pair of families is the (exact) join key, 6 keys
-  of 32 coordinates for each distinct fingerprint.
-* 8 free pivots, whose distances are precomputed for each distinct fingerprint. A distance is 1-Lipschitz, so
-  a candidate pair whose largest coordinate difference exceeds 2 is discarded unseen; the rest is verified
-  with the exact distance.
-
-Keys with many fingerprints would give all pairs of a group. There each fingerprint instead lists itself and
-its 32 neighbours over the two other families; two fingerprints are at most 2 apart (within such a key) if and
-only if they share a listed neighbour, and at most 65 distinct fingerprints can share one, so the work stays
-linear in the group and no link is lost.
+Fingerprints link at Hamming distance 2 or less. The distances of every distinct fingerprint to 129 reference
+fingerprints (pivots) are computed once; everything after that works on this table.
+
+* Candidates by binned coordinates. Pivot 0 is the base; pivot 1 + b is the base with bit b flipped. Whether a
+  fingerprint is nearer to pivot 1 + b than to the base is its coordinate b (a bin of the distance difference, which is
+  +1 or -1). Fingerprints 2 bits apart differ in 2 coordinates at most, so of 4 blocks of 16 coordinates they agree on
+  2 whole ones: each of the 6 pairs of blocks is a (mask, coordinates under the mask) key that finds all of them.
+* Keys shared by more than PAIR_GROUP fingerprints are refined in the same way: the 32 coordinates outside the mask
+  make 4 blocks of 8, and then the last 16 make 4 blocks of 4. After the third level 8 coordinates are free, so a key
+  has 256 fingerprints at most and the work stays linear, whatever the group. No link is lost on the way.
+* Discards by the largest coordinate difference. Distances to a pivot are 1-Lipschitz, so a pair whose distances to
+  any of 64 free pivots differ by more than 2 is no link; the rest is verified by the exact distance.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations, repeat
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, pick, small_batches, table
+from .common import materialize, pick, slices, spread_join, table
 from .components import connected_components
 
 SEED = 42
 SHINGLE_WORDS = 3
 MAX_DISTANCE = 2
-FREE_PIVOTS = 8
-#: Keys with more fingerprints than this take the neighbour lists instead of pairs.
+FREE_PIVOTS = 64
+#: Keys with more fingerprints than this are refined before their pairs are looked at.
 PAIR_GROUP = 24
 
 
@@ -62,11 +60,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``(doc_id, fp)`` for every row: null and empty texts have fp 0, repeated rows stay."""
     import pyarrow as pa
 
-    small_batches(docs.sparkSession)
     rows = pick(docs, id_col, text_col).toDF("doc_id", "text").select("doc_id", F.col("text").cast("binary"))
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             fp = pa.array([fingerprint_of(x) for x in b.column(1).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), fp], names=["doc_id", "fp"])
 
@@ -79,55 +76,87 @@ def _pivot(k: int) -> int:
     return int.from_bytes(xxhash.xxh64_digest(f"pivot {k}", seed=SEED), "big", signed=True)
 
 
-def pivot_distances(fp: str = "fp", pivots: int = FREE_PIVOTS) -> Column:
-    """Hamming distances to the free pivots."""
-    return F.array(*(F.bit_count(F.col(fp).bitwiseXOR(F.lit(_pivot(k)))) for k in range(1, pivots + 1)))
+def pivots() -> list[int]:
+    """The base, the base with each bit flipped, and the free pivots."""
+    flipped = [_signed(_pivot(0) % (1 << 64) ^ (1 << b)) for b in range(64)]
+    return [_pivot(0), *flipped, *(_pivot(k) for k in range(1, FREE_PIVOTS + 1))]
 
 
-def _family(fp: str, family: int) -> Column:
-    """The 16 coordinates of a family as an integer: a bit is set where the flipped reference is nearer."""
-    return F.shiftrightunsigned(F.col(fp).bitwiseXOR(F.lit(_pivot(0))), 16 * family).bitwiseAND(F.lit(0xFFFF))
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprint_links(distinct: DataFrame) -> DataFrame:
-    """``(a, b)`` links (a < b) whose components equal those of all pairs at distance <= 2 of column ``fp``."""
-    pairs = list(combinations(range(4), 2))
-    keys = F.array(
-        *(
-            F.struct(F.lit(k).alias("k"), F.shiftleft(_family("fp", i), 16).bitwiseOR(_family("fp", j)).alias("key"))
-            for k, (i, j) in enumerate(pairs)
-        )
-    )
-    entries = distinct.select("fp", F.inline(keys))
-    sizes = entries.groupBy("k", "key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = materialize(
-        entries.join(sizes, ["k", "key"]).withColumn("d", pivot_distances()), "simhash-keys"
+def pivot_table(distinct: DataFrame) -> DataFrame:
+    """``(fp, coords, d)``: the 64 binned coordinates as bits of a long, and the distances to the free pivots."""
+    distance = F.transform(
+        F.array(*map(F.lit, pivots())), lambda p: F.bit_count(F.col("fp").bitwiseXOR(p)).cast("byte")
     )
-    few = shared.where(F.col("n") <= PAIR_GROUP)
-    x, y = few.alias("x"), few.alias("y")
-    apart = F.greatest(*(F.abs(F.col("x.d")[k] - F.col("y.d")[k]) for k in range(FREE_PIVOTS)))
-    near = (
-        x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.fp") < F.col("y.fp")))
-        .where(apart <= MAX_DISTANCE)
-        .where(F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= MAX_DISTANCE)
-        .select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
-    )
-    flips = F.lit(None)
-    for k, (i, j) in enumerate(pairs):
-        free = [16 * f + bit for f in range(4) if f not in (i, j) for bit in range(16)]
-        flip = F.array(F.lit(0).cast("long"), *(F.lit(1 << bit if bit < 63 else -(1 << 63)) for bit in free))
-        flips = F.when(F.col("k") == k, flip).otherwise(flips)
-    star = (
-        shared.where(F.col("n") > PAIR_GROUP)
-        .select("fp", F.explode(flips).alias("flip"))
-        .select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("neighbour"))
-        .groupBy("neighbour")
-        .agg(F.collect_set("fp").alias("fps"))  # at most 65 fingerprints lie within 1 bit of a neighbour
-        .where(F.size("fps") > 1)
-        .select(F.array_min("fps").alias("a"), F.explode("fps").alias("b"))
-        .where("a != b")
+    rows = distinct.select("fp", distance.alias("all"))
+    bins = [F.when(F.col("all")[1 + b] < F.col("all")[0], F.lit(_signed(1 << b))).otherwise(F.lit(0)) for b in range(64)]
+    return rows.select("fp", reduce(lambda a, b: a.bitwiseOR(b), bins).alias("coords"), F.slice("all", 66, FREE_PIVOTS).alias("d"))
+
+
+def _finer(mask: int, width: int) -> list[int]:
+    """The 6 masks that add 2 of 4 blocks of ``width`` coordinates outside ``mask``."""
+    free = [b for b in range(64) if not mask >> b & 1]
+    blocks = [sum(1 << b for b in free[k * width : (k + 1) * width]) for k in range(4)]
+    return [mask | a | b for a, b in combinations(blocks, 2)]
+
+
+def refinements() -> list[dict[int, list[int]]]:
+    """For each level, the finer masks of each mask."""
+    levels: list[dict[int, list[int]]] = []
+    masks = [0]
+    for width in (16, 8, 4):
+        levels.append({m: _finer(m, width) for m in masks})
+        masks = list(dict.fromkeys(x for finer in levels[-1].values() for x in finer))
+    return levels
+
+
+def _candidates(keyed: DataFrame) -> DataFrame:
+    """``(a, b, apart)`` of the pairs of a key; ``apart`` is their largest difference of free coordinates."""
+    x, y = keyed.alias("x"), keyed.alias("y")
+    apart = F.array_max(F.zip_with("x.d", "y.d", lambda p, q: F.abs(p - q)))
+    same = (F.col("x.mask") == F.col("y.mask")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.fp") < F.col("y.fp"))
+    return x.join(y, same).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"), apart.alias("apart"))
+
+
+def candidate_pairs(distinct: DataFrame) -> DataFrame:
+    """``(a, b, apart)`` of all candidates; a pair comes once for each key that it shares."""
+    found = []
+    keyed = materialize(pivot_table(distinct), "simhash-pivots").withColumn("mask", F.lit(0).cast("long"))
+    for level, finer in enumerate(refinements()):
+        table_of = F.create_map(*(x for m, ms in finer.items() for x in (F.lit(_signed(m)), F.array(*(F.lit(_signed(f)) for f in ms)))))
+        entries = keyed.select("fp", "coords", "d", F.explode(table_of[F.col("mask")]).alias("mask"))
+        entries = entries.withColumn("key", F.col("coords").bitwiseAND(F.col("mask")))
+        sizes = entries.groupBy("mask", "key").agg(F.count("*").alias("n")).where("n > 1")
+        shared = materialize(entries.join(sizes, ["mask", "key"]), f"simhash-keys-{level}")
+        last = level == 2  # 256 fingerprints at most
+        found.append(_candidates(shared if last else shared.where(F.col("n") <= PAIR_GROUP)))
+        keyed = shared.where(F.col("n") > PAIR_GROUP).drop("key", "n")
+    return reduce(DataFrame.union, found)
+
+
+def fingerprint_links(distinct: DataFrame) -> DataFrame:
+    """``(a, b)``: all pairs (a < b) of different values of column ``fp`` at distance 2 or less."""
+    return (
+        candidate_pairs(distinct)
+        .where(F.col("apart") <= MAX_DISTANCE)
+        .where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_DISTANCE)
+        .select("a", "b")
+        .distinct()
     )
-    return near.union(star).distinct()
+
+
+def link_report(distinct: DataFrame) -> DataFrame:
+    """One row: ``pairs`` looked at, ``discarded`` by pivots, ``refuted`` by the exact distance, and ``verified``
+    (each for every key that a pair shares)."""
+    near = F.col("apart") <= MAX_DISTANCE
+    link = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_DISTANCE
+    return candidate_pairs(distinct).agg(
+        F.count("*").alias("pairs"), F.count_if(~near).alias("discarded"),
+        F.count_if(near & ~link).alias("refuted"), F.count_if(near & link).alias("verified"),
+    )
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -148,7 +177,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = rooted.select("fp", "root").join(
         rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "root"
     )
-    return prints.join(named.select("fp", "component_id"), "fp").select(
+    return spread_join(prints, ["fp"], named.select("fp", "component_id")).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
