@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,11 @@ from pyspark.sql import functions as F
 SPACES = " \t\n\x0b\f\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
+#: Rows of a file that ``spread_join`` keeps together.
+PIECE_ROWS = 1 << 16
+
 _own_folders: dict[str, str] = {}
+_written: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -41,9 +46,36 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read again: cuts the lineage, and a lost executor costs no recomputation."""
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written() -> list[str]:
+    """The folders that ``materialize`` has written and nobody has released."""
+    return list(_written)
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Empty folders that nothing reads any more, through Spark's own writer (which any file system and session can)."""
+    for path in paths:
+        spark.createDataFrame([], "released int").write.mode("overwrite").parquet(path)
+        if path in _written:
+            _written.remove(path)
+
+
+def spread_join(rows: DataFrame, key: list[str], values: DataFrame) -> DataFrame:
+    """``rows`` with the columns of ``values`` (one row for each key), for keys that may hold a third of all rows.
+
+    ``rows`` must come straight from files. Values are joined to the distinct (key, piece of a file) pairs first, so
+    that a hot key is as many rows as pieces hold it, and then to the rows of each pair.
+    """
+    place = F.col("_metadata")
+    piece = F.xxhash64(place["file_path"], F.floor(place["row_index"] / PIECE_ROWS))
+    spread = rows.select("*", piece.alias("_piece"))
+    pairs = spread.select(*key, "_piece").distinct().join(values, key)
+    return spread.join(pairs, [*key, "_piece"]).drop("_piece")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -57,6 +89,12 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(""))
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of few rows: a batch holds whole texts, and a worker's memory should not depend on their length."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def slices(batches: Iterable, rows: int = 1000) -> Iterator:
+    """The Arrow batches of a task in slices of few rows.
+
+    A batch is bounded by Spark (``spark.sql.execution.arrow.maxBytesPerBatch``); its slices bound what stands in
+    Python objects at a time.
+    """
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)

@@ -18,7 +18,7 @@ from zlib import crc32
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pick, small_batches, table, text_or_empty
+from .common import pick, slices, table, text_or_empty
 
 TOKENS = 2048
 SEGMENTS = 256
@@ -218,7 +218,6 @@ def pack_documents(
     import pyarrow as pa
 
     spark = docs.sparkSession
-    small_batches(spark)
     rows = pick(docs, id_col, text_col).toDF("doc_id", "text").select("doc_id", text_or_empty().alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     vocabulary = spark.sparkContext.broadcast(tokenizer_json)  # one file of a fixed vocabulary
@@ -247,7 +246,7 @@ def pack_documents(
             return doc, start, length, crc32(part), len(ids) // 4, first + sequence, offset, bearing
 
         out = []
-        for b in batches:
+        for b in slices(batches):
             id_type = b.column(0).type
             for doc, ids in zip(b.column(0).to_pylist(), encoder.encode(b.column(1).to_pylist())):
                 ids += end

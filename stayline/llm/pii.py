@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pick, small_batches, table
+from .common import pick, slices, table
 
 ROUNDS = 8
 #: A key for tests and reports; real runs pass their own.
@@ -346,14 +346,13 @@ def pseudonymise_rows(rows: DataFrame, key: bytes = KEY, text_col: str = "text",
     """All columns of ``rows`` with the text replaced in place, and ``n_replaced`` and ``spans`` added."""
     import pyarrow as pa
 
-    small_batches(rows.sparkSession)
     at = rows.columns.index(text_col)
     rows = rows.withColumn(text_col, F.col(f"`{text_col}`").cast("string"))
     schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes) + ", n_replaced int, spans string"
 
     def run(batches):
         f = Feistel(key)
-        for b in batches:
+        for b in slices(batches):
             texts, counts, spans = [], [], []
             for text in b.column(at).to_pylist():
                 new, found = (None, []) if text is None else pseudonymise_text(text, f, -1 if undo else 1)

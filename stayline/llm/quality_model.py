@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, pick, small_batches, table
+from .common import materialize, pick, slices, table
 from .linear import fit_logistic
 
 LABELLERS = ("symbols", "capitals", "plain_words", "repeats", "lines", "compression", "variety", "empty")
@@ -135,7 +135,6 @@ def features_of(text: str | None, compress) -> list[int]:
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    small_batches(docs.sparkSession)
     rows = pick(docs, id_col, text_col).toDF("doc_id", "text")
     return rows.withColumn("text", F.col("text").cast("string"))
 
@@ -149,7 +148,7 @@ def weak_votes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         import zstandard
 
         compress = zstandard.ZstdCompressor(level=1).compress
-        for b in batches:
+        for b in slices(batches):
             votes = pa.array([votes_of(t, compress) for t in b.column(1).to_pylist()], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([b.column(0), votes], names=["doc_id", "votes"])
 
@@ -176,7 +175,7 @@ def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         import zstandard
 
         compress = zstandard.ZstdCompressor(level=1).compress
-        for b in batches:
+        for b in slices(batches):
             found = pa.array([features_of(t, compress) for t in b.column(0).to_pylist()], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([b.column(1), found], names=["votes", "cols"])
 
@@ -194,7 +193,7 @@ def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         import zstandard
 
         compress = zstandard.ZstdCompressor(level=1).compress
-        for b in batches:
+        for b in slices(batches):
             weak, scores = [], []
             for text in b.column(1).to_pylist():
                 weak.append(model.posterior(votes_of(text, compress)))

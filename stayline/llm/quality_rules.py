@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pick, small_batches, table
+from .common import pick, slices, table
 
 #: ``(bytes from, lowest ratio, highest ratio)`` for whole documents. Short texts have hardly any limit below:
 #: a frame's header and unprimed statistics weigh on them.
@@ -116,7 +116,6 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     import pyarrow as pa
 
-    small_batches(docs.sparkSession)
     rows = pick(docs, id_col, text_col).toDF("doc_id", "text").withColumn("text", F.col("text").cast("string"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     names = [part.split()[0] for part in _SCHEMA.split(", ")]
@@ -127,7 +126,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         import zstandard
 
         compress = zstandard.ZstdCompressor(level=LEVEL, write_checksum=False).compress
-        for b in batches:
+        for b in slices(batches):
             got = list(zip(*(measure(t, compress) for t in b.column(1).to_pylist()))) or [[] for _ in names]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), *(pa.array(v, t) for v, t in zip(got, arrow))], names=["doc_id", *names]
@@ -140,7 +139,6 @@ def kept_rows(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all columns, that ``quality_rules`` keeps; each row is judged by its own text."""
     import pyarrow as pa
 
-    small_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
     rows = docs.withColumn(text_col, F.col(f"`{text_col}`").cast("string"))
 
@@ -149,7 +147,7 @@ def kept_rows(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
         compress = zstandard.ZstdCompressor(level=LEVEL, write_checksum=False).compress
         kept = [part.split()[0] for part in _SCHEMA.split(", ")].index("kept")
-        for b in batches:
+        for b in slices(batches):
             yield b.filter(pa.array([measure(t, compress)[kept] for t in b.column(at).to_pylist()], pa.bool_()))
 
     return rows.mapInArrow(run, rows.schema)

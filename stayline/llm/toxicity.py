@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, pick, small_batches, table
+from .common import materialize, pick, slices, table
 from .linear import fit_logistic
 
 #: Labelled rows of each class that the classifier is fitted on, at most.
@@ -77,8 +77,6 @@ def fit_toxicity(
     """
     import numpy as np
 
-    spark = docs.sparkSession
-    small_batches(spark)
     known = (
         pick(labels, "doc_id", "toxic").dropna().groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out())
     )
@@ -93,7 +91,7 @@ def fit_toxicity(
         import pyarrow as pa
 
         counts = [np.zeros(1 << SLOTS_LOG2, np.int32) for _ in range(2)]
-        for b in batches:
+        for b in slices(batches):
             for y, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 counts[int(y)][distinct_slots(text)] += 1
         at = np.flatnonzero(counts[0] + counts[1])
@@ -132,7 +130,7 @@ def fit_toxicity(
     def encode(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in slices(batches):
             found = [column[distinct_slots(t)] for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([f[f >= 0].tolist() for f in found], pa.list_(pa.int32()))], names=["toxic", "cols"]
@@ -157,7 +155,6 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
     """
     import pyarrow as pa
 
-    small_batches(docs.sparkSession)
     rows = pick(docs, id_col, text_col).toDF("doc_id", "text").withColumn("text", F.col("text").cast("string"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
@@ -172,7 +169,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
             total = float(weights[np.unique(np.concatenate(hit))].sum(dtype=np.float64)) if hit else 0.0
             return float(1 / (1 + np.exp(-np.clip(total + model.bias, -35, 35))))
 
-        for b in batches:
+        for b in slices(batches):
             scores = pa.array([score(t) for t in b.column(1).to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([b.column(0), scores], names=["doc_id", "score"])
 
