@@ -2,8 +2,8 @@
 
 A sequence has three limits: tokens, segments (pieces of documents) and loss-bearing tokens. Pieces wait in a
 bounded pool. Of those that fit the open sequence, the one whose demand vector has the largest dot product
-with the sequence's remaining room goes in, both in shares of the limits. When nothing fits, the best waiting
-piece is cut at the room that is left; its rest waits on. Text longer than a sequence is cut the same way, so
+with the sequence's remaining room goes in, both in shares of the limits. When nothing fits, the best cut of a
+waiting piece goes in; its rest waits on. A sequence whose loss or segments are used up is closed with room left. Text longer than a sequence is cut the same way, so
 only the last sequence of a task is short, and that one is cut at powers of two, which need no padding.
 
 Packing happens where the documents are: one pass over the input, no shuffle, and a pool of fixed size.
@@ -18,10 +18,13 @@ from zlib import crc32
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pick, slices, table, text_or_empty
+from .common import slices, table, text_or_empty
 
 TOKENS = 2048
-SEGMENTS = 256
+SEGMENTS = 64
+#: Targets that a sequence has at most: its first token follows nothing. Only a document's first token bears no loss,
+#: so a sequence can't be one document's middle alone.
+LOSS = TOKENS - 1
 #: Pieces that wait for a place in a task.
 POOL = 256
 END_ID = 1
@@ -32,12 +35,13 @@ _SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id
 
 
 class Packer:
-    """Packs a stream of ``(payload, tokens, loss)`` pieces; yields ``(payload, start, length, sequence, offset)``.
+    """Packs a stream of ``(payload, tokens, loss)`` pieces; yields ``(payload, start, length, sequence, offset, loss)``.
 
-    ``loss`` is the number of loss-bearing tokens among the piece's last tokens (prompt first, answer last).
+    ``loss`` is the number of loss-bearing tokens among the piece's last tokens (prompt first, answer last). ``closed``
+    counts why sequences were closed: by tokens, segments or loss.
     """
 
-    def __init__(self, tokens: int = TOKENS, segments: int = SEGMENTS, loss: int = TOKENS, pool: int = POOL):
+    def __init__(self, tokens: int = TOKENS, segments: int = SEGMENTS, loss: int = LOSS, pool: int = POOL):
         import numpy as np
 
         self.limits = np.array([tokens, segments, loss], float)
@@ -46,6 +50,7 @@ class Packer:
         self.items: list = []
         self.pool = pool
         self.sequence, self.used = 0, [0, 0, 0]
+        self.closed = {"tokens": 0, "segments": 0, "loss": 0}
 
     def add(self, payload, tokens: int, loss: int) -> Iterator[tuple]:
         if len(self.items) == self.pool:
@@ -55,45 +60,47 @@ class Packer:
 
     def finish(self) -> Iterator[tuple]:
         while self.items:
-            waiting = self.demand[: len(self.items), 0].sum()
-            yield from self._place(last=waiting + self.used[0] < self.tokens)
+            yield from self._place(ending=True)
 
-    def _close(self) -> None:
+    def _close(self, why: str) -> None:
+        self.closed[why] += 1
         self.sequence, self.used = self.sequence + 1, [0, 0, 0]
 
-    def _place(self, last: bool = False) -> Iterator[tuple]:
+    def _place(self, ending: bool = False) -> Iterator[tuple]:
         """Place pieces until one has left the pool."""
         import numpy as np
 
         while True:
             room = [self.tokens - self.used[0], self.segments - self.used[1], self.loss - self.used[2]]
-            if last:  # what is left doesn't fill a sequence: cut it at powers of two
-                waiting = int(self.demand[: len(self.items), 0].sum())
-                size = 1 << ((self.used[0] + waiting).bit_length() - 1)
-                room[0] = size - self.used[0]
+            if ending:
+                left = self.used[0] + int(self.demand[: len(self.items), 0].sum())
+                if left < self.tokens:  # what is left doesn't fill a sequence: cut it at powers of two
+                    room[0] = (1 << (left.bit_length() - 1)) - self.used[0]
             if room[0] <= 0 or room[1] <= 0:
-                self._close()
+                self._close("tokens" if room[0] <= 0 else "segments")
                 continue
             demand = self.demand[: len(self.items)]
-            score = demand @ (np.array(room) / self.limits / self.limits)
+            worth = np.array(room) / self.limits / self.limits
             fits = (demand <= room).all(axis=1)
-            k = int(np.argmax(np.where(fits, score, -1.0))) if fits.any() else -1
-            if k >= 0:
+            if fits.any():
+                k = int(np.argmax(np.where(fits, demand @ worth, -1.0)))
                 yield self._put(k, int(demand[k, 0]), int(demand[k, 2]))
                 self._remove(k)
                 return
+            # nothing fits whole: of the cuts that do, the one with the largest dot product
+            free = demand[:, 0] - demand[:, 2]
+            cut = np.minimum(np.minimum(room[0], demand[:, 0] - 1), free + room[2])
+            lost = np.maximum(0, cut - free)
+            score = np.where(cut > 0, cut * worth[0] + worth[1] + lost * worth[2], -1.0)
             k = int(np.argmax(score))
-            payload, start, tokens, loss = self.items[k]
-            take = min(room[0], tokens - 1 if tokens > 1 else 1)
-            if tokens - loss < take:  # keep the loss-bearing part of the cut within its room
-                take = min(take, tokens - loss + room[2])
-            if take <= 0 or tokens <= take:
-                self._close()
+            if score[k] < 0:
+                self._close("loss")
                 continue
-            lost = max(0, take - (tokens - loss))
-            yield self._put(k, take, lost)
-            self.items[k] = [payload, start + take, tokens - take, loss - lost]
-            self.demand[k] = tokens - take, 1, loss - lost
+            take, spent = int(cut[k]), int(lost[k])
+            payload, start, tokens, loss = self.items[k]
+            yield self._put(k, take, spent)
+            self.items[k] = [payload, start + take, tokens - take, loss - spent]
+            self.demand[k] = tokens - take, 1, loss - spent
 
     def _put(self, k: int, tokens: int, loss: int) -> tuple:
         payload, start = self.items[k][:2]
@@ -118,14 +125,15 @@ def byte_alphabet() -> dict[str, int]:
 class WordEncoder:
     """Ids of whole texts by a byte-level BPE file of the tokenizers library, one distinct word at a time.
 
-    The pattern never joins characters across a space that a non-space follows, so a text is cut there and each
-    different word of a batch is encoded once. Words that come early are remembered, up to a bound. New words are
-    encoded many in one string, and the ids are dealt back by the bytes that they stand for. The merges run in
-    tiktoken with the file's vocabulary as ranks, which gives the same ids at a third of the time; ``tests/llm``
-    holds all this against the tokenizers library on whole texts.
+    The strings of the file's added tokens are found first, as the library does; with ``specials_as_text`` (its
+    ``encode_special_tokens``) they are ordinary text. The pattern never joins characters across a space that a
+    non-space follows, so the text between them is cut there and each different word of a batch is encoded once. Words
+    that come early are remembered, up to a bound. New words are encoded many in one string, and the ids are dealt
+    back by the bytes that they stand for. The merges run in tiktoken with the file's vocabulary as ranks, which gives
+    the same ids at a third of the time; ``tests/llm`` holds all this against the tokenizers library on whole texts.
     """
 
-    def __init__(self, tokenizer_json: str, words: int = CACHE_WORDS):
+    def __init__(self, tokenizer_json: str, words: int = CACHE_WORDS, specials_as_text: bool = False):
         import json
 
         import numpy as np
@@ -133,10 +141,15 @@ class WordEncoder:
         import tiktoken
 
         spec = json.loads(tokenizer_json)
-        special = {t["content"] for t in spec["added_tokens"]}  # their strings in a text are ordinary text
+        added = {t["content"]: t for t in spec["added_tokens"]}
+        if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in added.values()):
+            raise ValueError("added tokens that take in their surroundings are not supported")
+        self.special = {} if specials_as_text else {c: int(t["id"]).to_bytes(4, "little") for c, t in added.items()}
+        longest_first = sorted(self.special, key=lambda c: (-len(c), c))
+        self.find_special = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if self.special else None
         alphabet = byte_alphabet()
         ranks = {
-            bytes(alphabet[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special
+            bytes(alphabet[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in added
         }
         self.encoding = tiktoken.Encoding(
             "file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
@@ -173,13 +186,21 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        cut = [cut_words(t) for t in texts]
+        cut = [cut_words(t) if self.find_special is None or not self.find_special.search(t) else None for t in texts]
         known = self.known
-        new = self._encode_new([w for w in set().union(*cut) if w not in known])
+        new = self._encode_new([w for w in set().union(*(c for c in cut if c)) if w not in known])
         if len(known) + len(new) <= self.words:
             known.update(new)
         get = known.get
-        return [b"".join([get(w) or new[w] for w in words]) for words in cut]
+        return [
+            self._around_specials(text) if words is None else b"".join([get(w) or new[w] for w in words])
+            for text, words in zip(texts, cut)
+        ]
+
+    def _around_specials(self, text: str) -> bytes:
+        """Ids of a text with added tokens: what stands between them is encoded by itself."""
+        pieces = self.find_special.split(text)
+        return b"".join(self.special[p] if k % 2 else self._ids(p).tobytes() for k, p in enumerate(pieces))
 
 
 #: White space as the pattern's ``\s`` has it.
@@ -207,9 +228,13 @@ def cut_words(text: str) -> list[str]:
 
 def pack_documents(
     docs: DataFrame, tokenizer_json: str, id_col: str = "doc_id", text_col: str = "text",
-    tokens: int = TOKENS, segments: int = SEGMENTS, loss: int = TOKENS, end_id: int = END_ID,
+    tokens: int = TOKENS, segments: int = SEGMENTS, loss: int = LOSS, end_id: int = END_ID,
+    prompt_col: str | None = None, specials_as_text: bool = False,
 ) -> DataFrame:
-    """One row for each piece: its place in the document, its sequence and offset there.
+    """One row for each piece: its place in the document, its sequence and offset there, its loss-bearing tokens.
+
+    ``prompt_col`` names a text that comes before ``text_col`` (instruction data): it is encoded by itself, its tokens
+    stand first in the document and bear no loss. A null prompt is an empty one.
 
     Null and empty texts are documents of the end id alone. Repeated rows are packed as often as they come,
     null ids like any other; an empty table gives an empty result; other columns are ignored. The first token
@@ -218,10 +243,11 @@ def pack_documents(
     import pyarrow as pa
 
     spark = docs.sparkSession
-    rows = pick(docs, id_col, text_col).toDF("doc_id", "text").select("doc_id", text_or_empty().alias("text"))
+    prompt = text_or_empty(prompt_col) if prompt_col else F.lit(None).cast("string")
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text_or_empty(text_col).alias("text"), prompt.alias("prompt"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     vocabulary = spark.sparkContext.broadcast(tokenizer_json)  # one file of a fixed vocabulary
-    name = crc32(tokenizer_json.encode())
+    name = crc32(tokenizer_json.encode()), specials_as_text
     end = end_id.to_bytes(4, "little")
     names = ["doc_id", *(part.split()[0] for part in _SCHEMA.split(", "))]
     arrow = [pa.int64()] * len(names[1:])
@@ -248,10 +274,12 @@ def pack_documents(
         out = []
         for b in slices(batches):
             id_type = b.column(0).type
-            for doc, ids in zip(b.column(0).to_pylist(), encoder.encode(b.column(1).to_pylist())):
-                ids += end
+            texts = encoder.encode(b.column(1).to_pylist())
+            prompts = encoder.encode(b.column(2).to_pylist()) if prompt_col else [b""] * len(texts)
+            for doc, prompt_ids, ids in zip(b.column(0).to_pylist(), prompts, texts):
+                ids = prompt_ids + ids + end
                 n = len(ids) // 4
-                out += map(row, packer.add((doc, ids), n, n - 1))
+                out += map(row, packer.add((doc, ids), n, n - max(1, len(prompt_ids) // 4)))
             if out:
                 yield table_of(out)
                 out = []
@@ -265,11 +293,11 @@ def pack_documents(
 _encoders: dict = {}
 
 
-def _encoder(name: int, vocabulary) -> WordEncoder:
+def _encoder(name: tuple[int, bool], vocabulary) -> WordEncoder:
     """The encoder of this Python worker: tasks that follow each other in a worker share what it remembers."""
     if name not in _encoders:
         _encoders.clear()
-        _encoders[name] = WordEncoder(vocabulary.value)
+        _encoders[name] = WordEncoder(vocabulary.value, specials_as_text=name[1])
     return _encoders[name]
 
 

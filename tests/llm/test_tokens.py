@@ -14,7 +14,6 @@ def test_packing_places_every_id_once(request, name):
 
     docs = request.getfixturevalue(name)
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     ids_of = Counter()
     whole = {}
     for r in docs.select("doc_id", "text").collect():
@@ -39,7 +38,12 @@ def test_packing_places_every_id_once(request, name):
             at += length
         assert at <= 2048 and len(parts) <= packing.SEGMENTS
         padded[sequence >> 32] += 0 if at & (at - 1) == 0 else 2048 - at
-    assert max(padded.values(), default=0) < 2048  # at most one short sequence a task
+    assert not any(padded.values())  # tasks end with powers of two
+    loss = Counter()
+    for r in rows:
+        loss[r.sequence_id] += r.loss_tokens
+        assert r.loss_tokens == r.length - (r.start == 0)
+    assert max(loss.values(), default=0) <= packing.LOSS
 
 
 def test_packer_keeps_all_three_limits():
@@ -64,13 +68,47 @@ def test_packer_keeps_all_three_limits():
         assert at == tokens and sum(x[2] for x in pieces[k]) == loss
 
 
-def test_cut_words_joins_again_and_never_changes_ids(odd_rows):
+def test_each_limit_closes_sequences():
+    def run(items, **limits):
+        packer = packing.Packer(**limits)
+        placed = [p for item in items for p in packer.add(*item)] + list(packer.finish())
+        return packer.closed, len({p[3] for p in placed})
+
+    whole = [(k, 50, 49) for k in range(40)]
+    assert run(whole, tokens=100, segments=64, loss=99)[0] == {"tokens": 19, "segments": 0, "loss": 0}
+    assert run(whole, tokens=100, segments=64, loss=40)[0]["loss"] > 30
+    assert run([(k, 2, 1) for k in range(400)], tokens=100, segments=5, loss=99)[0]["segments"] > 70
+    # answers and prompts in turn: a sequence takes prompts once its loss is used up, so none is closed with room left
+    mixed = [(k, 50, 50 if k % 2 else 0) for k in range(40)]
+    assert run(mixed, tokens=100, segments=64, loss=50)[0]["loss"] == 0
+    # one long document bears loss on every token but its first: the limit of 2047 targets cuts it short of 2048
+    assert run([(0, 10_000, 9_999)], tokens=2048, segments=64, loss=2047)[0]["loss"] >= 3
+
+
+def test_prompts_bear_no_loss(spark):
+    rows = [(1, "question one?", "an answer"), (2, None, "only text"), (3, "only a prompt", None), (4, "p " * 3000, "a " * 3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, prompt string, text string")
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_str(packing.tokenizer_file())
+    loss, whole = Counter(), Counter()
+    for r in packing.pack_documents(docs, packing.tokenizer_file(), prompt_col="prompt").collect():
+        loss[r.doc_id] += r.loss_tokens
+        whole[r.doc_id] += r.length
+    for i, prompt, text in rows:
+        a, b = (len(tokenizer.encode(t or "", add_special_tokens=False).ids) for t in (prompt, text))
+        assert whole[i] == a + b + 1 and loss[i] == a + b + 1 - max(a, 1)
+
+
+@pytest.mark.parametrize("as_text", [False, True])
+def test_cut_words_joins_again_and_never_changes_ids(odd_rows, as_text):
     from tokenizers import Tokenizer
 
-    tok = packing.WordEncoder(packing.tokenizer_file())
+    tok = packing.WordEncoder(packing.tokenizer_file(), specials_as_text=as_text)
     library = Tokenizer.from_str(packing.tokenizer_file())
-    library.encode_special_tokens = True
-    for text in [r[1] or "" for r in odd_rows] + ["  a  b ", "\n x  y\x1c z", " ", "don't  'll we'd\r\n\r\n 4 5", " <|endoftext|> a<|endoftext|>"]:
+    library.encode_special_tokens = as_text
+    special = ["hello <|endoftext|> world", " <|endoftext|> a<|endoftext|>", "a  <|endoftext|>  b", "<|endoftext|>", "<|endoftext|><|endoftext|>\n\n x"]
+    for text in [r[1] or "" for r in odd_rows] + ["  a  b ", "\n x  y\x1c z", " ", "don't  'll we'd\r\n\r\n 4 5", *special]:
         assert "".join(packing.cut_words(text)) == text
         ids = library.encode(text, add_special_tokens=False).ids
         assert tok.encode([text])[0] == b"".join(i.to_bytes(4, "little") for i in ids)
