@@ -1,6 +1,6 @@
 """Quality classifier without labels: overlapping heuristics, a label model, and a hashed linear scorer.
 
-Heuristic labellers vote good, bad or nothing on every document. The votes are counted by pattern over all
+Heuristic labellers vote good, bad or nothing on every document; the same pass hashes its features. The votes are counted by pattern over all
 documents (three to the power of the number of labellers at most); expectation-maximisation estimates each
 labeller's accuracies from those counts. Posterior labels of a bounded sample then train a linear scorer over
 hashed text features, which scores every document, also where no labeller votes.
@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import lru_cache
+from operator import eq
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +20,7 @@ from .common import materialize, pick, slices, table
 from .linear import fit_logistic
 
 LABELLERS = ("symbols", "capitals", "plain_words", "repeats", "lines", "compression", "variety", "empty")
-#: Documents that the scorer is fitted on, at most (in the order of a hash of their ids).
+#: Documents that the scorer is fitted on, at most (in the order of a hash of their ids, votes and features).
 SAMPLE = 6000
 SLOTS = 1 << 12
 ROUNDS = 100
@@ -27,35 +29,67 @@ ROUNDS = 100
 _PLAIN = re.compile(r"""[("'«„“]*[^\W_]+(?:[-'’][^\W_]+)*[)"'»“”]*[.,;:!?…]?[)"'»“”]*""")
 
 
-def votes_of(text: str | None, compress) -> list[int]:
-    """A vote of each labeller: 1 good, 2 bad, 0 none.
+def measure(text: str | None, compress) -> tuple[list[int], list[int]]:
+    """A vote of each labeller (1 good, 2 bad, 0 none), and the slots of the text's hashed features.
 
     Most labellers speak of one kind of defect, and say nothing where they don't see it: that a text has no
-    symbols is no sign that it doesn't repeat itself. Few vote good, on what prose has as a whole.
+    symbols is no sign that it doesn't repeat itself. Few vote good, on what prose has as a whole. Features are the
+    shapes of words, binned shares, and the text's compression.
     """
+    import zlib
+
     text = text or ""
     raw = text.encode("utf-8", "surrogatepass")
     words = raw.split()
     n = len(words)
-    if not n:
-        return [0] * (len(LABELLERS) - 1) + [2]
-    spelled = text.split()
-    letters = sum(map(str.isalpha, text)) or 1
     lines = [x for x in raw.split(b"\n") if x.strip()]
-    plain = sum(1 for w in spelled if _PLAIN.fullmatch(w)) / max(1, len(spelled))
-    ratio = len(raw) / len(compress(raw))
-    long = len(raw) > 300
-    different = len(set(words)) / n**0.75
-    return [
-        2 if sum(map(text.count, "#*$%&|<>")) > 0.15 * n else 0,
-        2 if letters > 20 and sum(map(str.isupper, text)) > 0.5 * letters else 0,
-        1 if plain >= 0.97 else 2 if plain < 0.75 else 0,
-        2 if n >= 8 and sum(a == b for a, b in zip(words, words[1:])) > 0.12 * n else 0,
-        2 if len(lines) > 3 and len(set(lines)) < 0.6 * len(lines) else 0,
-        2 if long and ratio > 3.2 else 1 if long and 1.3 < ratio < 2.6 else 0,
-        2 if n >= 30 and different < 0.35 else 1 if n >= 30 and different > 0.8 else 0,
-        0,
+    n_lines = len(set(lines))
+    ratio = len(raw) / len(compress(raw)) if raw else 0.0
+    symbols = sum(map(text.count, "#*$%&|<>"))
+    pairs = sum(map(eq, words, words[1:]))
+    different = len(set(words)) / max(1, n) ** 0.75
+    votes = [0] * (len(LABELLERS) - 1) + [2]
+    if n:
+        spelled = text.split()
+        letters = sum(map(str.isalpha, text)) or 1
+        plain = sum(map(bool, map(_PLAIN.fullmatch, spelled))) / max(1, len(spelled))
+        long = len(raw) > 300
+        votes = [
+            2 if symbols > 0.15 * n else 0,
+            2 if letters > 20 and sum(map(str.isupper, text)) > 0.5 * letters else 0,
+            1 if plain >= 0.97 else 2 if plain < 0.75 else 0,
+            2 if n >= 8 and pairs > 0.12 * n else 0,
+            2 if len(lines) > 3 and n_lines < 0.6 * len(lines) else 0,
+            2 if long and ratio > 3.2 else 1 if long and 1.3 < ratio < 2.6 else 0,
+            2 if n >= 30 and different < 0.35 else 1 if n >= 30 and different > 0.8 else 0,
+            0,
+        ]
+
+    def level(share: float) -> int:
+        return min(6, int(8 * share**0.5))
+
+    m = max(1, n)
+    shapes: dict[str, int] = {}
+    for w in words:
+        kind = _shape(w)
+        shapes[kind] = shapes.get(kind, 0) + 1
+    tokens = [f"shape {s} {level(c / m)}" for s, c in sorted(shapes.items(), key=lambda x: (-x[1], x[0]))[:40]]
+    tokens += [
+        f"words {min(12, m.bit_length())}",
+        f"compress {m.bit_length()} {int(4 * min(8, ratio))}",
+        f"pairs {level(pairs / m)}",
+        f"lines {level(1 - n_lines / max(1, len(lines)) if lines else 0)}",
+        f"variety {int(10 * min(1.5, different))}",
+        f"symbols {level(min(1.0, symbols / m))}",
     ]
+    return votes, sorted({zlib.crc32(t.encode()) % SLOTS for t in tokens})
+
+
+@lru_cache(maxsize=200_000)
+def _shape(word: bytes) -> str:
+    s = word.decode("utf-8", "replace")
+    kind = ("A" if s.isupper() and len(s) > 1 else "a" if s.isalpha() else "0" if s.isdigit() else "")
+    return kind or re.sub(r"[^\W\d_]+", "a", re.sub(r"\d+", "0", s))[:6]
 
 
 @dataclass(frozen=True)
@@ -103,84 +137,40 @@ def fit_label_model(patterns: list[tuple[list[int], int]], rounds: int = ROUNDS)
     return LabelModel(float(share), tables[0].tolist(), tables[1].tolist())
 
 
-def features_of(text: str | None, compress) -> list[int]:
-    """Slots of hashed features: shapes of word pairs, binned shares, and the text's compression."""
-    import zlib
-
-    text = text or ""
-    raw = text.encode("utf-8", "surrogatepass")
-    words = raw.split()
-    n = max(1, len(words))
-    shapes: dict[str, int] = {}
-    for w in words:
-        s = w.decode("utf-8", "replace")
-        kind = ("A" if s.isupper() and len(s) > 1 else "a" if s.isalpha() else "0" if s.isdigit() else "")
-        kind = kind or re.sub(r"[^\W\d_]+", "a", re.sub(r"\d+", "0", s))[:6]
-        shapes[kind] = shapes.get(kind, 0) + 1
-
-    def level(share: float) -> int:
-        return min(6, int(8 * share**0.5))
-
-    lines = [x for x in raw.split(b"\n") if x.strip()] or [b""]
-    tokens = [f"shape {s} {level(c / n)}" for s, c in sorted(shapes.items(), key=lambda x: (-x[1], x[0]))[:40]]
-    tokens += [
-        f"words {min(12, n.bit_length())}",
-        f"compress {n.bit_length()} {int(4 * min(8, len(raw) / max(1, len(compress(raw)))))}",
-        f"pairs {level(sum(a == b for a, b in zip(words, words[1:])) / n)}",
-        f"lines {level(1 - len(set(lines)) / len(lines))}",
-        f"variety {int(10 * min(1.5, len(set(words)) / n**0.75))}",
-        f"symbols {level(min(1.0, sum(map(text.count, '#*$%&|<>')) / n))}",
-    ]
-    return sorted({zlib.crc32(t.encode()) % SLOTS for t in tokens})
-
-
-def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def signals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, votes, cols)`` of every row, in one pass over the texts."""
     rows = pick(docs, id_col, text_col).toDF("doc_id", "text")
-    return rows.withColumn("text", F.col("text").cast("string"))
-
-
-def weak_votes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, votes)`` of every row."""
-    rows = _rows(docs, id_col, text_col)
+    rows = rows.withColumn("text", F.col("text").cast("string"))
 
     def run(batches):
         import pyarrow as pa
         import zstandard
 
         compress = zstandard.ZstdCompressor(level=1).compress
+        ints = pa.list_(pa.int32())
         for b in slices(batches):
-            votes = pa.array([votes_of(t, compress) for t in b.column(1).to_pylist()], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column(0), votes], names=["doc_id", "votes"])
+            found = [measure(t, compress) for t in b.column(1).to_pylist()]
+            votes, cols = (pa.array([f[k] for f in found], ints) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([b.column(0), votes, cols], names=["doc_id", "votes", "cols"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, votes array<int>")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"doc_id {kind}, votes array<int>, cols array<int>")
 
 
 def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
     """``(doc_id, weak_label, score, kept)``, one row for each input row; score is the chance of good quality.
 
-    Null and empty texts get a vote for empty. Rows with a null id are scored, but not trained on. Repeated
-    rows stay. An empty table gives an empty result; other columns are ignored. ``weak_label`` is the posterior.
+    Null and empty texts get a vote for empty. Rows with a null id are scored, but not trained on. Repeated rows and
+    rows that share an id stay, each with its own votes and features; how rows are dealt to tasks changes nothing. An
+    empty table gives an empty result; other columns are ignored. ``weak_label`` is the posterior.
     """
     import numpy as np
 
-    rows = _rows(docs, id_col, text_col)
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    votes = materialize(weak_votes(docs, id_col, text_col), "votes")
-    patterns = votes.groupBy("votes").count().collect()  # at most 3 ** len(LABELLERS) patterns
+    found = materialize(signals(docs, id_col, text_col), "quality-signals")
+    patterns = found.groupBy("votes").count().collect()  # at most 3 ** len(LABELLERS) patterns
     model = fit_label_model(sorted((list(r.votes), r["count"]) for r in patterns))
-    chosen = votes.dropna(subset=["doc_id"]).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-
-    def encode(batches):
-        import pyarrow as pa
-        import zstandard
-
-        compress = zstandard.ZstdCompressor(level=1).compress
-        for b in slices(batches):
-            found = pa.array([features_of(t, compress) for t in b.column(0).to_pylist()], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column(1), found], names=["votes", "cols"])
-
-    texts = rows.join(F.broadcast(chosen), "doc_id").select("text", "votes")  # SAMPLE rows of a few numbers
-    train = texts.mapInArrow(encode, "votes array<int>, cols array<int>").collect()
+    order = [F.xxhash64("doc_id", "votes", "cols"), F.col("doc_id"), F.col("votes"), F.col("cols")]
+    train = found.where("doc_id is not null").orderBy(*order).limit(sample).select("votes", "cols").collect()
     train.sort(key=lambda r: (r.votes, r.cols))
     coef, bias = fit_logistic(
         [r.cols for r in train], [model.posterior(r.votes) for r in train], np.ones(len(train)), SLOTS, l2=1e-4
@@ -190,21 +180,23 @@ def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def run(batches):
         import pyarrow as pa
-        import zstandard
 
-        compress = zstandard.ZstdCompressor(level=1).compress
-        for b in slices(batches):
-            weak, scores = [], []
-            for text in b.column(1).to_pylist():
-                weak.append(model.posterior(votes_of(text, compress)))
-                z = float(coef[features_of(text, compress)].sum()) + bias
-                scores.append(float(1 / (1 + np.exp(-np.clip(z, -35, 35)))))
+        known: dict[tuple, float] = {}
+        for b in slices(batches, 10_000):
+            weak = []
+            for votes in map(tuple, b.column(1).to_pylist()):
+                if votes not in known:
+                    known[votes] = model.posterior(votes)
+                weak.append(known[votes])
+            owner = np.repeat(np.arange(b.num_rows), b.column(2).value_lengths().to_numpy())
+            z = np.bincount(owner, coef[b.column(2).flatten().to_numpy()], b.num_rows) + bias
+            scores = 1 / (1 + np.exp(-np.clip(z, -35, 35)))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(weak, pa.float64()), pa.array(scores, pa.float64())],
-                names=["doc_id", "weak_label", "score"],
+                [b.column(0), pa.array(weak, pa.float64()), pa.array(scores)], names=["doc_id", "weak_label", "score"]
             )
 
-    return rows.mapInArrow(run, f"doc_id {kind}, weak_label double, score double").withColumn("kept", F.col("score") >= 0.5)
+    kind = found.schema["doc_id"].dataType.simpleString()
+    return found.mapInArrow(run, f"doc_id {kind}, weak_label double, score double").withColumn("kept", F.col("score") >= 0.5)
 
 
 def op7_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

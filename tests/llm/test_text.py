@@ -90,6 +90,47 @@ def test_toxicity_on_held_out_labels(spark):
     assert scored.count() == docs.count()
 
 
+def brute_ngrams(text):
+    text = " " + " ".join((text or "").lower().split()) + " "
+    out = set()
+    for n in (3, 4, 5):
+        for at in range(len(text) - n + 1):
+            h = 0
+            for ch in text[at : at + n]:
+                h = (h * 0x01000193 + ord(ch)) % (1 << 32)
+            out.add(((h ^ n) * 0x9E3779B1 % (1 << 32)) >> (32 - toxicity.SLOTS_LOG2))
+    return out
+
+
+@pytest.mark.parametrize("name", ["real_docs", "odd_docs"])
+def test_ngram_counts_match_brute_force(request, spark, name):
+    import math
+
+    docs = request.getfixturevalue(name).where("doc_id is not null and length(coalesce(text, '')) < 20000")
+    texts = docs.selectExpr("cast(doc_id % 2 as int) as toxic", "text")
+    counts = [Counter(), Counter()]
+    rows = texts.collect()
+    for r in rows:
+        counts[r.toxic].update(brute_ngrams(r.text))
+    want = {s: (counts[0][s], counts[1][s]) for s in counts[0] | counts[1]}
+    n = [sum(r.toxic == c for r in rows) for c in (0, 1)]
+    ratio, _ = toxicity.log_count_ratio(*n)
+    got = toxicity.count_ngrams(texts).withColumn("ratio", ratio).collect()
+    assert {r.slot: (r.n0, r.n1) for r in got} == want
+    assert all(abs(r.ratio - math.log((r.n1 + 1) / (n[1] + 2) / ((r.n0 + 1) / (n[0] + 2)))) < 1e-9 for r in got)
+
+
+def test_toxicity_sample_is_bounded_where_ids_repeat(spark, real_docs):
+    labels = spark.createDataFrame([(1, 1), (2, 0), (4, 0)], "doc_id long, toxic int")
+    docs = real_docs.selectExpr("doc_id % 3 as doc_id", "text")  # each id has a third of all texts
+    runs = []
+    for dealt in (docs.repartition(1), docs.repartition(5, "text")):
+        texts, totals = toxicity.sample_rows(dealt, labels, 10)
+        assert totals == {1: 1, 0: 2}
+        runs.append(Counter(map(tuple, texts.collect())))
+    assert runs[0] == runs[1] and Counter(t for t, _ in runs[0]) == {1: 10, 0: 10}
+
+
 def test_toxicity_edges(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(i, 1, i % 2) for i in range(1, 12)] + [(None, 1, 1), (3, 1, None)], "doc_id long, quality int, toxic int")
     model = toxicity.fit_toxicity(odd_docs, labels)
@@ -133,6 +174,62 @@ def test_label_model_finds_the_weak_labeller():
     assert abs(model.share - 0.8) < 0.03 and model.good[0][1] > 0.9 and model.good[-1][1] < 0.65
 
 
+def test_label_model_matches_em_by_rows():
+    """The same EM written over single documents, in plain Python."""
+    import math
+    import random
+
+    rng = random.Random(4)
+    k = len(quality_model.LABELLERS)
+    rows = [[rng.choice((0, 0, 1, 2)) if rng.random() < 0.7 else 0 for _ in range(k)] for _ in range(300)]
+    model = quality_model.fit_label_model(sorted((list(v), n) for v, n in Counter(map(tuple, rows)).items()), rounds=5)
+    z = [0.05 if 2 in v else 0.95 for v in rows]
+    for _ in range(5):
+        share = sum(z) / len(rows)
+        tables = []
+        for weight, prior in ((z, (1.0, 1.0, 0.02)), ([1 - x for x in z], (1.0, 0.3, 1.0))):
+            table = []
+            for j in range(k):
+                n = [sum(w for w, v in zip(weight, rows) if v[j] == x) + 0.01 * len(rows) * prior[x] + 0.01 for x in range(3)]
+                table.append([x / sum(n) for x in n])
+            tables.append(table)
+        z = []
+        for v in rows:
+            good, bad = (math.prod(t[j][x] for j, x in enumerate(v) if x) * s for t, s in zip(tables, (share, 1 - share)))
+            z.append(good / (good + bad))
+    assert abs(model.share - share) < 1e-9
+    for got, want in ((model.good, tables[0]), (model.bad, tables[1])):
+        assert all(abs(a - b) < 1e-9 for x, y in zip(got, want) for a, b in zip(x, y))
+    assert all(abs(model.posterior(v) - x) < 1e-9 for v, x in zip(rows, z))
+
+
+def test_quality_scores_match_brute_force(real_docs):
+    """Votes, label model, training and scores of the whole table, without Spark."""
+    import numpy as np
+    import zstandard
+    from stayline.llm.linear import fit_logistic
+
+    compress = zstandard.ZstdCompressor(level=1).compress
+    found = [(r.doc_id, *quality_model.measure(r.text, compress)) for r in real_docs.collect()]
+    model = quality_model.fit_label_model(sorted((list(v), n) for v, n in Counter(tuple(v) for _, v, _ in found).items()))
+    train = sorted((v, c) for _, v, c in found)
+    coef, bias = fit_logistic([c for _, c in train], [model.posterior(v) for v, _ in train], np.ones(len(train)), quality_model.SLOTS, l2=1e-4)
+    want = {i: (model.posterior(v), 1 / (1 + np.exp(-(coef[c].sum() + bias)))) for i, v, c in found}
+    for r in quality_model.score_quality(real_docs).collect():
+        assert abs(r.weak_label - want[r.doc_id][0]) < 1e-9 and abs(r.score - want[r.doc_id][1]) < 1e-6
+
+
+def test_quality_scores_do_not_depend_on_dealing(spark, real_docs):
+    """Rows that share an id, copies and null ids, dealt in two ways."""
+    ids = F.when(F.col("doc_id") % 7 == 0, None).otherwise(F.col("doc_id") % 20)
+    docs = real_docs.select(ids.alias("doc_id"), "text").union(real_docs.select(F.lit(3).cast("long"), "text").limit(40))
+    runs = []
+    for dealt in (docs.repartition(1), docs.repartition(7, "text")):
+        rows = quality_model.score_quality(dealt, sample=100).collect()
+        runs.append(Counter((r.doc_id, round(r.weak_label, 9), round(r.score, 6), r.kept) for r in rows))
+    assert runs[0] == runs[1] and sum(runs[0].values()) == docs.count()
+
+
 def test_quality_model_edges(odd_docs, no_docs):
     assert quality_model.score_quality(odd_docs).count() == odd_docs.count()
     assert quality_model.score_quality(no_docs).count() == 0
