@@ -68,26 +68,33 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
 
 
-def fit_toxicity(
-    docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", cost: float = TOXIC_COST
-) -> ToxicityModel:
-    """Learns from labelled rows that are not held out; rows with a null id or label teach nothing.
+def sample_rows(docs: DataFrame, labels: DataFrame, sample: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, dict[int, int]]:
+    """``(toxic, text)`` of at most ``sample`` different labelled rows of each class, and how many ids have each label.
 
-    Labels that disagree about an id count as toxic. With one class only, the model scores its share.
+    Ids are chosen first, then, among the rows that have them (an id may have many), rows; both in the order of a hash.
     """
-    import numpy as np
-
     known = (
         pick(labels, "doc_id", "toxic").dropna().groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out())
     )
     totals = {int(r[0]): r[1] for r in known.groupBy("toxic").count().collect()}
-    order = F.xxhash64("doc_id")
-    chosen = [known.where(F.col("toxic") == c).orderBy(order, "doc_id").limit(sample) for c in (0, 1)]
+
+    def first(rows: DataFrame, *order) -> DataFrame:
+        picked = [rows.where(F.col("toxic") == c).orderBy(*order).limit(sample) for c in (0, 1)]
+        return F.broadcast(picked[0].union(picked[1]))  # 2 * sample rows of a few numbers at most
+
     rows = pick(docs, id_col, text_col).toDF("doc_id", "text").withColumn("text", F.col("text").cast("string"))
-    # the sample has 2 * SAMPLE rows of two numbers at most, whatever the input
-    texts = materialize(rows.join(F.broadcast(chosen[0].union(chosen[1])), "doc_id").select("toxic", "text"), "toxic-sample")
+    chosen = first(known, F.xxhash64("doc_id"), "doc_id")
+    matched = rows.join(chosen, "doc_id").groupBy("doc_id", "text").agg(F.first("toxic").alias("toxic"))
+    matched = materialize(matched.withColumn("hash", F.xxhash64("doc_id", "text")), "toxic-sample")
+    few = first(matched.select("doc_id", "toxic", "hash"), "hash", "doc_id")
+    return matched.join(few.drop("toxic"), ["doc_id", "hash"], "left_semi").select("toxic", "text"), totals
+
+
+def count_ngrams(texts: DataFrame) -> DataFrame:
+    """``(slot, n0, n1)``: in how many texts of each class each hashed n-gram stands."""
 
     def count(batches):
+        import numpy as np
         import pyarrow as pa
 
         counts = [np.zeros(1 << SLOTS_LOG2, np.int32) for _ in range(2)]
@@ -101,23 +108,38 @@ def fit_toxicity(
                 [pa.array(part, pa.int32()), *(pa.array(c[part], pa.int32()) for c in counts)], names=["slot", "n0", "n1"]
             )
 
+    counted = texts.select("toxic", "text").mapInArrow(count, "slot int, n0 int, n1 int")
+    return counted.groupBy("slot").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+
+
+def log_count_ratio(n0: int, n1: int) -> tuple[Column, Column]:
+    """The log ratio of an n-gram's shares among toxic and other texts, and how telling their difference is."""
+    p = (F.col("n1") + SMOOTHING) / (n1 + 2 * SMOOTHING)
+    q = (F.col("n0") + SMOOTHING) / (n0 + 2 * SMOOTHING)
+    return F.log(p / q), F.abs(p - q) / F.sqrt(p + q)
+
+
+def fit_toxicity(
+    docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", cost: float = TOXIC_COST
+) -> ToxicityModel:
+    """Learns from labelled rows that are not held out; rows with a null id or label teach nothing.
+
+    Labels that disagree about an id count as toxic. Rows that share an id are sampled like others, and rows that
+    repeat count once. With one class only, the model scores its share.
+    """
+    import numpy as np
+
+    texts, totals = sample_rows(docs, labels, sample, id_col, text_col)
     sizes = {int(r[0]): r[1] for r in texts.groupBy("toxic").count().collect()}
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
     share = totals.get(1, 0) / max(1, totals.get(0, 0) + totals.get(1, 0))
     if not n0 or not n1:
         p = min(max(share, 1e-6), 1 - 1e-6)
         return ToxicityModel([], [], float(np.log(p / (1 - p))))
-    counted = (
-        texts.select("toxic", "text")
-        .mapInArrow(count, "slot int, n0 int, n1 int")
-        .groupBy("slot")
-        .agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-        .where(F.col("n0") + F.col("n1") >= LEAST_DOCS)
-    )
-    p = (F.col("n1") + SMOOTHING) / (n1 + 2 * SMOOTHING)
-    q = (F.col("n0") + SMOOTHING) / (n0 + 2 * SMOOTHING)
+    counted = count_ngrams(texts).where(F.col("n0") + F.col("n1") >= LEAST_DOCS)
+    ratio_of, gain = log_count_ratio(n0, n1)
     picked = (
-        counted.select("slot", F.log(p / q).alias("ratio"), (F.abs(p - q) / F.sqrt(p + q)).alias("gain"))
+        counted.select("slot", ratio_of.alias("ratio"), gain.alias("gain"))
         .orderBy(F.desc("gain"), "slot")
         .limit(FEATURES)  # a feature selection of fixed size
         .collect()
@@ -136,12 +158,12 @@ def fit_toxicity(
                 [b.column(0), pa.array([f[f >= 0].tolist() for f in found], pa.list_(pa.int32()))], names=["toxic", "cols"]
             )
 
-    sample_rows = texts.mapInArrow(encode, "toxic int, cols array<int>").collect()  # bounded, as the sample is
-    sample_rows.sort(key=lambda r: (r.toxic, r.cols))
-    y = np.array([r.toxic for r in sample_rows], float)
+    train = texts.mapInArrow(encode, "toxic int, cols array<int>").collect()  # at most 2 * sample rows
+    train.sort(key=lambda r: (r.toxic, r.cols))
+    y = np.array([r.toxic for r in train], float)
     toxic = cost * share / (cost * share + 1 - share)
     weight = np.where(y == 1, toxic / n1, (1 - toxic) / n0)  # classes weigh as among all labels, toxic ones by their cost
-    coef, bias = fit_logistic([r.cols for r in sample_rows], y, weight, len(slots), l2=L2, scale=ratio)
+    coef, bias = fit_logistic([r.cols for r in train], y, weight, len(slots), l2=L2, scale=ratio)
     weights = coef * ratio
     used = np.flatnonzero(np.abs(weights) > 1e-4)
     return ToxicityModel(slots[used].tolist(), weights[used].tolist(), bias)
