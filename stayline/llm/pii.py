@@ -12,6 +12,7 @@ from __future__ import annotations
 import bisect
 import datetime
 import re
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 from .common import pick, slices, table
 
 ROUNDS = 8
-#: A key for tests and reports; real runs pass their own.
-KEY = b"pseudonyms of the test tables"
+#: Session setting with the secret key, as text.
+KEY_SETTING = "spark.stayline.pseudonym.key"
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
 EMAIL = re.compile(r"(?<![\w.+%-])[\w.+%-]+@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}")
@@ -331,7 +332,19 @@ def pseudonymise_text(text: str, f: Feistel, by: int = 1) -> tuple[str, list[tup
     return "".join([*out, text[at:]]), [(kind, s, e) for s, e, kind, _ in found]
 
 
-def pseudonymise(docs: DataFrame, key: bytes = KEY, id_col: str = "doc_id", text_col: str = "text", undo: bool = False) -> DataFrame:
+_made_keys: dict[str, bytes] = {}
+
+
+def session_key(spark: SparkSession) -> bytes:
+    """The key of KEY_SETTING. Without it the application makes a secret one, once, that nobody learns: values stay
+    linked within the application, and can't be undone."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if key:
+        return key.encode()
+    return _made_keys.setdefault(spark.sparkContext.applicationId, secrets.token_bytes(32))
+
+
+def pseudonymise(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text", undo: bool = False) -> DataFrame:
     """``(doc_id, text, n_replaced, spans)``, one row for each input row; ``undo`` gives the originals back.
 
     A null text stays null, without spans. Null ids and repeated rows stay. An empty table gives an empty
@@ -339,16 +352,26 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY, id_col: str = "doc_id", text
     joined by commas.
     """
     rows = pick(docs, id_col, text_col).toDF("doc_id", "text")
-    return pseudonymise_rows(rows, key, "text", undo)
+    return pseudonymise_rows(rows, key, "text", undo, count_col="n_replaced", spans_col="spans")
 
 
-def pseudonymise_rows(rows: DataFrame, key: bytes = KEY, text_col: str = "text", undo: bool = False) -> DataFrame:
-    """All columns of ``rows`` with the text replaced in place, and ``n_replaced`` and ``spans`` added."""
+def pseudonymise_rows(
+    rows: DataFrame, key: bytes, text_col: str = "text", undo: bool = False,
+    count_col: str | None = None, spans_col: str | None = None,
+) -> DataFrame:
+    """All columns of ``rows`` with the text replaced in place; the number of values and their spans where columns for
+    them are named, which must be new. Each row is handled by itself: nulls, repeats and other columns pass through."""
     import pyarrow as pa
 
+    if not key:
+        raise ValueError("a secret key is needed")
+    added = [c for c in (count_col, spans_col) if c]
+    if taken := {c.lower() for c in added} & {c.lower() for c in rows.columns}:
+        raise ValueError(f"the input has columns of these names: {sorted(taken)}")
     at = rows.columns.index(text_col)
     rows = rows.withColumn(text_col, F.col(f"`{text_col}`").cast("string"))
-    schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes) + ", n_replaced int, spans string"
+    kinds = ((count_col, "int"), (spans_col, "string"))
+    schema = ", ".join([*(f"`{n}` {t}" for n, t in rows.dtypes), *(f"`{c}` {t}" for c, t in kinds if c)])
 
     def run(batches):
         f = Feistel(key)
@@ -358,13 +381,15 @@ def pseudonymise_rows(rows: DataFrame, key: bytes = KEY, text_col: str = "text",
                 new, found = (None, []) if text is None else pseudonymise_text(text, f, -1 if undo else 1)
                 texts.append(new)
                 counts.append(len(found))
-                spans.append(",".join(f"{k}:{s}:{e}" for k, s, e in found))
-            columns = [*b.columns, pa.array(counts, pa.int32()), pa.array(spans, pa.string())]
+                spans.append(",".join(f"{k}:{s}:{e}" for k, s, e in found) if spans_col else None)
+            columns = list(b.columns)
             columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=[*b.schema.names, "n_replaced", "spans"])
+            more = ((count_col, pa.array(counts, pa.int32())), (spans_col, pa.array(spans, pa.string())))
+            columns += [v for c, v in more if c]
+            yield pa.RecordBatch.from_arrays(columns, names=[*b.schema.names, *added])
 
     return rows.mapInArrow(run, schema)
 
 
 def op8_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise(table(spark, sf_dir, "documents"))
+    return pseudonymise(table(spark, sf_dir, "documents"), session_key(spark))
