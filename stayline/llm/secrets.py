@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +46,8 @@ MORE_RULES = (
 )
 RULES = BASE_RULES + MORE_RULES
 RULE_VERSION = "1"
+#: Session setting with the folder of a ledger that runs share.
+LEDGER_SETTING = "spark.stayline.secrets.ledger"
 
 
 def _valid(rule: Rule, match: Column) -> Column:
@@ -119,13 +122,14 @@ def scan_versions(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RU
 
 
 def read_ledger(spark: SparkSession, ledger: str) -> DataFrame | None:
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(ledger)
-    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-        return None
-    return spark.read.schema(
-        "rule_version string, blob string, spans array<struct<start:int,kind_no:int,end:int>>"
-    ).parquet(ledger)
+    """The ledger's rows; None where no run has written any."""
+    schema = "rule_version string, blob string, spans array<struct<start:int,kind_no:int,end:int>>"
+    try:
+        return spark.read.schema(schema).parquet(ledger)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
 
 
 def findings_by_path(versions: DataFrame, ledger: str, rule_version: str = RULE_VERSION) -> DataFrame:
@@ -181,4 +185,5 @@ def find_secrets(
 
 
 def op6_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_secrets(table(spark, sf_dir, "documents"))
+    """Over the ledger of LEDGER_SETTING, where set: a second run over a grown table scans only what is new."""
+    return find_secrets(table(spark, sf_dir, "documents"), spark.conf.get(LEDGER_SETTING, None))
