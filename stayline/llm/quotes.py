@@ -18,7 +18,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, pick, table
+from .common import materialize, pick, spread_join, table
 
 MARKS = r"^[ \t]{0,3}(?:>[ \t]?)+"
 # The lines that mail programs put before a quote.
@@ -70,12 +70,12 @@ def own_text(text: Column) -> Column:
 
 
 def link_quotes(messages: DataFrame) -> DataFrame:
-    """``(conv_id, turn, reply_to, n_passages, n_linked, max_level)`` of the messages that quote."""
-    key = ["conv_id", "turn"]
+    """``(conv_id, turn, message, reply_to, n_passages, n_linked, max_level)`` of the messages that quote."""
+    key = ["conv_id", "turn", "message"]
     quoting = messages.where(F.col("text").rlike(r"(?m)^[ \t]{0,3}>")).select("conv_id").distinct()
     # only conversations in which somebody quotes are taken apart
     lines = parse_lines(messages.join(quoting, "conv_id", "left_semi"))
-    units = materialize(passages(lines, [*key, "message"]), "passages")
+    units = materialize(passages(lines, key), "passages")
     first = units.where("level = 0").groupBy("conv_id", "hash").agg(F.min("turn").alias("origin"))
     quotes = units.where("level > 0").join(first, ["conv_id", "hash"], "left")
     quotes = quotes.withColumn("origin", F.when(F.col("origin") < F.col("turn"), F.col("origin")))
@@ -92,14 +92,20 @@ def link_quotes(messages: DataFrame) -> DataFrame:
 
 
 def thread_roots(links: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """``(conv_id, turn, root)``: the first message of each reply chain, by doubling the jumps."""
-    jumps = links.select("conv_id", "turn", F.col("reply_to").alias("root"))
+    """``(conv_id, turn, root)``: the first turn of each reply chain, by doubling the jumps.
+
+    ``links`` has one row for each (conv_id, turn). A turn that a whole conversation answers is a hot key of the join,
+    which is therefore spread over pieces of files.
+    """
+    jumps = materialize(links.select("conv_id", "turn", F.col("reply_to").alias("root")), "threads")
     for _ in range(max_rounds):
         further = jumps.select("conv_id", F.col("turn").alias("root"), F.col("root").alias("further"))
-        moved = materialize(jumps.join(further, ["conv_id", "root"], "left"), "threads")
+        targets = jumps.select("conv_id", "root").distinct().join(further, ["conv_id", "root"], "left")
+        moved = materialize(spread_join(jumps, ["conv_id", "root"], targets), "threads")
         jumps = moved.select("conv_id", "turn", F.coalesce("further", "root").alias("root"))
         if moved.where("further is not null").limit(1).count() == 0:
             return jumps
+        jumps = materialize(jumps, "threads")
     raise RuntimeError("reply chains did not settle; raise max_rounds")
 
 
@@ -127,19 +133,24 @@ def reply_ordered(conversations: DataFrame) -> DataFrame:
 
     One row for each different (conv_id, turn, role, text); ``copies`` says how often it came. Null texts count
     as empty. Null conversation ids or turns are messages without place: they stay, unlinked, and are ordered
-    as Spark orders nulls. Messages of one turn are ordered by role and text. ``position`` counts from 0
+    as Spark orders nulls. Messages of one turn are ordered by role and text; each has the links of its own quotes, and
+    whoever answers such a turn follows the earliest link of its messages. ``position`` counts from 0
     within the conversation. An empty table gives an empty result; other columns are ignored.
     """
     rows = pick(conversations, "conv_id", "turn", "role", "text").withColumn("text", F.coalesce("text", F.lit("")))
     messages = rows.groupBy("conv_id", "turn", "role", "text").agg(F.count("*").alias("copies"))
     messages = materialize(messages.withColumn("message", F.xxhash64("role", "text")), "messages")
     links = materialize(link_quotes(messages.drop("copies", "role")), "quotes")
-    roots = thread_roots(links.where("reply_to is not null"))
+    answers = links.where("reply_to is not null")
+    roots = thread_roots(answers.groupBy("conv_id", "turn").agg(F.min("reply_to").alias("reply_to")))
+    targets = answers.select("conv_id", "reply_to").distinct().join(roots.withColumnRenamed("turn", "reply_to"), ["conv_id", "reply_to"], "left")
+    rooted = spread_join(answers, ["conv_id", "reply_to"], targets).select("conv_id", "turn", "message", "root")
+    key = ["conv_id", "turn", "message"]
     placed = (
-        messages.drop("message")
-        .join(links, ["conv_id", "turn"], "left")
-        .join(roots, ["conv_id", "turn"], "left")
-        .withColumn("root", F.coalesce("root", "turn"))
+        messages.join(links, key, "left")
+        .join(rooted, key, "left")
+        .drop("message")
+        .withColumn("root", F.coalesce("root", "reply_to", "turn"))
         .withColumn("block", F.floor(F.col("turn") / BLOCK_TURNS))
         .withColumn("role_order", F.coalesce("role", F.lit("")))
     )

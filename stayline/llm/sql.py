@@ -62,33 +62,39 @@ WITH RECURSIVE messages AS (
   units AS (SELECT DISTINCT conv_id, turn, role, text, level, {norm} AS passage FROM bodies WHERE {norm} <> ''),
   origins AS (SELECT conv_id, passage, min(turn) AS origin FROM units WHERE level = 0 GROUP BY ALL),
   quotes AS (
-    SELECT u.conv_id, u.turn, level, len(string_split(u.passage, ' ')) AS words, CASE WHEN origin < u.turn THEN origin END AS origin
+    SELECT u.conv_id, u.turn, u.role, u.text, level, len(string_split(u.passage, ' ')) AS words, CASE WHEN origin < u.turn THEN origin END AS origin
     FROM units u LEFT JOIN origins o ON u.conv_id = o.conv_id AND u.passage = o.passage WHERE level > 0),
   by_origin AS (
-    SELECT conv_id, turn, origin, level, sum(words) AS words, count(*) AS n FROM quotes GROUP BY ALL),
+    SELECT conv_id, turn, role, text, origin, level, sum(words) AS words, count(*) AS n FROM quotes GROUP BY ALL),
   ranked AS (
-    SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY origin IS NULL, level, words DESC, origin DESC) AS place
+    SELECT *, row_number() OVER (
+      PARTITION BY conv_id, turn, role, text ORDER BY origin IS NULL, level, words DESC, origin DESC) AS place
     FROM by_origin),
   links AS (
-    SELECT conv_id, turn, max(origin) FILTER (place = 1) AS reply_to, sum(n)::BIGINT AS n_passages,
+    SELECT conv_id, turn, role, text, max(origin) FILTER (place = 1) AS reply_to, sum(n)::BIGINT AS n_passages,
       coalesce(sum(n) FILTER (origin IS NOT NULL), 0)::BIGINT AS n_linked, max(level)::BIGINT AS max_level
     FROM ranked GROUP BY ALL),
+  parents AS (SELECT conv_id, turn, min(reply_to) AS parent FROM links WHERE reply_to IS NOT NULL GROUP BY ALL),
   chains AS (
-    SELECT conv_id, turn, reply_to AS root FROM links WHERE reply_to IS NOT NULL
+    SELECT conv_id, turn, parent AS root FROM parents
     UNION ALL
-    SELECT c.conv_id, c.turn, l.reply_to FROM chains c JOIN links l ON l.conv_id = c.conv_id AND l.turn = c.root
-    WHERE l.reply_to IS NOT NULL),
-  roots AS (SELECT conv_id, turn, min(root) AS root FROM chains GROUP BY ALL)
-SELECT conv_id, turn, role, reply_to, coalesce(root, turn) AS root,
+    SELECT c.conv_id, c.turn, p.parent FROM chains c JOIN parents p ON p.conv_id = c.conv_id AND p.turn = c.root),
+  roots AS (SELECT conv_id, turn, min(root) AS root FROM chains GROUP BY ALL),
+  placed AS (
+    SELECT m.*, l.reply_to, coalesce(r.root, l.reply_to, m.turn) AS root, n_passages, n_linked, max_level
+    FROM messages m LEFT JOIN links l
+      ON m.conv_id = l.conv_id AND m.turn = l.turn AND m.role IS NOT DISTINCT FROM l.role AND m.text = l.text
+    LEFT JOIN roots r ON r.conv_id = m.conv_id AND r.turn = l.reply_to)
+SELECT conv_id, turn, role, reply_to, root,
   row_number() OVER (
     PARTITION BY conv_id
-    ORDER BY coalesce(root, turn) NULLS FIRST, turn NULLS FIRST, coalesce(role, ''), role NULLS FIRST, text) - 1 AS position,
+    ORDER BY root NULLS FIRST, turn NULLS FIRST, coalesce(role, ''), role NULLS FIRST, text) - 1 AS position,
   coalesce(n_passages, 0) AS n_passages, coalesce(n_linked, 0) AS n_linked, coalesce(max_level, 0) AS max_level,
   regexp_replace(
     array_to_string([x FOR x IN string_split(text, chr(10)) IF regexp_extract(x, {marks}) = '' AND NOT regexp_matches(x, {attribution})], chr(10)),
     '^\s+|\s+$', '', 'g') AS text,
   copies
-FROM messages LEFT JOIN links USING (conv_id, turn) LEFT JOIN roots USING (conv_id, turn)"""
+FROM placed"""
 
 
 EXACT_DUPLICATES = r"""
