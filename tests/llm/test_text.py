@@ -37,6 +37,52 @@ def test_quality_rules_match_brute_force(request, name):
     assert not any(r.kept and r.base_failed for r in rows)
 
 
+def brute_verdict(text):
+    """The method's verdict from its limits, by another compressor interface and plain loops."""
+    import io
+
+    import zstandard
+
+    def ratio(raw):
+        out = io.BytesIO()
+        params = zstandard.ZstdCompressionParameters.from_level(3, source_size=len(raw), write_content_size=1, write_checksum=0)
+        with zstandard.ZstdCompressor(compression_params=params).stream_writer(out, size=len(raw), closefd=False) as w:
+            w.write(raw)
+        return len(raw) / len(out.getvalue())
+
+    def outside(raw, bands):
+        fitting = [b for b in bands if b[0] <= len(raw)]
+        r = ratio(raw)
+        return "incompressible" if r < fitting[-1][1] else "repetitive" if r > fitting[-1][2] else None
+
+    if brute_rules(text)[5]:
+        return "base"
+    raw = text.encode()
+    if why := outside(raw, quality_rules.WHOLE_BANDS):
+        return why
+    chunks, at = [], 0
+    while at < len(raw):
+        rest = len(raw) - at
+        if rest >= 1024:
+            chunks.append(raw[at : at + 2048])
+        elif len(raw) >= 1024:
+            chunks.append(raw[-1024:])
+        at += 2048
+    bad = sum(outside(c, quality_rules.CHUNK_BANDS) is not None for c in chunks)
+    return "chunks" if chunks and bad > 0.25 * len(chunks) else "kept"
+
+
+@pytest.mark.parametrize("name", ["real_docs", "odd_docs", "no_docs"])
+def test_quality_verdicts_match_brute_force(request, name):
+    docs = request.getfixturevalue(name)
+    want = Counter((r.doc_id, brute_verdict(r.text)) for r in docs.select("doc_id", "text").collect())
+    rows = quality_rules.quality_rules(docs).collect()
+    assert Counter((r.doc_id, r.verdict) for r in rows) == want
+    assert all(r.kept == (r.verdict == "kept") for r in rows)
+    kept = Counter((r.doc_id, r.text) for r in quality_rules.kept_rows(docs).collect())
+    assert kept == Counter((r.doc_id, r.text) for r in docs.collect() if brute_verdict(r.text) == "kept")
+
+
 def test_bands_keep_prose_and_reject_repetition_and_noise(spark):
     import base64
     import random
@@ -388,14 +434,33 @@ def test_the_date_of_a_time_stamp_is_replaced():
 
 
 def test_pseudonyms_of_documents(spark, real_docs, odd_docs, no_docs):
-    done = pii.pseudonymise(real_docs)
+    key = b"key of this test"
+    done = pii.pseudonymise(real_docs, key)
     both = real_docs.select("doc_id", F.col("text").alias("old")).join(done, "doc_id").collect()
     assert sum(r.n_replaced for r in both) > 0 and all((r.n_replaced == 0) == (r.old == r.text) for r in both)
-    back = {r.doc_id: r.text for r in pii.pseudonymise(done.select("doc_id", "text"), undo=True).collect()}
+    back = {r.doc_id: r.text for r in pii.pseudonymise(done.select("doc_id", "text"), key, undo=True).collect()}
     assert all(back[r.doc_id] == r.old for r in both)
-    odd = {r.doc_id: r.text for r in pii.pseudonymise(odd_docs).collect()}
-    assert odd[1] is None and odd[2] == "" and pii.pseudonymise(odd_docs).count() == odd_docs.count()
-    assert pii.pseudonymise(no_docs).count() == 0
+    odd = {r.doc_id: r.text for r in pii.pseudonymise(odd_docs, key).collect()}
+    assert odd[1] is None and odd[2] == "" and pii.pseudonymise(odd_docs, key).count() == odd_docs.count()
+    assert pii.pseudonymise(no_docs, key).count() == 0
+
+
+def test_keys_are_secret_and_columns_never_clash(spark, odd_docs):
+    text = "card 4111 1111 1111 1111"
+    for bad in ({"count_col": "spans"}, {"spans_col": "Kept"}):
+        with pytest.raises(ValueError):
+            pii.pseudonymise_rows(odd_docs, b"k", **bad)
+    with pytest.raises(ValueError):
+        pii.pseudonymise_rows(odd_docs, b"")
+    assert pii.pseudonymise_rows(odd_docs, b"k").columns == odd_docs.columns
+    made = pii.session_key(spark)
+    assert len(made) == 32 and pii.session_key(spark) == made
+    spark.conf.set(pii.KEY_SETTING, "mine")
+    try:
+        assert pii.session_key(spark) == b"mine"
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
+    assert len({pii.pseudonymise_text(text, pii.Feistel(k))[0] for k in (b"mine", made, b"other")}) == 3
 
 
 # --- conversations -----------------------------------------------------------------------------------------
@@ -451,8 +516,31 @@ def test_queries_match_sql(spark, name):
     assert compare(QUERIES[name](spark, sf_dir), ORACLE_SQL[name], connect(sf_dir)) is None
 
 
-def test_sql_links_the_same_quotes(spark):
-    df = spark.createDataFrame(ROWS, "conv_id long, turn long, role string, text string")
+TIED = [
+    (5, 0, "user", "first words of all"),
+    (5, 1, "user", "second words here"),
+    (5, 2, "assistant", "> first words of all\nan answer"),
+    (5, 2, "user", "no quote in this one"),
+    (5, 2, None, "> second words here\nanother"),
+    (5, 3, "user", "> an answer\nindeed"),
+    (5, 4, "user", "> no quote in this one\n> > first words of all\nso"),
+    (5, 4, "user", "long " * 40_000 + "\n> indeed"),
+]
+
+
+def test_messages_of_one_turn_have_their_own_links(spark):
+    got = {(r.turn, r.role, r.text[:10]): r for r in quotes.reply_ordered(spark.createDataFrame(TIED, "conv_id long, turn long, role string, text string")).collect()}
+    assert len(got) == len(TIED) and sorted(r.position for r in got.values()) == list(range(len(TIED)))
+    assert got[2, "user", "no quote i"].reply_to is None and got[2, "user", "no quote i"].root == 2
+    assert got[2, "assistant", "an answer"].reply_to == 0 and got[2, None, "another"].reply_to == 1
+    assert got[3, "user", "indeed"].reply_to == 2 and got[3, "user", "indeed"].root == 0  # the earliest link of turn 2
+    assert got[4, "user", "so"].reply_to == 2 and got[4, "user", "so"].n_linked == 2
+    assert got[4, "user", "long long "].reply_to == 3 and got[4, "user", "long long "].root == 0
+
+
+@pytest.mark.parametrize("rows", [ROWS, TIED], ids=["rows", "tied"])
+def test_sql_links_the_same_quotes(spark, rows):
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     con = duckdb.connect()
     con.register("conversations", df.toArrow())
     assert compare(quotes.reply_ordered(df), ORACLE_SQL["op9_quote_linking"], con) is None
