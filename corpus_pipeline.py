@@ -2,6 +2,12 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read again as the next
 stage's docs. All but the last return the columns of ``documents``.
+
+In all stages a null text counts as empty (quality rules reject it), null and repeated ids are rows like any other,
+texts may be of any length, an empty table gives an empty result, and further columns of any name pass through the
+first four stages. Where rows tie, the docstring of the stage says which stays.
+
+The pseudonyms' key is the session's ``spark.stayline.pseudonym.key``; without it the application makes a secret one.
 """
 
 from __future__ import annotations
@@ -10,10 +16,10 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stayline.llm.common import materialize, table
+from stayline.llm.common import materialize, release, table, written
 from stayline.llm.exact_dedup import exact_duplicates
 from stayline.llm.packing import pack_documents, tokenizer_file
-from stayline.llm.pii import pseudonymise_rows
+from stayline.llm.pii import pseudonymise_rows, session_key
 from stayline.llm.quality_rules import kept_rows
 from stayline.llm.simhash import near_duplicates
 
@@ -44,28 +50,31 @@ def _keep(rows: DataFrame, name: str, kept: DataFrame) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the compression bands or the base rules reject go."""
+    """Documents that the compression bands or the base rules reject go; each row is judged by its own text."""
     return kept_rows(docs)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts stays, whether or not ids are null or repeated."""
+    """One row of each group of equal texts stays: the longest original, then the smallest id (null last), then by a
+    hash of the row and its place in the files."""
     rows, name = _with_rows(docs)
     return _keep(rows, name, exact_duplicates(rows, name).where("kept").select("doc_id"))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of linked fingerprints stays: the one with the smallest id."""
+    """One row of each group of linked fingerprints stays: the one with the smallest id (null last), then by a hash of
+    the row and its place in the files."""
     rows, name = _with_rows(docs)
     return _keep(rows, name, near_duplicates(rows, name).where("doc_id.file = component_id.file and doc_id.at = component_id.at").select("doc_id"))
 
 
 def private_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Private values become pseudonyms; the number of characters follows the new text."""
-    return pseudonymise_rows(docs).drop("n_replaced", "spans").withColumn("n_chars", F.length("text").cast("long"))
+    """Private values become pseudonyms; the number of characters follows the new text. Nulls stay null."""
+    return pseudonymise_rows(docs, session_key(spark)).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row for each piece of each document; repeated rows are packed as often as they come."""
     return pack_documents(docs, tokenizer_file())
 
 
@@ -82,7 +91,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage. What a stage wrote for itself, and its input, are emptied once its result is written."""
+    docs, before = table(spark, sf_dir, "documents"), set(written())
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        release(spark, [p for p in written()[:-1] if p not in before])
     return STAGES[-1][1](spark, docs, sf_dir)
