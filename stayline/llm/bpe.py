@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from .common import materialize, pick, slices, table, text_or_empty
 from .packing import cut_words
 
-#: Longer words (in bytes) are not counted: a fold's steps grow with the word's length.
+#: Longer words (in bytes) are not folded in Spark, whose steps grow with the square of a word's length: they are merged
+#: where they stand, by a heap.
 LONG_WORD = 64
 RANK_SLOTS = 1 << 15
 #: Distinct words that Spark encodes and every task has at hand, at most; each is one in COMMON_SHARE occurrences or more.
