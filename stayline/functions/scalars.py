@@ -7,48 +7,50 @@ from pyspark.sql import functions as F
 
 from ..vocab import ACTIVE_WORDS, CHURN_WORDS
 
-#: Pattern of the text, and how Spark reads it. The first that gives a date wins.
+# The date formats, and the order of their parts as year, month, day.
 DATE_FORMATS = (
-    (r"^\d{4}-\d{2}-\d{2}$", "yyyy-MM-dd"),
-    (r"^\d{8}$", "yyyyMMdd"),
-    (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"),
-    (r"^\d{4}\.\d{1,2}\.\d{1,2}$", "yyyy.M.d"),
-    (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"),
-    (r"^\d{1,2}-\d{1,2}-\d{4}$", "d-M-yyyy"),
-    (r"^[A-Za-z]{3} \d{1,2}, \d{4}$", "MMM d, yyyy"),
-    (r"^\d{1,2} [A-Za-z]{3} \d{4}$", "d MMM yyyy"),
+    (r"(\d{4}-\d{2}-\d{2})", "$1"),
+    (r"(\d{4}-\d{2}-\d{2})[T ]\d{2}:\d{2}(?::\d{2}(?:[.,]\d+)?)?(?:Z|[+-]\d{2}:?\d{2})?", "$1"),
+    (r"(\d{4})(\d{2})(\d{2})", "$1-$2-$3"),
+    (r"(\d{4})/(\d{1,2})/(\d{1,2})", "$1-$2-$3"),
+    (r"(\d{4})\.(\d{1,2})\.(\d{1,2})", "$1-$2-$3"),
+    (r"(\d{1,2})/(\d{1,2})/(\d{4})", "$3-$1-$2"),
+    (r"(\d{1,2})-(\d{1,2})-(\d{4})", "$3-$2-$1"),
+    (r"([A-Za-z]{3}) (\d{1,2}), (\d{4})", "$3-$1-$2"),
+    (r"(\d{1,2}) ([A-Za-z]{3}) (\d{4})", "$3-$2-$1"),
 )
-ISO_TIME = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}([.,]\d+)?)?(Z|[+-]\d{2}:?\d{2})?$"
-THOUSANDS = r"^[+-]?\d{1,3}(,\d{3})+(\.\d+)?$"
-NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+#: What all of them become: the month as a number or as a name.
+ORDERED = "yyyy-[MMM][M]-d"
+NUMBER = r"^(?:[+-]?\d{1,3}(?:,\d{3})+(?:\.\d+)?|[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)$"
 
 
 def clean(c: Column) -> Column:
     """Trimmed text; NULL where nothing is left."""
-    t = F.regexp_replace(c.cast("string"), r"^\s+|\s+$", "")
-    return F.when(t != "", t)
+    return F.nullif(F.regexp_replace(c.cast("string"), r"^\s+|\s+$", ""), F.lit(""))
 
 
 def is_blank(c: Column) -> Column:
-    return clean(c).isNull()
+    """Without a character that is not white space."""
+    return ~F.coalesce(c.cast("string").rlike(r"\S"), F.lit(False))
 
 
 def parse_date(c: Column) -> Column:
-    t = clean(c)
-
-    def read(text: Column, fmt: str) -> Column:
-        return F.try_to_timestamp(text, F.lit(fmt)).cast("date")
+    """The date of a cell in one of DATE_FORMATS, else NULL; ISO week dates are not read.
 
-    tries = [F.when(t.rlike(p), read(t, f)) for p, f in DATE_FORMATS]
-    tries.insert(1, F.when(t.rlike(ISO_TIME), read(F.substring(t, 1, 10), "yyyy-MM-dd")))
-    return F.coalesce(*tries)
+    Each format is put in the order year, month, day by one replacement, so the expression grows with the number of
+    formats and not with its square, and the text is parsed once.
+    """
+    t = clean(c)
+    known = t.rlike("^(?:" + "|".join(p for p, _ in DATE_FORMATS) + ")$")
+    for pattern, order in DATE_FORMATS[1:]:
+        t = F.regexp_replace(t, f"^{pattern}$", order)
+    return F.when(known, F.try_to_timestamp(t, F.lit(ORDERED)).cast("date"))
 
 
 def to_float(c: Column) -> Column:
     """Strict number; commas only where they group in threes; infinite values and words give NULL."""
     t = clean(c)
-    t = F.when(t.contains(","), F.when(t.rlike(THOUSANDS), F.replace(t, F.lit(","), F.lit("")))).otherwise(t)
-    n = F.when(t.rlike(NUMBER), t.try_cast("double"))
+    n = F.when(t.rlike(NUMBER), F.translate(t, ",", "").try_cast("double"))
     return F.when(F.abs(n) < float("inf"), n)
 
 

@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.components import write_and_read
 from ..functions.scalars import is_blank, to_float
 from ..vocab import CORE_KEYS
 
@@ -50,7 +51,7 @@ def feature_gate(df: DataFrame, cfg: ValidationConfig = ValidationConfig()) -> t
     gated = gated.withColumns(
         {
             "model_features": F.map_filter("model_features", lambda k, _: F.array_contains(declared, k)),
-            "core_features": F.struct(*(F.col(f"core_features.{k}").alias(k) for k in kept)) if kept else F.struct(F.lit(None).alias("none")),
+            "core_features": F.struct(*(F.col(f"core_features.{k}").alias(k) for k in kept)) if kept else F.struct(F.lit(None).cast("string").alias("none")),
         }
     )
     counts = gated.select(F.explode("demoted").alias("key")).groupBy("key").agg(F.count("*").alias("n_demoted"))
@@ -108,50 +109,60 @@ def _evaluable(gated: DataFrame) -> DataFrame:
     return gated.where(F.forall("errors", lambda e: e["code"].isin(*MISSING_CODES)))
 
 
-def missing_rates(gated: DataFrame, cfg: ValidationConfig) -> DataFrame:
-    """``(key, n_missing, n_evaluable, fraction)`` of every approved core key and declared feature, one aggregate."""
+def by_tenure(gated: DataFrame, cfg: ValidationConfig) -> DataFrame:
+    """``(tenure, n, m_<key>...)``: evaluable rows and missing values for each tenure, from which all batch gates follow.
+
+    Tenure is whole days, so this has a row for each day that occurs, whatever the number of records.
+    """
     emitted = core_keys(gated)
     missing = {k: is_blank(F.col(f"core_features.{k}")) if k in emitted else F.lit(True) for k in cfg.approved}
     missing |= {k: is_blank(F.col("model_features")[k]) for k in cfg.features}
-    if not missing:
-        return gated.sparkSession.createDataFrame([], "key string, n_missing long, n_evaluable long, fraction double")
-    one = _evaluable(gated).agg(
-        F.count("*").alias("n_evaluable"), *(F.coalesce(F.sum(c.cast("long")), F.lit(0)).alias(f"m_{k}") for k, c in missing.items())
+    return _evaluable(gated).groupBy("tenure").agg(
+        F.count("*").alias("n"), *(F.sum(c.cast("long")).alias(f"m_{k}") for k, c in missing.items())
     )
-    pairs = F.array(*(F.struct(F.lit(k).alias("key"), F.col(f"m_{k}").alias("n_missing")) for k in missing))
-    return one.select("n_evaluable", F.inline(pairs)).select(
+
+
+def missing_rates(days: DataFrame) -> DataFrame:
+    """``(key, n_missing, n_evaluable, fraction)`` of every approved core key and declared feature."""
+    keys = [c[2:] for c in days.columns if c.startswith("m_")]
+    if not keys:
+        return days.sparkSession.createDataFrame([], "key string, n_missing long, n_evaluable long, fraction double")
+    one = days.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in days.columns if c != "tenure"))
+    pairs = F.array(*(F.struct(F.lit(k).alias("key"), F.col(f"m_{k}").alias("n_missing")) for k in keys))
+    return one.select(F.col("n").alias("n_evaluable"), F.inline(pairs)).select(
         "key", "n_missing", "n_evaluable", F.try_divide("n_missing", "n_evaluable").alias("fraction")
     )
 
 
-def missing_passthrough(gated: DataFrame, cfg: ValidationConfig) -> DataFrame:
-    """Rates with ``passes``: missing somewhere, in no more rows than the threshold."""
+def missing_passthrough(days: DataFrame, cfg: ValidationConfig) -> DataFrame:
+    """Rates of ``by_tenure`` with ``passes``: missing somewhere, in no more rows than the threshold."""
     passes = (F.col("fraction") > 0) & (F.col("fraction") <= cfg.missingness_threshold) & F.lit(cfg.pass_missing)
-    return missing_rates(gated, cfg).withColumn("passes", F.coalesce(passes, F.lit(False)))
+    return missing_rates(days).withColumn("passes", F.coalesce(passes, F.lit(False)))
 
 
-def column_missingness(gated: DataFrame, cfg: ValidationConfig) -> DataFrame:
-    return missing_rates(gated, cfg).withColumn(
+def column_missingness(days: DataFrame, cfg: ValidationConfig) -> DataFrame:
+    return missing_rates(days).withColumn(
         "fails", F.coalesce(F.col("fraction") > cfg.missingness_threshold, F.lit(False))
     )
 
 
-def tenure_sanity(gated: DataFrame, cfg: ValidationConfig) -> DataFrame:
-    """One row with the shares and the verdict; medians are exact and held as counts of days."""
-    tenure = _evaluable(gated).where("tenure is not null").select("tenure")
-    mid = tenure.agg(F.percentile("tenure", 0.5).alias("median"))
+def tenure_sanity(days: DataFrame, cfg: ValidationConfig) -> DataFrame:
+    """One row with the shares and the verdict; medians are exact, over the counts of ``by_tenure``."""
+    tenure = days.where("tenure is not null").select("tenure", "n")
+    mid = tenure.agg(F.percentile("tenure", 0.5, F.col("n")).alias("median"))
     away = tenure.crossJoin(F.broadcast(mid))  # one row
-    mad = away.agg(F.percentile(F.abs(F.col("tenure") - F.col("median")), 0.5).alias("mad"))
+    mad = away.agg(F.percentile(F.abs(F.col("tenure") - F.col("median")), 0.5, F.col("n")).alias("mad"))
     far = F.abs(F.col("tenure") - F.col("median")) > cfg.outlier_factor * F.col("scale")
     scaled = away.crossJoin(F.broadcast(mad)).withColumn(
         "scale", F.when(F.col("mad") > 0, F.col("mad")).otherwise(F.greatest(F.col("median") * 0.1, F.lit(1.0)))
     )
+    share = lambda c: F.try_divide(F.sum(F.when(c, F.col("n")).otherwise(0)), F.sum("n"))
     return scaled.agg(
-        F.count("*").alias("n"),
-        F.avg((F.col("tenure") == 0).cast("int")).alias("zero_fraction"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
+        share(F.col("tenure") == 0).alias("zero_fraction"),
         F.max("median").alias("median"),
         F.max("scale").alias("scale"),
-        F.avg(far.cast("int")).alias("outlier_ratio"),
+        share(far).alias("outlier_ratio"),
     ).withColumn(
         "sane",
         F.coalesce(
@@ -171,13 +182,16 @@ class Validated:
 def validate(df: DataFrame, cfg: ValidationConfig, ref: str) -> Validated:
     """Accepted and rejected rows (together the input), all errors, and the report.
 
-    A key that is missing seldom enough passes as NULL. A failed batch gate rejects every row. The gates are a
-    few numbers: they decide on the driver; rows never go there.
+    A key that is missing seldom enough passes as NULL. A failed batch gate rejects every row. The judged table is
+    written once, to the shared folder, and everything below reads it. Its counts by day come to the driver, where the
+    batch gates decide; rows never go there.
     """
-    gated = with_errors(df, cfg, ref)
-    passing = [r.key for r in missing_passthrough(gated, cfg).where("passes").collect()]
-    failing = [r for r in column_missingness(gated, cfg).collect() if r.fails and r.key not in passing]
-    sane = tenure_sanity(gated, cfg).first()
+    gated = write_and_read(with_errors(df, cfg, ref), "gated")
+    counts = by_tenure(gated, cfg)
+    days = df.sparkSession.createDataFrame(counts.collect(), counts.schema)
+    passing = [r.key for r in missing_passthrough(days, cfg).where("passes").collect()]
+    failing = [r for r in column_missingness(days, cfg).collect() if r.fails and r.key not in passing]
+    sane = tenure_sanity(days, cfg).first()
     batch_errors = [("COLUMN_MISSINGNESS", r.key) for r in failing] + ([] if sane.sane else [("TENURE_SANITY", "")])
     ignored = F.array(*map(F.lit, passing)).cast("array<string>")
     final = gated.withColumn(
@@ -225,25 +239,44 @@ def correlation_warnings(df: DataFrame, extras: list[str], cfg: ValidationConfig
     return rows.where((F.col("bad") == 0) & (F.abs("r") > cfg.correlation_threshold) & ~F.isnan("r")).drop("bad")
 
 
-def evaluate_promotion(long: DataFrame, cfg: ValidationConfig = ValidationConfig()) -> DataFrame:
-    """``(feature, promote, reason, association)`` from the long form ``(feature, value, event)``."""
-    filled = ~is_blank(F.col("value"))
-    number = to_float(F.col("value"))
-    truthy = filled & (number.isNull() | (number != 0))
-    stats = long.groupBy("feature").agg(
-        F.count("*").alias("n"),
-        F.sum(filled.cast("long")).alias("present"),
-        F.countDistinct(F.when(filled, F.col("value"))).alias("levels"),
-        F.sum((filled & number.isNull()).cast("long")).alias("words"),
-        F.stddev(number).alias("std"),
-        F.sum(F.col("event").cast("long")).alias("events"),
-        (F.avg(F.when(truthy, F.col("event"))) - F.avg(F.when(filled, F.col("event")))).alias("association"),
+def value_counts(long: DataFrame) -> DataFrame:
+    """The long form ``(feature, value, event, tenure)`` counted by feature and value, from which all screening follows.
+
+    ``filled``, ``x`` (the number in the cell), ``n`` rows, ``e`` events, ``z`` rows without one, and the sums of tenure.
+    """
+    t = F.col("tenure")
+    return (
+        long.groupBy("feature", "value")
+        .agg(
+            F.count("*").alias("n"), F.sum(F.col("event").cast("long")).alias("e"), F.count_if(F.col("event") == 0).alias("z"),
+            F.count(t).alias("nt"), F.sum(t).alias("t"), F.sum(t * t).alias("tt"),
+        )
+        .select("*", (~is_blank(F.col("value"))).alias("filled"), to_float(F.col("value")).alias("x"))
+    )
+
+
+def evaluate_promotion(counts: DataFrame, cfg: ValidationConfig = ValidationConfig()) -> DataFrame:
+    """``(feature, promote, reason, missing_fraction, association)`` from ``value_counts``."""
+    filled, x = F.col("filled"), F.col("x")
+    truthy = filled & (x.isNull() | (x != 0))
+
+    def rate(c: Column) -> Column:
+        return F.try_divide(F.sum(F.when(c, F.col("e"))), F.sum(F.when(c, F.col("e") + F.col("z"))))
+
+    stats = counts.groupBy("feature").agg(
+        F.sum("n").alias("n"),
+        F.sum(F.when(filled, F.col("n")).otherwise(0)).alias("present"),
+        F.count_if(filled).alias("levels"),
+        F.count_if(filled & x.isNull()).alias("words"),
+        (F.min("x") == F.max("x")).alias("constant"),
+        F.sum("e").alias("events"),
+        (rate(truthy) - rate(filled)).alias("association"),
     )
     missing = 1 - F.col("present") / F.col("n")
     reason = (
         F.when(missing > cfg.missingness_threshold, "missingness")
         .when(F.col("levels") <= 1, "no variation")
-        .when((F.col("words") == 0) & (F.col("std") == 0), "no variation")
+        .when((F.col("words") == 0) & F.col("constant"), "no variation")
         .when(F.coalesce("events", F.lit(0)) < cfg.promotion_min_events, "sparse events")
         .otherwise("association")
     )

@@ -445,19 +445,19 @@ def duplicate_ids(spark, sf_dir):
     return V.duplicate_ids(canonical_accounts(spark, sf_dir), V.ValidationConfig(), REF)
 
 
-def _gated(spark, sf_dir):
-    return V.with_errors(canonical_accounts(spark, sf_dir), V.ValidationConfig(), REF)
+def _days(spark, sf_dir):
+    return V.by_tenure(V.with_errors(canonical_accounts(spark, sf_dir), V.ValidationConfig(), REF), V.ValidationConfig())
 
 
 @query(CANON + "SELECT key, n_missing, n_evaluable, round(fraction, 6) AS fraction, fraction > 0 AND fraction <= 0.3 AS passes FROM rates")
 def missing_passthrough(spark, sf_dir):
-    return V.missing_passthrough(_gated(spark, sf_dir), V.ValidationConfig()).withColumn("fraction", F.round("fraction", 6))
+    return V.missing_passthrough(_days(spark, sf_dir), V.ValidationConfig()).withColumn("fraction", F.round("fraction", 6))
 
 
 @query(CANON + "SELECT key, n_missing, n_evaluable, round(fraction, 6) AS fraction, fraction > 0.1 AS fails FROM rates")
 def column_missingness(spark, sf_dir):
     strict = V.ValidationConfig(missingness_threshold=0.1)
-    return V.column_missingness(_gated(spark, sf_dir), strict).withColumn("fraction", F.round("fraction", 6))
+    return V.column_missingness(_days(spark, sf_dir), strict).withColumn("fraction", F.round("fraction", 6))
 
 
 @query(
@@ -470,7 +470,7 @@ def column_missingness(spark, sf_dir):
     FROM evaluable, s"""
 )
 def tenure_sanity(spark, sf_dir):
-    one = V.tenure_sanity(_gated(spark, sf_dir), V.ValidationConfig())
+    one = V.tenure_sanity(_days(spark, sf_dir), V.ValidationConfig())
     return one.withColumns({c: F.round(c, 6) for c in ("zero_fraction", "outlier_ratio")})
 
 

@@ -65,9 +65,13 @@ def long_accounts(spark, sf_dir):
     )
 
 
+def counted_accounts(spark, sf_dir):
+    return V.value_counts(long_accounts(spark, sf_dir))
+
+
 @query(LONG + "SELECT feature, reason = 'association' AS promote, reason, round(missing_fraction, 6) AS missing_fraction, round(association, 6) AS association FROM promo2")
 def evaluate_promotion(spark, sf_dir):
-    return rounded(V.evaluate_promotion(long_accounts(spark, sf_dir)), missing_fraction=6, association=6)
+    return rounded(V.evaluate_promotion(counted_accounts(spark, sf_dir)), missing_fraction=6, association=6)
 
 
 @query(
@@ -75,7 +79,7 @@ def evaluate_promotion(spark, sf_dir):
     + "SELECT feature, kind, n_evaluable, n_present, round(1 - n_present / n_evaluable, 6) AS missing_fraction, round(presence_gap, 6) AS presence_gap FROM profile"
 )
 def feature_profile(spark, sf_dir):
-    return rounded(SC.feature_profile(long_accounts(spark, sf_dir)), missing_fraction=6, presence_gap=6)
+    return rounded(SC.feature_profile(counted_accounts(spark, sf_dir)), missing_fraction=6, presence_gap=6)
 
 
 @query(
@@ -83,7 +87,7 @@ def feature_profile(spark, sf_dir):
     + """SELECT feature, round(greatest(raw, 1 - raw), 6) AS auc, CASE WHEN raw > 0.5 THEN 'higher_more_churn' WHEN raw < 0.5 THEN 'higher_less_churn' END AS direction FROM auc_n"""
 )
 def rank_auc(spark, sf_dir):
-    return rounded(SC.rank_auc(long_accounts(spark, sf_dir)), auc=6)
+    return rounded(SC.rank_auc(counted_accounts(spark, sf_dir)), auc=6)
 
 
 @query(
@@ -93,12 +97,12 @@ def rank_auc(spark, sf_dir):
     FROM lev2 JOIN auc_c USING (feature)"""
 )
 def category_screen(spark, sf_dir):
-    return rounded(SC.category_screen(long_accounts(spark, sf_dir)), auc=6)
+    return rounded(SC.category_screen(counted_accounts(spark, sf_dir)), auc=6)
 
 
 @query(LONG + "SELECT feature, CASE WHEN NOT isnan(r) THEN round(r, 6) END AS tenure_correlation FROM tcorr")
 def tenure_correlation(spark, sf_dir):
-    return rounded(SC.tenure_correlation(long_accounts(spark, sf_dir)), tenure_correlation=6)
+    return rounded(SC.tenure_correlation(counted_accounts(spark, sf_dir)), tenure_correlation=6)
 
 
 @query(
