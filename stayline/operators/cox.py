@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import json
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -86,6 +86,19 @@ def _sums(matrix: DataFrame, columns, mean, sd, beta, strata: str | None):
     return out
 
 
+def _tie_sums(s0: float, d0: float, d: int, chunk: int = 1 << 16):
+    """Efron's sums over the d deaths of a day: log phi, and a ** i / phi ** j for the (i, j) that the derivatives need,
+    where a = k / d and phi = s0 - a d0. In pieces, so that a day of many deaths needs no more memory."""
+    import numpy as np
+
+    total = np.zeros(6)
+    for at in range(0, d, chunk):
+        a = np.arange(at, min(d, at + chunk)) / d
+        phi = s0 - a * d0
+        total += [np.log(phi).sum(), (1 / phi).sum(), (a / phi).sum(), (1 / phi**2).sum(), (a / phi**2).sum(), (a * a / phi**2).sum()]
+    return total
+
+
 def _likelihood(sums, beta):
     """Efron log-likelihood, gradient and Hessian."""
     import numpy as np
@@ -94,17 +107,33 @@ def _likelihood(sums, beta):
     ll, g, h = 0.0, np.zeros(p), np.zeros((p, p))
     for s in sums.values():
         for t in np.flatnonzero(s["d"] > 0):
-            d = int(round(s["d"][t]))
-            share = np.arange(d) / d
-            phi = s["S0"][t] - share * s["D0"][t]
-            m1 = (s["S1"][t] - share[:, None] * s["D1"][t]) / phi[:, None]
-            m2 = (s["S2"][t] - share[:, None, None] * s["D2"][t]) / phi[:, None, None]
-            ll += float(beta @ s["X1"][t]) - float(np.log(phi).sum())
-            g += s["X1"][t] - m1.sum(0)
-            h -= (m2 - m1[:, :, None] * m1[:, None, :]).sum(0)
+            logs, u, v, uu, uv, vv = _tie_sums(s["S0"][t], s["D0"][t], int(round(s["d"][t])))
+            s1, d1 = s["S1"][t], s["D1"][t]
+            cross = np.outer(s1, d1)
+            ll += float(beta @ s["X1"][t]) - float(logs)
+            g += s["X1"][t] - (u * s1 - v * d1)
+            h -= u * s["S2"][t] - v * s["D2"][t] - (uu * np.outer(s1, s1) - uv * (cross + cross.T) + vv * np.outer(d1, d1))
     return ll, g, h
 
 
+def _baseline(sums) -> list[tuple]:
+    """Breslow's cumulative hazard and what else ``CoxModel.baseline`` holds."""
+    rows = []
+    for s, v in sums.items():
+        hazard = var = 0.0
+        for t in range(len(v["day"]) - 1, -1, -1):
+            hazard += v["d"][t] / v["S0"][t]
+            var += v["d"][t] / float(v["n"][t]) ** 2
+            rows.append((s, int(v["day"][t]), float(hazard), float(v["d"][t]), float(var), int(v["n"][t])))
+    return rows
+
+
+def with_baseline(model: CoxModel, matrix: DataFrame) -> CoxModel:
+    """The model with the baseline hazard of these rows, given its coefficients."""
+    scaled = [b * s for b, s in zip(model.beta, model.sd)]
+    return replace(model, baseline=_baseline(_sums(matrix, model.columns, model.mean, model.sd, scaled, model.strata)))
+
+
 def cox_fit(matrix: DataFrame, specs: list[FeatureSpec], cfg: SurvivalConfig = SurvivalConfig(), strata: str | None = None, steps: int = 25) -> CoxModel:
     """Newton with step halving; a stratum column's own dummies are left out."""
     import numpy as np
@@ -144,14 +173,7 @@ def cox_fit(matrix: DataFrame, specs: list[FeatureSpec], cfg: SurvivalConfig = S
             break
     sd_a = np.array(sd)
     cov = np.linalg.inv(-(h - n * ridge * np.eye(p))) / np.outer(sd_a, sd_a)
-    baseline = []
-    for s, v in sums.items():
-        hazard = var = 0.0
-        for t in range(len(v["day"]) - 1, -1, -1):
-            hazard += v["d"][t] / v["S0"][t]
-            var += v["d"][t] / float(v["n"][t]) ** 2
-            baseline.append((s, int(v["day"][t]), float(hazard), float(v["d"][t]), float(var), int(v["n"][t])))
-    return CoxModel(columns, (beta / sd_a).tolist(), mean, sd, cov.tolist(), n, int(events), strata, baseline)
+    return CoxModel(columns, (beta / sd_a).tolist(), mean, sd, cov.tolist(), n, int(events), strata, _baseline(sums))
 
 
 def hazard_ratios(spark: SparkSession, model: CoxModel) -> DataFrame:
@@ -461,14 +483,21 @@ class SurvivalModel:
     warnings: list[str]
     median_tenure: float
     life_tables: DataFrame | None = None
+    #: Concordance of the delivered scores, and its resampling interval.
+    c_index: float | None = None
+    c_interval: tuple[float, float] | None = None
 
 
 def fit_survival(df: DataFrame, predictors: list[str], cfg: SurvivalConfig = SurvivalConfig()) -> SurvivalModel:
-    """States, matrix, gates, life tables, Cox and its assumptions; a failed Cox falls back to life tables."""
+    """States, matrix, gates, life tables, Cox, its assumptions and its concordance; a failed Cox falls back to life tables.
+
+    The concordance ranks by the risk score that is delivered (strata have their own baselines), which is the order of
+    the linear predictor where there are none.
+    """
     states = customer_states(df, predictors, cfg)
-    scored = states.where("state = 'SCORED'")
+    scored = write_and_read(states.where("state = 'SCORED'"), "scored")
     specs = feature_specs(scored, predictors, cfg)
-    matrix = design_matrix(scored, specs)
+    matrix = write_and_read(design_matrix(scored, specs), "matrix")  # every step of the fit reads it
     n_input = df.count()
     blocked = [r.gate for r in eligibility(matrix, specs, max(1, n_input), cfg).collect() if not r.ok]
     median = matrix.agg(F.percentile("duration", 0.5)).first()[0]
@@ -490,7 +519,14 @@ def fit_survival(df: DataFrame, predictors: list[str], cfg: SurvivalConfig = Sur
         decision, model = "fallback", None
         raised.append(str(x))
     status = "FALLBACK" if decision == "fallback" else "WARNING" if raised or decision == "stratify" else "READY"
-    return SurvivalModel(status, specs, model, horizons, segment, raised, float(median), tables)
+    fitted = SurvivalModel(status, specs, model, horizons, segment, raised, float(median), tables)
+    if model:
+        risk = cox_scores(model, matrix, horizons or [90], float(median)) if model.strata else matrix.select("customer_id", model.linear().alias("risk_score"))
+        ranked = write_and_read(matrix.select("customer_id", "duration", "event").join(risk.select("customer_id", F.col("risk_score").alias("score")), "customer_id"), "ranked")
+        fitted.c_index = c_index(ranked.drop("customer_id")).first().c_index
+        if cfg.bootstrap > 1:
+            fitted.c_interval = tuple(c_index_bootstrap(ranked, cfg.bootstrap).first())
+    return fitted
 
 
 def score_survival(model: SurvivalModel, df: DataFrame, predictors: list[str], cfg: SurvivalConfig = SurvivalConfig()) -> DataFrame:
