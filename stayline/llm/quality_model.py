@@ -9,8 +9,9 @@ hashed text features, which scores every document, also where no labeller votes.
 from __future__ import annotations
 
 import re
+import string
+from collections import Counter
 from dataclasses import dataclass
-from functools import lru_cache
 from operator import eq
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +30,10 @@ ROUNDS = 100
 _PLAIN = re.compile(r"""[("'«„“]*[^\W_]+(?:[-'’][^\W_]+)*[)"'»“”]*[.,;:!?…]?[)"'»“”]*""")
 
 
+_ASCII = re.compile(r"[\x00-\x7f]+")
+_CAPITALS, _LETTERS = string.ascii_uppercase.encode(), string.ascii_letters.encode()
+
+
 def measure(text: str | None, compress) -> tuple[list[int], list[int]]:
     """A vote of each labeller (1 good, 2 bad, 0 none), and the slots of the text's hashed features.
 
@@ -51,12 +56,14 @@ def measure(text: str | None, compress) -> tuple[list[int], list[int]]:
     votes = [0] * (len(LABELLERS) - 1) + [2]
     if n:
         spelled = text.split()
-        letters = sum(map(str.isalpha, text)) or 1
-        plain = sum(map(bool, map(_PLAIN.fullmatch, spelled))) / max(1, len(spelled))
+        rest = _ASCII.sub("", text)
+        capitals = len(raw) - len(raw.translate(None, _CAPITALS)) + sum(map(str.isupper, rest))
+        letters = len(raw) - len(raw.translate(None, _LETTERS)) + sum(map(str.isalpha, rest)) or 1
+        plain = sum(map(_PLAINNESS.__getitem__, spelled)) / max(1, len(spelled))
         long = len(raw) > 300
         votes = [
             2 if symbols > 0.15 * n else 0,
-            2 if letters > 20 and sum(map(str.isupper, text)) > 0.5 * letters else 0,
+            2 if letters > 20 and capitals > 0.5 * letters else 0,
             1 if plain >= 0.97 else 2 if plain < 0.75 else 0,
             2 if n >= 8 and pairs > 0.12 * n else 0,
             2 if len(lines) > 3 and n_lines < 0.6 * len(lines) else 0,
@@ -69,10 +76,7 @@ def measure(text: str | None, compress) -> tuple[list[int], list[int]]:
         return min(6, int(8 * share**0.5))
 
     m = max(1, n)
-    shapes: dict[str, int] = {}
-    for w in words:
-        kind = _shape(w)
-        shapes[kind] = shapes.get(kind, 0) + 1
+    shapes = Counter(map(_SHAPES.__getitem__, words))
     tokens = [f"shape {s} {level(c / m)}" for s, c in sorted(shapes.items(), key=lambda x: (-x[1], x[0]))[:40]]
     tokens += [
         f"words {min(12, m.bit_length())}",
@@ -85,13 +89,29 @@ def measure(text: str | None, compress) -> tuple[list[int], list[int]]:
     return votes, sorted({zlib.crc32(t.encode()) % SLOTS for t in tokens})
 
 
-@lru_cache(maxsize=200_000)
+class _Memo(dict):
+    """What a function of one word gave, for a bounded number of words."""
+
+    def __init__(self, function, most: int = 300_000):
+        self.function, self.most = function, most
+
+    def __missing__(self, word):
+        if len(self) >= self.most:
+            self.clear()
+        value = self[word] = self.function(word)
+        return value
+
+
 def _shape(word: bytes) -> str:
     s = word.decode("utf-8", "replace")
     kind = ("A" if s.isupper() and len(s) > 1 else "a" if s.isalpha() else "0" if s.isdigit() else "")
     return kind or re.sub(r"[^\W\d_]+", "a", re.sub(r"\d+", "0", s))[:6]
 
 
+_SHAPES = _Memo(_shape)
+_PLAINNESS = _Memo(lambda w: _PLAIN.fullmatch(w) is not None)
+
+
 @dataclass(frozen=True)
 class LabelModel:
     """``share`` of good documents, and for each labeller the chance of each vote given good and bad."""
@@ -160,8 +180,9 @@ def signals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
     """``(doc_id, weak_label, score, kept)``, one row for each input row; score is the chance of good quality.
 
-    Null and empty texts get a vote for empty. Rows with a null id are scored, but not trained on. Repeated rows and
-    rows that share an id stay, each with its own votes and features; how rows are dealt to tasks changes nothing. An
+    Null and empty texts get a vote for empty. Rows with a null id are scored, but not trained on, and rows that repeat
+    train once. Repeated rows and rows that share an id stay, each with its own votes and features; how rows are dealt
+    to tasks changes nothing. An
     empty table gives an empty result; other columns are ignored. ``weak_label`` is the posterior.
     """
     import numpy as np
@@ -169,8 +190,10 @@ def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found = materialize(signals(docs, id_col, text_col), "quality-signals")
     patterns = found.groupBy("votes").count().collect()  # at most 3 ** len(LABELLERS) patterns
     model = fit_label_model(sorted((list(r.votes), r["count"]) for r in patterns))
-    order = [F.xxhash64("doc_id", "votes", "cols"), F.col("doc_id"), F.col("votes"), F.col("cols")]
-    train = found.where("doc_id is not null").orderBy(*order).limit(sample).select("votes", "cols").collect()
+    place = F.pmod(F.xxhash64("doc_id", "votes", "cols"), F.lit(1 << 32))
+    share = min(1.0, 2 * sample / max(1, sum(r["count"] for r in patterns)))  # so that tasks bring about 2 * sample rows
+    drawn = found.where(F.col("doc_id").isNotNull() & (place < int(share * (1 << 32)))).distinct()
+    train = drawn.orderBy(place, "doc_id", "votes", "cols").limit(sample).select("votes", "cols").collect()
     train.sort(key=lambda r: (r.votes, r.cols))
     coef, bias = fit_logistic(
         [r.cols for r in train], [model.posterior(r.votes) for r in train], np.ones(len(train)), SLOTS, l2=1e-4
