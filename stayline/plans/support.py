@@ -53,14 +53,16 @@ define(
     f"""SELECT 'T-' || CAST(user_id AS STRING) || '-' || CAST(@since(ts) AS STRING) AS thread_id,
          'm' || CAST(event_id AS STRING) AS message_id, CASE WHEN user_id % 29 = 7 THEN ' ' ELSE 'CUST-' || CAST(user_id AS STRING) END AS customer_id, ts,
          CASE WHEN event_id % 20 = 0 THEN 'system' WHEN event_type = 'view' THEN 'agent' ELSE 'customer' END AS role,
-         (event_id * 7 + user_id) % 16 AS phrase, CASE (event_id * 7 + user_id) % 16 {_CASE} END AS text FROM events""",
+         user_id, @since(ts) AS day, (event_id * 7 + user_id) % 16 AS phrase, CASE (event_id * 7 + user_id) % 16 {_CASE} END AS text FROM events""",
 )
 
 define(
     "support_threads",
     "support_messages",
     """SELECT thread_id, customer_id, min(ts) AS created_at, min(text) AS subject, CASE WHEN min(phrase) % 5 = 1 THEN 'EN_us' END AS language,
-         CAST(NULL AS STRING) AS duplicate_of, 'native' AS source FROM support_messages GROUP BY thread_id, customer_id""",
+         CASE min(phrase) % 4 WHEN 1 THEN 'T-' || CAST(max(user_id) AS STRING) || '-' || CAST(max(day) - 1 AS STRING)
+           WHEN 2 THEN 'T-' || CAST(max(user_id) AS STRING) || '-' || CAST(max(day) + 1 AS STRING) WHEN 3 THEN 'T-none' END AS duplicate_of,
+         'native' AS source FROM support_messages GROUP BY thread_id, customer_id""",
 )
 # phrase -> flag type, severity, strength, sentiment, rule; as the keyword rules see the phrases
 _FLAGS = {
@@ -136,10 +138,10 @@ def _q_language(text: str) -> str:
 
     parts = []
     for code in LANGUAGES:
-        words = ", ".join(f"'{w}'" for w in STOPWORDS[code].split())
+        words = ", ".join(f"'{w}'" for w in STOPWORDS[code])
         score = f"len(list_intersect(w, [{words}]))"
         if code in ACCENTS:
-            score += f" + 0.5 * (length(low) - length(translate(low, '{ACCENTS[code]}', '')))"
+            score += f" + 0.5 * (length(low) - length(translate(low, '{''.join(ACCENTS[code])}', '')))"
         parts.append(f"{score} AS s_{code}")
     pick = " ".join(f"WHEN s_{c} = best THEN '{c}'" for c in LANGUAGES)
     return rf"""(SELECT *, CASE WHEN best > 0 AND len(w) > 0 THEN CASE {pick} END END AS detected FROM (SELECT *, greatest({', '.join(f's_{c}' for c in LANGUAGES)}) AS best FROM (
@@ -187,7 +189,24 @@ def thread_similarity(spark, sf_dir):
     return rounded(T.thread_similarity(docs_of(spark, sf_dir)), cosine=6)
 
 
-@query()
+def _ratio_rows() -> str:
+    """The matching-blocks ratio of each two phrases (the subjects of the threads), as the standard library gives it."""
+    from difflib import SequenceMatcher
+
+    norm = [" ".join(p.lower().split()) for p in PHRASES]
+    rows = [(a, b, SequenceMatcher(None, x, y).ratio()) for a, x in zip(PHRASES, norm) for b, y in zip(PHRASES, norm)]
+    return ", ".join(f"('{a}', '{b}', {r!r})" for a, b, r in rows)
+
+
+_SHARED = " OR ".join(f"(contains(lower(x.doc), '{k}') AND contains(lower(y.doc), '{k}'))" for k in T.KEY_PHRASES)
+
+
+@query(
+    SIMILAR
+    + f""", ratios AS (SELECT * FROM (VALUES {_ratio_rows()}) v(sa, sb, ratio))
+    SELECT sim.customer_id, a, b FROM sim JOIN docs x ON x.thread_id = a JOIN docs y ON y.thread_id = b LEFT JOIN ratios ON sa = x.subject AND sb = y.subject
+    WHERE cosine >= {CFG.dedup_cosine} AND (({_SHARED}) OR coalesce(ratio, 0) >= {CFG.dedup_subject})"""
+)
 def duplicate_pairs(spark, sf_dir):
     return T.duplicate_pairs(docs_of(spark, sf_dir), CFG)
 
@@ -216,7 +235,30 @@ def cap_threads(spark, sf_dir):
     return T.cap_threads(docs, CFG).select("thread_id", "tokens", "kept", "budget_exceeded")
 
 
-@query(ctes("support_flags") + "SELECT thread_id, flag_type, severity, signal_strength, sentiment, rule, message_id FROM support_flags")
+def q_mentions(source: str, key: str, keywords: list[tuple[str, int]]) -> str:
+    """DuckDB: the rows of ``source`` whose text meets a rule, from (keyword, rule): the text before each place of each
+    keyword must not end in a word, nor hold a negation among its last three tokens."""
+    words = ", ".join(f"('{k}', {r})" for k, r in keywords)
+    negations = ", ".join("'" + n.replace("'", "''") + "'" for n in T.NEGATIONS)
+    return f"""(SELECT DISTINCT {key}, rule FROM (
+      SELECT {key}, rule, left(text, (list_sum([length(x) FOR x IN pieces[1:i]]) + (i - 1) * length(keyword))::BIGINT) AS before FROM (
+        SELECT {key}, lower(text) AS text, keyword, rule, pieces, unnest(range(1, len(pieces))) AS i FROM (
+          SELECT {key}, text, keyword, rule, string_split(lower(text), keyword) AS pieces FROM {source}, (VALUES {words}) k(keyword, rule)
+          WHERE contains(lower(text), keyword)))) WHERE NOT regexp_matches(before, '[\\p{{L}}\\p{{N}}_]$')
+      AND NOT list_has_any(regexp_extract_all(before, '[\\p{{L}}\\p{{N}}_'']+')[-3:], [{negations}]))"""
+
+
+_RULE_WORDS = [(k, n) for n, rule in enumerate(T.FLAG_RULES) for k in rule[4]]
+_RULE_ROWS = ", ".join(f"({n}, '{r[0]}', '{r[1]}', '{r[2]}', CAST({r[3]} AS DOUBLE))" for n, r in enumerate(T.FLAG_RULES))
+
+
+@query(
+    ctes("support_messages")
+    + f""", src AS (SELECT * FROM support_messages WHERE role = 'customer'), met AS {q_mentions('src', 'message_id', _RULE_WORDS)},
+    hits AS (SELECT src.thread_id, src.message_id, src.ts, v.* FROM met JOIN src USING (message_id) JOIN (VALUES {_RULE_ROWS}) v(rule, flag_type, severity, signal_strength, sentiment) USING (rule))
+    SELECT thread_id, flag_type, severity, signal_strength, sentiment, rule, message_id FROM (
+      SELECT *, row_number() OVER (PARTITION BY thread_id, flag_type ORDER BY rule, ts, message_id) AS k FROM hits) WHERE k = 1"""
+)
 def extract_flags(spark, sf_dir):
     found = T.extract_flags(_v(spark, sf_dir, "support_messages").select("thread_id", "message_id", "ts", "role", "text"))
     return found.select("thread_id", "flag_type", "severity", "signal_strength", "sentiment", "rule", "message_id")

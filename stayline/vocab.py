@@ -1,12 +1,12 @@
 """Vocabularies and constants. They must equal the definitions that results are compared with."""
 
 CHURN_WORDS = (
-    "cancellation", "canceled", "cancelled", "churn", "churned", "closed", "customer-offboarding",
-    "inactive", "lost", "terminated", "true", "yes",
+    "churned", "churn", "canceled", "cancelled", "cancellation", "yes", "inactive", "closed", "true", "terminated",
+    "lost", "customer-offboarding",
 )
 ACTIVE_WORDS = (
-    "active", "current", "customer", "false", "incomplete", "lead", "no", "open", "opportunity", "past_due",
-    "paused", "solved", "subscribed", "subscriber", "trialing", "trialling",
+    "active", "no", "current", "open", "false", "subscribed", "trialing", "trialling", "past_due", "incomplete",
+    "paused", "customer", "opportunity", "lead", "subscriber", "solved",
 )
 HIERARCHY_RANK = {
     "cancellation_intent": 1, "renewal_or_contract_concern": 2, "product_bug_or_outage": 3,
@@ -72,11 +72,68 @@ FLAG_RULES = (
 )
 LANGUAGES = ("en", "es", "de", "fr")
 STOPWORDS = {
-    "en": "the and to of a is it you we i this that my can please help how do not for on",
-    "es": "el la los las de que y en un una por para con no mi es como pero muy estoy ayuda",
-    "de": "der die das und ich nicht ist zu den mit ein eine für auf sie wir bitte kann wie mein",
-    "fr": "le la les de et un une je ne pas que pour avec est dans sur mon vous nous aide",
+    "en": (
+        "the", "and", "to", "of", "a", "is", "it", "you", "we", "i", "this", "that", "my", "can", "please", "help", "how",
+        "do", "not", "for", "on"),
+    "es": (
+        "el", "la", "los", "las", "de", "que", "y", "en", "un", "una", "por", "para", "con", "no", "mi", "es", "como",
+        "pero", "muy", "estoy", "ayuda"),
+    "de": (
+        "der", "die", "das", "und", "ich", "nicht", "ist", "zu", "den", "mit", "ein", "eine", "für", "auf", "sie", "wir",
+        "bitte", "kann", "wie", "mein"),
+    "fr": (
+        "le", "la", "les", "de", "et", "un", "une", "je", "ne", "pas", "que", "pour", "avec", "est", "dans", "sur", "mon",
+        "vous", "nous", "aide"),
+}
+ACCENTS = {
+    "es": ("ñ", "¿", "¡", "á", "é", "í", "ó", "ú"),
+    "de": ("ß", "ä", "ö", "ü"),
+    "fr": ("ç", "è", "ê", "à", "ù", "œ", "â"),
 }
-ACCENTS = {"es": "ñ¿¡áéíóú", "de": "ßäöü", "fr": "çèêàùœâ"}
 LEAKY_NAMES = "churn|cancel|attrit|terminat|exit|closed|left|reason|outcome|label|target"
 CORE_KEYS = ("plan_tier", "contract_length_months", "usage_frequency")
+
+# What explanations are searched for.
+MONTHS = (
+    "january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november",
+    "december",
+)
+NUMBER_WORDS = {
+    "zero": 0, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9,
+    "ten": 10, "eleven": 11, "twelve": 12, "thirteen": 13, "fourteen": 14, "fifteen": 15, "sixteen": 16,
+    "seventeen": 17, "eighteen": 18, "nineteen": 19, "twenty": 20, "thirty": 30, "forty": 40, "fifty": 50, "sixty": 60,
+    "seventy": 70, "eighty": 80, "ninety": 90, "hundred": 100,
+}
+CANCELLATION_PHRASES = ("cancel", "terminat", "end the contract", "leave us")
+PROBABILITY_PHRASES = ("% chance", "chance of", "probability of churn", "likely to churn", "probability that")
+CALM_PHRASES = ("will remain active", "remain active", "stays active", "stay active", "no risk")
+FLAG_PHRASES = {
+    "competitor_mention": (
+        "competitor", "competition", "competing", "switch to", "switching to", "switching provider",
+        "alternative provider", "another provider", "another vendor", "other vendor"),
+    "usage_drop_related": (
+        "usage decline", "usage drop", "declining usage", "declining activity", "reduced usage", "reduced activity",
+        "usage has declined", "less active"),
+    "renewal_or_contract_concern": (
+        "renewal concern", "contract concern", "renewal", "contract renewal", "contract expiry", "contract expiring"),
+    "product_bug_or_outage": (
+        "outage", "product bug", "product issue", "product problem", "downtime", "system failure"),
+    "poor_support_experience": (
+        "poor support", "unresolved complaint", "support experience", "bad support", "support issues"),
+    "billing_complaint": (
+        "billing complaint", "billing issue", "invoice", "overcharged", "billing problem", "billing", "pricing", "price",
+        "expensive", "overpriced", "too costly", "cost concern"),
+    "feature_missing": ("missing feature", "feature request", "requested functionality", "feature gap"),
+}
+DISSATISFACTION_PHRASES = ("frustrat", "dissatisf", "unhappy", "disappointed", "annoyed", "upset")
+FACT_PHRASES = (
+    "has been with us", "has been a customer", "has been our customer", "years of experience", "long-time customer",
+    "long time customer", "contacted support", "contacted us", "reached out to support", "changed their plan",
+    "changed plans", "changed their subscription", "signed up", "onboarded", "acquired", "acquisition", "merger",
+    "merged", "bankrupt", "laid off", "headquarters", "subsidiary",
+)
+ACTION_PHRASES = (
+    "offer", "discount", "refund", "upgrade", "downgrade", "escalate", "compensate", "compensation", "waive",
+    "retention", "incentive", "contact sales", "reach out", "schedule", "provide", "credit", "reimburse", "apologize",
+    "expedite", "upsell", "cross-sell", "migrate", "contact", "call", "follow up", "follow-up", "meeting", "reach the",
+)
