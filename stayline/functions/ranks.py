@@ -1,43 +1,43 @@
-"""Running sums and ranks over large ordered sets, without a window that holds everything in one task."""
+"""Running sums and ranks over large ordered sets, without a window that holds everything in one task.
+
+Rows are dealt to tasks by ranges of the whole order, as many as the session shuffles into, and written with the number
+of their range. Counts of the ranges give offsets; only rows of one range are sorted together.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 64
+from .components import write_and_read
 
 
-def with_buckets(df: DataFrame, by: list[str], order: str, buckets: int = BUCKETS) -> DataFrame:
-    """Adds ``_bucket``: the place of ``order`` among its group's approximate quantiles; equal values share one."""
-    shares = [i / buckets for i in range(1, buckets)]
-    bounds = df.groupBy(*by).agg(F.percentile_approx(order, shares, 2000).alias("_bounds"))
-    joined = df.join(bounds, by) if by else df.crossJoin(F.broadcast(bounds))  # without groups: one row of bounds
-    bucket = F.size(F.filter("_bounds", lambda b: b <= F.col(order)))
-    return joined.withColumn("_bucket", F.when(F.col(order).isNull(), -1).otherwise(bucket)).drop("_bounds")
+def in_ranges(df: DataFrame, order: list) -> DataFrame:
+    """``df``, written, with ``_range``: rows of a smaller range come before those of a larger one; peers share one."""
+    return write_and_read(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
 
 
-def running_sum(df: DataFrame, by: list[str], order: str, value: str, name: str, buckets: int = BUCKETS) -> DataFrame:
+def running_sum(df: DataFrame, by: list[str], order: str, value: str, name: str) -> DataFrame:
     """Adds the sum of ``value`` over rows of the group up to this ``order`` (peers included)."""
-    rows = with_buckets(df, by, order, buckets)
-    totals = rows.groupBy(*by, "_bucket").agg(F.sum(value).alias("_t"))
-    w = Window.partitionBy(*by).orderBy("_bucket")
-    before = totals.select(*by, "_bucket", (F.sum("_t").over(w) - F.col("_t")).alias("_before"))
-    inside = Window.partitionBy(*by, "_bucket").orderBy(order)
+    rows = in_ranges(df, [*by, order])
+    totals = rows.groupBy(*by, "_range").agg(F.sum(value).alias("_t"))
+    w = Window.partitionBy(*by).orderBy("_range")
+    before = totals.select(*by, "_range", (F.sum("_t").over(w) - F.col("_t")).alias("_before"))
+    inside = Window.partitionBy(*by, "_range").orderBy(order)
     return (
         rows.withColumn("_inside", F.sum(value).over(inside))
-        .join(before, [*by, "_bucket"])
+        .join(before, [*by, "_range"])
         .withColumn(name, F.col("_before") + F.col("_inside"))
-        .drop("_bucket", "_inside", "_before")
+        .drop("_range", "_inside", "_before")
     )
 
 
-def global_rank(df: DataFrame, leading: str, order: list, name: str = "rank", buckets: int = BUCKETS) -> DataFrame:
-    """Adds 1..n by ``order``; ``leading`` is a numeric column that sorts as the first of ``order``."""
-    rows = with_buckets(df, [], leading, buckets)
-    totals = rows.groupBy("_bucket").agg(F.count("*").alias("_t"))  # at most one row for each bucket
-    before = totals.select("_bucket", (F.sum("_t").over(Window.orderBy("_bucket")) - F.col("_t")).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order))
-    return rows.withColumn("_i", inside).join(F.broadcast(before), "_bucket").withColumn(
+def global_rank(df: DataFrame, order: list, name: str = "rank") -> DataFrame:
+    """Adds 1..n by ``order``, which should tell all rows apart: ties in its first columns don't share a task."""
+    rows = in_ranges(df, order)
+    totals = rows.groupBy("_range").agg(F.count("*").alias("_t"))  # one row for each range
+    before = totals.select("_range", (F.sum("_t").over(Window.orderBy("_range")) - F.col("_t")).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return rows.withColumn("_i", inside).join(F.broadcast(before), "_range").withColumn(
         name, (F.col("_before") + F.col("_i")).cast("long")
-    ).drop("_bucket", "_before", "_i")
+    ).drop("_range", "_before", "_i")

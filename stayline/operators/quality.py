@@ -104,10 +104,10 @@ def retention(runs: DataFrame, now: str, ttl_days: int = 30, keep: int = 100) ->
     when = F.coalesce("finished_at", "started_at", "created_at")
     old = F.datediff(F.lit(now).cast("date"), F.to_date(when)) > ttl_days
     expired = F.col("status").isin("stopped", "interrupted", "failed") & old
-    # numbering within blocks of creation days would need offsets; a run index is small
-    nth = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc_nulls_last("created_at"), "run_id"))
-    rows = runs.withColumn("_n", nth)
-    reason = F.when(expired, "expired").when((F.col("_n") > keep) & ~F.col("status").isin("queued", "running"), "beyond newest")
+    newest = runs.orderBy(F.desc_nulls_last("created_at"), "run_id").limit(keep).select("run_id", F.lit(True).alias("_newest"))
+    rows = runs.join(F.broadcast(newest), "run_id", "left")  # as many as are kept
+    older = F.col("_newest").isNull() & ~F.col("status").isin("queued", "running")
+    reason = F.when(expired, "expired").when(older, "beyond newest")
     return rows.select("run_id", reason.alias("reason")).where("reason is not null")
 
 

@@ -239,12 +239,12 @@ def score_accounts(accounts: DataFrame, model_status: str = "READY", cfg: Rankin
 def rank_accounts(scored: DataFrame) -> DataFrame:
     """Adds ``rank`` 1..n in the total order; accounts with insufficient data are left out."""
     level = lookup(F.col("level"), {n: k for k, n in enumerate(LEVELS)})
-    rows = scored.where("level != 'insufficient_data'").withColumn("_level", level).withColumn("_lead", F.col("_level") * 10.0 - F.col("score"))
+    rows = scored.where("level != 'insufficient_data'").withColumn("_level", level)
     order = [
         F.col("_level"), F.desc("score"), F.desc("churn_language"), F.desc(lookup(F.col("strongest"), STRENGTH_ORDER)),
         F.desc_nulls_last("quant"), F.desc("confidence"), F.col("customer_id"),
     ]
-    return global_rank(rows, "_lead", order).drop("_level", "_lead")
+    return global_rank(rows, order).drop("_level")
 
 
 def ranking_summary(scored: DataFrame, churned: DataFrame) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import lookup
+from ..vocab import (
+    ACTION_PHRASES, CALM_PHRASES, CANCELLATION_PHRASES, DISSATISFACTION_PHRASES, FACT_PHRASES, FLAG_PHRASES, LEVELS, MONTHS, NUMBER_WORDS,
+    PROBABILITY_PHRASES,
+)
 
 # Actions in their order of priority.
 ACTIONS = {
@@ -177,55 +179,96 @@ def check_report(report: DataFrame, ranked: DataFrame) -> DataFrame:
     return j.select("customer_id", F.explode(fields).alias("field"))
 
 
-_NUMBER = re.compile(r"\b\d+(?:\.\d+)?%?")
-_DATE = re.compile(r"\b\d{4}-\d{2}-\d{2}\b")
-_LEVELS = ("critical", "high", "medium", "low")
-_CANCEL = ("cancel", "terminat", "end the contract", "leave us")
-_CHANCE = ("% chance", "chance of", "probability of churn", "likely to churn")
-_CALM = ("remain active", "stays active", "stay active", "no risk")
+# --- explanations in free text -----------------------------------------------------------------------------
+
+_DAY = r"\b\d{4}-\d{2}-\d{2}\b"
+_CLOCK = r"\b\d{1,2}:\d{2}(?::\d{2})?\b"
+_MONTH = "(?:" + "|".join(MONTHS) + ")"
+_MONTH_DAY = rf"(?i)\b{_MONTH}\s+\d{{1,2}}(?:,\s*\d{{4}})?\b|\b{_MONTH}\s+\d{{4}}\b|\b\d{{1,2}}\s+{_MONTH}(?:\s+\d{{4}})?\b"
+_NUMBER = r"\b\d+(?:\.\d+)?%?"
+_NUMBER_WORD = r"\b(?:" + "|".join(NUMBER_WORDS) + r")\b"
+_EVIDENCE = r"\b(?:msg|thr)_[A-Za-z0-9_]+"
+EXPLANATION_CODES = (
+    "UNSUPPORTED_NUMBER", "UNSUPPORTED_DATE", "UNSUPPORTED_TIMESTAMP", "UNSUPPORTED_EVIDENCE", "UNSUPPORTED_CUSTOMER_FACT",
+    "UNSUPPORTED_RISK_FACTOR", "RISK_LEVEL_MISMATCH", "UNSUPPORTED_CANCELLATION_CLAIM", "CONFIDENCE_AS_PROBABILITY",
+    "UNSUPPORTED_RECOMMENDATION", "CONTRADICTS_NODE4",
+)
+
+
+def _all(text: Column, pattern: str) -> Column:
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+
+
+def _phrases(low: Column, phrases) -> Column:
+    """Those of the phrases that stand anywhere in the text."""
+    return F.filter(F.array(*map(F.lit, phrases)), lambda p: low.contains(p))
+
+
+def _number_is_known(token: Column) -> Column:
+    """A number of d decimals is known where some fact rounds to it at d decimals (at least one; ties either way), or
+    agrees with it in six significant digits; an integer also where it is one of the facts' integers."""
+    six = lambda x: F.format_string("%.5e", x)
+    value = token.cast("double")
+    decimals = F.greatest(F.lit(1), F.length(F.regexp_extract(token, r"\.(\d*?)0*$", 1)))
+    close = lambda n: (decimals <= 4) & (F.abs(value - n) <= 0.5 * F.pow(F.lit(10.0), -decimals) * (1 + 1e-9))
+    fits = F.exists("numbers", lambda n: n.isNotNull() & ((six(n) == six(value)) | close(n)))
+    whole = token.rlike(r"^\d+$") & F.exists("integers", lambda n: n.cast("double") == value)
+    return F.coalesce(fits, F.lit(False)) | F.coalesce(whole, F.lit(False))
 
 
 def check_explanations(texts: DataFrame, facts: DataFrame) -> DataFrame:
-    """``(customer_id, code, found)``: what a free-text explanation claims beyond the account's facts.
+    """``(customer_id, code, found)``: what a free-text explanation ``(customer_id, text)`` claims beyond the facts.
 
-    ``facts(customer_id, level, numbers array<double>, flag_types array<string>, reference_date)``. Dates, numbers,
-    level words, cancellation, chances, and reassurance on a risky account are held against them (Arrow batches).
+    ``facts(customer_id, display_name, level, numbers array<double>, integers array<bigint>, flag_types array<string>,
+    evidence_ids array<string>, recommendation, reference_date date)``. The customer's id and name are blanked first.
+    Numbers, number words, dates, times and evidence ids must be among the facts; percentages never are. Level words
+    must be the account's; topics need their flag, displeasure any flag that isn't praise, cancellation its own flag;
+    chances, invented customer facts, actions outside the recommendation, and calm about a risky account are named.
     """
-    rows = texts.join(facts, "customer_id").select(
-        "customer_id", "text", "level", F.array_join(F.transform("numbers", lambda x: x.cast("string")), "|").alias("numbers"),
-        F.array_join("flag_types", "|").alias("flags"), F.col("reference_date").cast("string").alias("reference_date"),
+    word = lambda c: F.concat(F.lit(r"(?i)(?<!\w)\Q"), F.trim(c), F.lit(r"\E(?!\w)"))
+    name = F.coalesce(F.when(F.trim("display_name") != "", F.col("display_name")), F.col("customer_id"))
+    longer, shorter = F.when(F.length(name) >= F.length("customer_id"), name).otherwise(F.col("customer_id")), F.when(F.length(name) >= F.length("customer_id"), F.col("customer_id")).otherwise(name)
+    masked = F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), word(longer), F.lit(" ")), word(shorter), F.lit(" "))
+    none = lambda c: F.coalesce(c, F.array().cast(facts.schema[c].dataType))
+    lists = {c: none(c) for c in ("numbers", "integers", "flag_types", "evidence_ids")}
+    rows = texts.join(facts, "customer_id").withColumns(lists | {"t": masked})
+    rows = rows.withColumns(
+        {
+            "low": F.lower("t"),
+            "undated": F.regexp_replace("t", _DAY, " "),
+            "actions": F.concat(
+                F.array(F.lit("recommend"), F.lit("recommended")), _all(F.lower(F.coalesce("recommendation", F.lit(""))), r"[a-z][a-z\-']+")
+            ),
+        }
     )
-
-    def allowed_forms(numbers: str) -> set[float]:
-        out = set()
-        for n in filter(None, numbers.split("|")):
-            out |= {round(float(n), d) for d in (1, 2, 3, 4)} | {float(n)}
-        return out
-
-    def violations(r) -> list[tuple[str, str]]:
-        text, found = (r.text or ""), []
-        for d in _DATE.findall(text):
-            if d != r.reference_date:
-                found.append(("DATE", d))
-        rest = _DATE.sub(" ", text).replace(r.customer_id, " ")
-        numbers = allowed_forms(r.numbers)
-        found += [("NUMBER", n) for n in _NUMBER.findall(rest) if float(n.rstrip("%")) not in numbers and n != "90"]
-        low = rest.lower()
-        words = set(re.findall(r"[a-z]+", low))
-        found += [("LEVEL", w) for w in _LEVELS if f"{w} risk" in low and w != r.level]
-        if any(p in low for p in _CANCEL) and "cancellation_intent" not in r.flags.split("|"):
-            found.append(("CANCELLATION", "cancel"))
-        if any(p in low for p in _CHANCE):
-            found.append(("PROBABILITY", "chance"))
-        if any(p in low for p in _CALM) and r.level in ("critical", "high") and words:
-            found.append(("CONTRADICTION", "calm"))
-        return found
-
-    def run(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            out = [(r.customer_id, c, f) for r in pdf.itertuples() for c, f in violations(r)]
-            yield pd.DataFrame(out, columns=["customer_id", "code", "found"], dtype="str")
-
-    return rows.mapInPandas(run, "customer_id string, code string, found string")
+    low, flagged = F.col("low"), lambda f: F.array_contains("flag_types", f)
+    bare = F.regexp_replace(F.regexp_replace("undated", _CLOCK, " "), _MONTH_DAY, " ")
+    numbers = F.filter(_all(bare, _NUMBER), lambda n: n.endswith("%") | ~_number_is_known(F.regexp_replace(n, "%$", "")))
+    word_value = F.create_map(*(F.lit(x) for pair in NUMBER_WORDS.items() for x in pair))
+    words = F.filter(_all(F.lower("undated"), _NUMBER_WORD), lambda w: ~F.array_contains("integers", word_value[w].cast("bigint")))
+    day = F.col("reference_date").cast("date")
+    dates = F.filter(_all(F.col("t"), _DAY), lambda d: d != F.date_format(day, "yyyy-MM-dd"))
+    month = F.element_at(F.array(*map(F.lit, MONTHS)), F.month(day))
+    spelled = F.filter(
+        _all(F.col("t"), _MONTH_DAY),
+        lambda d: ~F.lower(d).contains(month) | F.exists(_all(d, r"\d{4}"), lambda y: y != F.year(day).cast("string")),
+    )
+    topics = F.concat(*(F.when(flagged(f), F.array().cast("array<string>")).otherwise(_phrases(low, p)) for f, p in FLAG_PHRASES.items()))
+    praise_only = F.forall("flag_types", lambda f: f == "positive_feedback")
+    level_words = F.filter(F.array(*map(F.lit, LEVELS)), lambda w: (w != F.col("level")) & F.regexp_like(low, F.concat(F.lit(r"\b"), w, F.lit(r"\b"))))
+    empty = F.array().cast("array<string>")
+    found = {
+        "UNSUPPORTED_NUMBER": F.concat(numbers, words),
+        "UNSUPPORTED_DATE": F.concat(dates, spelled),
+        "UNSUPPORTED_TIMESTAMP": _all(F.col("t"), _CLOCK),
+        "UNSUPPORTED_EVIDENCE": F.filter(_all(F.col("t"), _EVIDENCE), lambda e: ~F.array_contains("evidence_ids", e)),
+        "UNSUPPORTED_CUSTOMER_FACT": _phrases(low, FACT_PHRASES),
+        "UNSUPPORTED_RISK_FACTOR": F.concat(topics, F.when(praise_only, _phrases(low, DISSATISFACTION_PHRASES)).otherwise(empty)),
+        "RISK_LEVEL_MISMATCH": level_words,
+        "UNSUPPORTED_CANCELLATION_CLAIM": F.when(flagged("cancellation_intent"), empty).otherwise(_phrases(low, CANCELLATION_PHRASES)),
+        "CONFIDENCE_AS_PROBABILITY": _phrases(low, PROBABILITY_PHRASES),
+        "UNSUPPORTED_RECOMMENDATION": F.filter(_phrases(low, ACTION_PHRASES), lambda p: ~F.array_contains("actions", p)),
+        "CONTRADICTS_NODE4": F.when(F.col("level").isin("critical", "high"), _phrases(low, CALM_PHRASES)).otherwise(empty),
+    }
+    listed = F.concat(*(F.transform(found[c], lambda x: F.struct(F.lit(c).alias("code"), x.alias("found"))) for c in EXPLANATION_CODES))
+    return rows.select("customer_id", F.inline(listed))

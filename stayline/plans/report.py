@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..operators import quality as Q
@@ -139,15 +141,81 @@ def check_report(spark, sf_dir):
     return P.check_report(report, ranked)
 
 
-@query()
+#: Sentences that an explanation gets by the number in the customer's id; ``@`` is the account's score.
+CLAIMS = (
+    "The account has a score of @ and needs a look within 90 days.",
+    "It will cancel by 2030-01-01, a 77% chance of that, likely to churn by then.",
+    "On 2001-08-01 at 10:30 they said so in msg_17 and thr_none, see m1.",
+    "Since August 2001 or 1 August 2001 nothing; by March 3, 2002 it is over, as may happen.",
+    "Twelve of ninety seats are used; 0.123456 and 3.50 are the rest.",
+    "They are a high risk and a low priority, of critical weight, but highly valued.",
+    "They are frustrated about the outage, the price and a competitor, unhappy overall.",
+    "A long-time customer, acquired in a merger; they contacted support and signed up again.",
+    "Offer a discount, reach out and schedule a call to review the upcoming renewal.",
+    "No risk here, they will remain active. Nothing else.",
+)
+_CLAIM = "CASE n % 10 " + " ".join(f"WHEN {k} THEN '{c}'" for k, c in enumerate(CLAIMS)) + " END"
+_RECOMMENDED = P.ACTIONS["renewal_or_contract_concern"]
+
+
+def _q_phrases(phrases) -> str:
+    return "list_filter([" + ", ".join(f"'{p}'" for p in phrases) + "], lambda p: contains(low, p))"
+
+
+def _q_explanations() -> str:
+    from .. import vocab as W
+
+    month = "(?:" + "|".join(W.MONTHS) + ")"
+    spelled = rf"(?i)\b{month}\s+\d{{1,2}}(?:,\s*\d{{4}})?\b|\b{month}\s+\d{{4}}\b|\b\d{{1,2}}\s+{month}(?:\s+\d{{4}})?\b"
+    day, clock = r"\b\d{4}-\d{2}-\d{2}\b", r"\b\d{1,2}:\d{2}(?::\d{2})?\b"
+    words = "(?:" + "|".join(W.NUMBER_WORDS) + ")"
+    ninety = "'ninety'"
+    known = """(NOT contains(x, '%') AND (list_bool_or([
+        (length(regexp_extract(x, '\\.(\\d*?)0*$', 1)) <= 4 AND abs(TRY_CAST(x AS DOUBLE) - v) <= 0.5 * pow(10, -greatest(1, length(regexp_extract(x, '\\.(\\d*?)0*$', 1)))) * (1 + 1e-9))
+        OR printf('%.5e', v) = printf('%.5e', TRY_CAST(x AS DOUBLE)) FOR v IN numbers]) OR x = '90'))"""
+    topics = " UNION ALL ".join(
+        f"SELECT customer_id, 'UNSUPPORTED_RISK_FACTOR' AS code, unnest({_q_phrases(p)}) AS found FROM c WHERE NOT list_contains(flags, '{f}')" for f, p in W.FLAG_PHRASES.items()
+    )
+    levels = " UNION ALL ".join(
+        f"SELECT customer_id, 'RISK_LEVEL_MISMATCH', '{w}' FROM c WHERE level <> '{w}' AND regexp_matches(low, '\\b{w}\\b')" for w in W.LEVELS
+    )
+    allowed = ", ".join(f"'{w}'" for w in {"recommend", "recommended", *re.findall(r"[a-z][a-z\-']+", _RECOMMENDED.lower())})
+    return RANK + rf""", a AS (SELECT *, CAST(regexp_extract(customer_id, '\d+') AS INT) AS n, coalesce(string_split(nullif(top_flags, ''), ','), []) AS flags,
+      list_filter([round(score, 2), quant], lambda v: v IS NOT NULL) AS numbers FROM s4 WHERE level <> 'insufficient_data'),
+    b AS (SELECT customer_id, n, level, list_concat(flags, CASE WHEN positive AND status <> 'no_data' THEN ['positive_feedback'] ELSE [] END) AS flags, numbers, replace({_CLAIM}, '@', CAST(round(score, 2) AS VARCHAR)) AS t FROM a),
+    c AS (SELECT *, lower(t) AS low, regexp_replace(t, '{day}', ' ', 'g') AS undated FROM b),
+    tokens AS (SELECT customer_id, numbers, unnest(regexp_extract_all(regexp_replace(regexp_replace(undated, '{clock}', ' ', 'g'), '{spelled}', ' ', 'g'), '\b\d+(?:\.\d+)?%?')) AS x FROM c)
+    SELECT customer_id, 'UNSUPPORTED_NUMBER' AS code, x AS found FROM tokens WHERE NOT {known}
+    UNION ALL SELECT customer_id, 'UNSUPPORTED_NUMBER', w FROM (SELECT customer_id, unnest(regexp_extract_all(lower(undated), '\b{words}\b')) AS w FROM c) WHERE w <> {ninety}
+    UNION ALL SELECT customer_id, 'UNSUPPORTED_DATE', d FROM (SELECT customer_id, unnest(regexp_extract_all(t, '{day}')) AS d FROM c) WHERE d <> '{REF}'
+    UNION ALL SELECT customer_id, 'UNSUPPORTED_DATE', d FROM (SELECT customer_id, unnest(regexp_extract_all(t, '{spelled}')) AS d FROM c)
+      WHERE NOT contains(lower(d), 'august') OR len(list_filter(regexp_extract_all(d, '\d{{4}}'), lambda y: y <> '2001')) > 0
+    UNION ALL SELECT customer_id, 'UNSUPPORTED_TIMESTAMP', unnest(regexp_extract_all(t, '{clock}')) FROM c
+    UNION ALL SELECT customer_id, 'UNSUPPORTED_EVIDENCE', e FROM (SELECT customer_id, unnest(regexp_extract_all(t, '\b(?:msg|thr)_[A-Za-z0-9_]+')) AS e FROM c) WHERE e <> 'msg_17'
+    UNION ALL SELECT customer_id, 'UNSUPPORTED_CUSTOMER_FACT', unnest({_q_phrases(W.FACT_PHRASES)}) FROM c
+    UNION ALL {topics}
+    UNION ALL SELECT customer_id, 'UNSUPPORTED_RISK_FACTOR', unnest({_q_phrases(W.DISSATISFACTION_PHRASES)}) FROM c WHERE len(list_filter(flags, lambda f: f <> 'positive_feedback')) = 0
+    UNION ALL {levels}
+    UNION ALL SELECT customer_id, 'UNSUPPORTED_CANCELLATION_CLAIM', unnest({_q_phrases(W.CANCELLATION_PHRASES)}) FROM c WHERE NOT list_contains(flags, 'cancellation_intent')
+    UNION ALL SELECT customer_id, 'CONFIDENCE_AS_PROBABILITY', unnest({_q_phrases(W.PROBABILITY_PHRASES)}) FROM c
+    UNION ALL SELECT customer_id, 'UNSUPPORTED_RECOMMENDATION', p FROM (SELECT customer_id, unnest({_q_phrases(W.ACTION_PHRASES)}) AS p FROM c) WHERE p NOT IN ({allowed})
+    UNION ALL SELECT customer_id, 'CONTRADICTS_NODE4', unnest({_q_phrases(W.CALM_PHRASES)}) FROM c WHERE level IN ('critical', 'high')"""
+
+
+@query(_q_explanations())
 def check_explanations(spark, sf_dir):
-    scored = scored_of(spark, sf_dir).where("level != 'insufficient_data'")
-    texts = P.account_explanations(scored).select("customer_id", F.concat("summary", F.lit(" They may cancel by 2030-01-01, a 77% chance.")).alias("text"))
+    """Sentences that claim more or less than the facts, dealt by customer."""
+    scored = scored_of(spark, sf_dir).where("level != 'insufficient_data'").withColumn("n", F.regexp_extract("customer_id", r"\d+", 0).cast("int"))
+    shown = F.round("score", 2)
+    text = F.replace(F.expr(_CLAIM), F.lit("@"), shown.cast("string"))
+    praised = F.exists("flags", lambda f: f["flag_type"] == "positive_feedback") & (F.col("status") != "no_data")
+    praise = F.when(praised, F.array(F.lit("positive_feedback"))).otherwise(F.array().cast("array<string>"))
     facts = scored.select(
-        "customer_id", "level", F.array(1 - F.col("forward_90"), "lift", "survival_90", "risk_score").alias("numbers"),
-        F.transform("top_flags", lambda f: f["flag_type"]).alias("flag_types"), F.lit(REF).alias("reference_date"),
+        "customer_id", F.lit("").alias("display_name"), "level", F.array(shown, "quant").alias("numbers"), F.array(F.lit(90).cast("bigint")).alias("integers"),
+        F.concat(F.transform("top_flags", lambda f: f["flag_type"]), praise).alias("flag_types"), F.array(F.lit("msg_17")).alias("evidence_ids"),
+        F.lit(_RECOMMENDED).alias("recommendation"), F.lit(REF).cast("date").alias("reference_date"),
     )
-    return P.check_explanations(texts, facts)
+    return P.check_explanations(scored.select("customer_id", text.alias("text")), facts)
 
 
 # --- quality and history -----------------------------------------------------------------------------------

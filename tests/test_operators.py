@@ -225,3 +225,72 @@ def test_streams_give_the_same_rows(spark, tmp_path):
     write_stream(stream, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     got = {r.customer_id: (r.event_observed, r.tenure) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {"c1": (0, 180.0), "c2": (1, 31.0)}
+
+
+def test_ranks_split_ties_over_ranges(spark, request):
+    """Half of the rows share the first value; a null sorts first; peers share their running sum."""
+    from pyspark.sql import functions as F
+    from stayline.functions.ranks import global_rank, in_ranges, running_sum
+
+    df = spark.range(4000).selectExpr("if(id % 2 = 0, 7, if(id % 11 = 0, null, id)) as x", "id", "id % 3 as g", "1 as n")
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"  # which makes one range of a table as small as this
+    spark.conf.set(coalesce, "false")
+    request.addfinalizer(lambda: spark.conf.unset(coalesce))
+    ranged = in_ranges(df, ["x", "id"])
+    assert ranged.where("x = 7").select("_range").distinct().count() > 1
+    ranks = {r.id: r["rank"] for r in global_rank(df, [F.asc("x"), F.desc("id")]).collect()}
+    rows = df.collect()
+    order = sorted(rows, key=lambda r: (r.x is not None, r.x or 0, -r.id))
+    assert [ranks[r.id] for r in order] == list(range(1, 4001))
+    got = {(r.g, r.x): r.cum for r in running_sum(df.where("x is not null"), ["g"], "x", "n", "cum").collect()}
+    for g in range(3):
+        xs = sorted(r.x for r in rows if r.g == g and r.x is not None)
+        assert all(got[g, x] == sum(y <= x for y in xs) for x in set(xs[:: len(xs) // 50]))
+
+
+# --- explanations ------------------------------------------------------------------------------------------
+
+FACTS = {"display_name": "Acme 3000", "level": "high", "numbers": [0.62, 2.5, 1234.5], "integers": [90, 2], "flag_types": ["billing_complaint"], "evidence_ids": ["msg_1"], "recommendation": None}
+
+
+def violations(spark, text, **changes):
+    from stayline.operators import report as P
+
+    f = FACTS | changes
+    schema = "customer_id string, display_name string, level string, numbers array<double>, integers array<bigint>, flag_types array<string>, evidence_ids array<string>, recommendation string, reference_date date"
+    day = __import__("datetime").date(2026, 8, 15)
+    facts = spark.createDataFrame([("cus_7", f["display_name"], f["level"], f["numbers"], f["integers"], f["flag_types"], f["evidence_ids"], f["recommendation"], day)], schema)
+    found = P.check_explanations(spark.createDataFrame([("cus_7", text)], "customer_id string, text string"), facts)
+    return {(r.code.replace("UNSUPPORTED_", ""), r.found) for r in found.collect()}
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("CUS_7, or acme 3000, is at high risk with a score of 0.62 and 2.5 times the average over 90 days.", set()),
+        ("A score of 0.620, 0.6 or 1234.50.", set()),
+        ("A score of 0.61 and 3.", {("NUMBER", "0.61"), ("NUMBER", "3")}),
+        ("About 62% and 90%.", {("NUMBER", "62%"), ("NUMBER", "90%")}),
+        ("Two seats of seven, ninety days.", {("NUMBER", "seven")}),
+        ("On 2026-08-15 at 09:30, not 2026-08-16.", {("DATE", "2026-08-16"), ("TIMESTAMP", "09:30")}),
+        ("In August 2026, on 3 August and March 3, 2026; August 2025. They may leave; 5.", {("DATE", "March 3, 2026"), ("DATE", "August 2025"), ("NUMBER", "5")}),
+        ("See msg_1 and thr_22.", {("EVIDENCE", "thr_22")}),
+        ("A medium or LOW risk, highly lowered.", {("RISK_LEVEL_MISMATCH", "medium"), ("RISK_LEVEL_MISMATCH", "low")}),
+        ("They will terminate the plan.", {("CANCELLATION_CLAIM", "terminat")}),
+        ("There is a chance of churn.", {("CONFIDENCE_AS_PROBABILITY", "chance of")}),
+        ("An outage upset them over the price.", {("RISK_FACTOR", "outage")}),
+        ("A merger made them sign.", {("CUSTOMER_FACT", "merger")}),
+        ("Offer a refund.", {("RECOMMENDATION", "offer"), ("RECOMMENDATION", "refund")}),
+        ("We recommend patience; no risk, they stay active.", {("CONTRADICTS_NODE4", "no risk"), ("CONTRADICTS_NODE4", "stay active")}),
+        ("", set()),
+    ],
+)
+def test_explanations_are_held_against_facts(spark, text, want):
+    assert violations(spark, text) == want
+
+
+def test_facts_allow_what_they_hold(spark):
+    assert violations(spark, "They cancel; offer a call.", flag_types=["cancellation_intent"], recommendation="Offer a call.") == set()
+    assert violations(spark, "They are upset and stay active.", flag_types=["positive_feedback"], level="low") == {("RISK_FACTOR", "upset")}
+    assert violations(spark, None, numbers=None, integers=None, flag_types=None, evidence_ids=None, display_name=None) == set()
+    assert violations(spark, "Score 1.", numbers=None, integers=None) == {("NUMBER", "1")}
