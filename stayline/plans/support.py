@@ -164,6 +164,19 @@ def language_status(spark, sf_dir):
     return df.select("thread_id", "language", "language_status")
 
 
+@query(
+    ctes("support_threads")
+    + ", src AS (SELECT * FROM support_threads), told AS (SELECT *, coalesce(CASE WHEN language = 'EN_us' THEN 'en' END, detected) AS l FROM "
+    + _q_language("subject")
+    + f"""), judged AS (SELECT *, trim(customer_id) <> '' AS named, date_diff('day', CAST(created_at AS DATE), DATE '{REF}') BETWEEN 0 AND {CFG.lookback_days} AS near FROM told)
+    SELECT 'input' AS item, count(*) AS n FROM judged UNION ALL SELECT 'invalid', count(*) FROM judged WHERE NOT named
+    UNION ALL SELECT 'out_of_window', count(*) FROM judged WHERE named AND NOT near UNION ALL SELECT 'unsupported_language', count(*) FROM judged WHERE named AND near AND l <> 'en'
+    UNION ALL SELECT 'unknown_language', count(*) FROM judged WHERE named AND near AND l IS NULL"""
+)
+def preprocessing_counts(spark, sf_dir):
+    return T.preprocessing_counts(_v(spark, sf_dir, "support_threads"), CFG, text="subject")
+
+
 def docs_of(spark, sf_dir):
     threads = T.threads_in_window(_v(spark, sf_dir, "support_threads"), CFG)
     return T.candidate_text(threads, _v(spark, sf_dir, "support_messages"))
