@@ -78,15 +78,15 @@ def customer_universe(df: DataFrame, column: str = "customer_id", order: str = "
     )
 
 
-def feature_candidates(columns: DataFrame, order: str = "position") -> DataFrame:
-    """``(position, column_name, key)``: snake-case keys of at most 48 characters, made unique in column order.
+def feature_candidates(columns: DataFrame, table: str = "table_name", order: str = "position") -> DataFrame:
+    """``(table_name, position, column_name, key)``: snake-case keys of at most 48 characters, unique in their table.
 
-    A stem's n-th column gets ``_n``. Keys are few (the columns of a table), so the numbering is a window.
+    A stem's n-th column in a table gets ``_n``.
     """
     stem = F.regexp_replace(F.lower("column_name"), r"[^a-z0-9]+", "_")
     stem = F.substring(F.regexp_replace(stem, r"^_+|_+$", ""), 1, 48)
     stem = F.when(stem.rlike("^[a-z]"), stem).otherwise(F.substring(F.concat(F.lit("f_"), stem), 1, 48))
-    w = Window.partitionBy("stem").orderBy(order)
+    w = Window.partitionBy(table, "stem").orderBy(order)
     nth = columns.withColumn("stem", stem).withColumn("nth", F.row_number().over(w))
     key = F.when(F.col("nth") == 1, F.col("stem")).otherwise(F.concat("stem", F.lit("_"), F.col("nth").cast("string")))
-    return nth.select(order, "column_name", key.alias("key"))
+    return nth.select(table, order, "column_name", key.alias("key"))

@@ -411,12 +411,12 @@ def customer_universe(spark, sf_dir):
 @query(
     ctes("export_catalog")
     + r""", s AS (SELECT table_name, position, column_name, left(regexp_replace(regexp_replace(lower(column_name), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 48) AS k FROM export_catalog),
-    t AS (SELECT *, CASE WHEN regexp_matches(k, '^[a-z]') THEN k ELSE left('f_' || k, 48) END AS stem FROM s WHERE table_name = 'export 3'),
-    u AS (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY position) AS nth FROM t)
-    SELECT position, column_name, CASE WHEN nth = 1 THEN stem ELSE stem || '_' || nth END AS key FROM u"""
+    t AS (SELECT *, CASE WHEN regexp_matches(k, '^[a-z]') THEN k ELSE left('f_' || k, 48) END AS stem FROM s),
+    u AS (SELECT *, row_number() OVER (PARTITION BY table_name, stem ORDER BY position) AS nth FROM t)
+    SELECT table_name, position, column_name, CASE WHEN nth = 1 THEN stem ELSE stem || '_' || nth END AS key FROM u"""
 )
 def feature_candidates(spark, sf_dir):
-    return R.feature_candidates(view(spark, sf_dir, "export_catalog").where("table_name = 'export 3'"))
+    return R.feature_candidates(view(spark, sf_dir, "export_catalog"))
 
 
 # --- validation --------------------------------------------------------------------------------------------
