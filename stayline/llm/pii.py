@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from .common import pick, slices, table
 
 ROUNDS = 8
-#: Session setting with the secret key, as text.
-KEY_SETTING = "spark.stayline.pseudonym.key"
+#: Session setting with the key, as text; Spark hides values of settings that are called secret.
+KEY_SETTING = "spark.stayline.pseudonym.secret"
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
 EMAIL = re.compile(r"(?<![\w.+%-])[\w.+%-]+@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}")
