@@ -7,7 +7,7 @@ In all stages a null text counts as empty (quality rules reject it), null and re
 texts may be of any length, an empty table gives an empty result, and further columns of any name pass through the
 first four stages. Where rows tie, the docstring of the stage says which stays.
 
-The pseudonyms' key is the session's ``spark.stayline.pseudonym.key``; without it the application makes a secret one.
+The pseudonyms' key is the session's ``spark.stayline.pseudonym.secret``; without it the application makes a secret one.
 """
 
 from __future__ import annotations
