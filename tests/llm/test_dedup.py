@@ -4,7 +4,7 @@ from itertools import combinations
 
 import pytest
 import xxhash
-from stayline.llm import exact_dedup, simhash
+from stayline.llm import common, exact_dedup, simhash
 from stayline.llm.components import connected_components
 
 
@@ -160,3 +160,23 @@ def test_owners_hold_key_ranges(real_docs):
     assert len(ranges) > 5
     spans = [(min(ranges[b]), max(ranges[b])) for b in sorted(ranges)]
     assert all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
+
+
+def test_spread_join_is_a_join(spark, monkeypatch):
+    """A hot key (half of all rows), keys without a value, repeated rows, and null keys."""
+    monkeypatch.setattr(common, "PIECE_ROWS", 10)
+    rows = spark.range(0, 600, 1, 3).selectExpr("if(id % 2 = 0, 7, if(id % 5 = 0, null, id % 50)) as k", "id div 4 as v")
+    rows = common.materialize(rows.union(rows.limit(50)), "spread")
+    values = spark.range(0, 40).selectExpr("id as k", "concat('n', id) as name")
+    got = Counter(map(tuple, common.spread_join(rows, ["k"], values).collect()))
+    assert got == Counter((r.k, r.v, f"n{r.k}") for r in rows.collect() if r.k is not None and r.k < 40)
+    assert common.spread_join(rows, ["k"], values.limit(0)).count() == 0
+
+
+def test_released_folders_hold_no_rows(spark):
+    before = common.written()
+    df = common.materialize(spark.range(5).toDF("a"), "released")
+    path = [p for p in common.written() if p not in before]
+    assert len(path) == 1 and df.count() == 5
+    common.release(spark, path)
+    assert common.written() == before and spark.read.schema("a long").parquet(path[0]).count() == 0
