@@ -134,6 +134,8 @@ def candidate_pairs(distinct: DataFrame) -> DataFrame:
         last = level == 2  # 256 fingerprints at most
         found.append(_candidates(shared if last else shared.where(F.col("n") <= PAIR_GROUP)))
         keyed = shared.where(F.col("n") > PAIR_GROUP).drop("key", "n")
+        if last or keyed.isEmpty():  # nothing is left to refine
+            break
     return reduce(DataFrame.union, found)
 
 
