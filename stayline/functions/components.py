@@ -2,26 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def write_and_read(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage through ``spark.checkpoint.dir``; only a local master (tests) gets a temporary folder."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a shared folder")
-    path = f"{base or tempfile.mkdtemp(prefix='spark-')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from .files import write_and_read
 
 
-def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60, write: Callable = write_and_read) -> DataFrame:
+def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """``(node, root)`` for every node that has a link; root is the smallest node reachable.
 
     Links with a null end and self-links are ignored; repeated links count once; an empty table gives an
@@ -30,7 +17,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
     join key, which adaptive execution splits.
     """
     ends = links.select(F.col(f"`{a}`"), F.col(f"`{b}`")).where(F.col(f"`{a}`") != F.col(f"`{b}`"))
-    edges = write(
+    edges = write_and_read(
         ends.select(F.greatest(f"`{a}`", f"`{b}`").alias("u"), F.least(f"`{a}`", f"`{b}`").alias("v")).distinct(),
         "links",
     )
@@ -42,7 +29,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
                 edges.select("v", F.col("v").alias("root")).distinct()
             )
         before = now
-        edges = write(_small_star(_large_star(edges)), "links")
+        edges = write_and_read(_small_star(_large_star(edges)), "links")
     raise RuntimeError("links did not settle; raise max_rounds")
 
 

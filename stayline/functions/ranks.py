@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .components import write_and_read
+from .files import write_and_read
 
 
 def in_ranges(df: DataFrame, order: list) -> DataFrame:

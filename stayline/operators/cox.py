@@ -15,7 +15,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.components import write_and_read
+from ..functions.files import write_and_read
 from ..functions.scalars import clip
 from ..functions.stats import normal_p, t_p
 from .survival import (

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.components import write_and_read
+from ..functions.files import write_and_read
 from ..functions.ranks import running_sum
 from ..vocab import LEAKY_NAMES
 from .validate import ValidationConfig, evaluate_promotion, value_counts

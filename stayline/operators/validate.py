@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.components import write_and_read
+from ..functions.files import write_and_read
 from ..functions.scalars import is_blank, to_float
 from ..vocab import CORE_KEYS
 

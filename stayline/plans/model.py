@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import math
-import uuid
 
 from pyspark.sql import functions as F
 
-from ..functions.components import write_and_read
+from ..functions.files import new_folder, write_and_read
 from ..operators import cox as C
 from ..operators import survival as M
 from ..sources import tables as T
@@ -242,20 +241,11 @@ def dataset_version(spark, sf_dir):
     return spark.createDataFrame([(C.dataset_version(flat_accounts(spark, sf_dir), str(CFG)),)], "version string")
 
 
-def _folder(spark, name: str) -> str:
-    import tempfile
-
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a shared folder")
-    return f"{base or tempfile.mkdtemp(prefix='spark-')}/{name}-{uuid.uuid4().hex}"
-
-
 @query()
 def save_load_model(spark, sf_dir):
     """Scores by the reloaded model, beside those of the fitted one."""
     model, matrix, _ = fitted(spark, sf_dir)
-    folder = _folder(spark, "model")
+    folder = new_folder(spark, "model")
     C.save_model(model, spark, folder)
     again = C.load_model(spark, folder)
     a = C.cox_scores(model, matrix, [90], 90.0).select("customer_id", "risk_score")
@@ -266,7 +256,7 @@ def save_load_model(spark, sf_dir):
 @query("SELECT c_custkey AS row_id, CAST(c_custkey AS VARCHAR) AS c_custkey, c_mktsegment FROM customer")
 def read_customer_table(spark, sf_dir):
     """``customer`` written as CSV, in key order over several files, and read back as text with row ids."""
-    path = _folder(spark, "table") + "/customer.csv"
+    path = new_folder(spark, "table") + "/customer.csv"
     view(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment").orderBy("c_custkey").write.option("header", True).csv(path)
     return T.read_table(spark, path).select(F.col("_row_id").alias("row_id"), "c_custkey", "c_mktsegment")
 
@@ -274,7 +264,7 @@ def read_customer_table(spark, sf_dir):
 @query("SELECT 'conv-' || conv_id AS thread_id, count(*) AS n_messages FROM conversations GROUP BY conv_id")
 def read_threads(spark, sf_dir):
     """``conversations`` written as nested JSON threads and read with the fixed schema."""
-    path = _folder(spark, "threads") + "/threads.json"
+    path = new_folder(spark, "threads") + "/threads.json"
     rows = view(spark, sf_dir, "conversations")
     nested = rows.groupBy("conv_id").agg(
         F.array_sort(F.collect_list(F.struct(F.concat(F.lit("m"), F.col("turn").cast("string")).alias("message_id"), "role", "text"))).alias("messages")
@@ -286,5 +276,5 @@ def read_threads(spark, sf_dir):
 
 @query("SELECT 'accounts' AS table_name, count(*) AS n_rows FROM customer UNION ALL SELECT 'nations', count(*) FROM nation")
 def write_outputs(spark, sf_dir):
-    folder = _folder(spark, "outputs")
+    folder = new_folder(spark, "outputs")
     return T.write_outputs(folder, accounts=view(spark, sf_dir, "customer"), nations=view(spark, sf_dir, "nation"))
