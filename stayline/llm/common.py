@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.files import new_folder, release, written
+from ..functions.files import write_and_read as materialize
+
+__all__ = ["materialize", "new_folder", "pick", "release", "slices", "spread_join", "table", "text_or_empty", "written"]
+
 #: The characters of ``[\x20\x09-\x0D]``, the only white space that the text contracts know.
 SPACES = " \t\n\x0b\f\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -17,51 +19,6 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 #: Rows of a file that ``spread_join`` keeps together.
 PIECE_ROWS = 1 << 16
 
-_own_folders: dict[str, str] = {}
-_written: list[str] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A folder that the driver and all executors see: ``spark.checkpoint.dir`` where the cluster sets it.
-
-    Only a local master (tests) gets a temporary folder; elsewhere a missing setting is an error, since a
-    machine's own folder would be lost with the machine.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_folders:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        _own_folders[app] = "file://" + tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
-    return _own_folders[app]
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read again: cuts the lineage, and a lost executor costs no recomputation."""
-    path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    _written.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def written() -> list[str]:
-    """The folders that ``materialize`` has written and nobody has released."""
-    return list(_written)
-
-
-def release(spark: SparkSession, paths: list[str]) -> None:
-    """Empty folders that nothing reads any more, through Spark's own writer (which any file system and session can)."""
-    for path in paths:
-        spark.createDataFrame([], "released int").write.mode("overwrite").parquet(path)
-        if path in _written:
-            _written.remove(path)
-
 
 def spread_join(rows: DataFrame, key: list[str], values: DataFrame) -> DataFrame:
     """``rows`` with the columns of ``values`` (one row for each key), for keys that may hold a third of all rows.

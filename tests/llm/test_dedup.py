@@ -4,8 +4,8 @@ from itertools import combinations
 
 import pytest
 import xxhash
+from stayline.functions.components import connected_components
 from stayline.llm import common, exact_dedup, simhash
-from stayline.llm.components import connected_components
 
 
 def brute_fingerprint(text):
