@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.files import write_and_read
 from ..functions.ranks import global_rank
 from ..functions.scalars import clip, half_even, lookup
 from ..vocab import HIERARCHY_WEIGHT, LEVELS, LIFT_POINTS, MODEL_CONFIDENCE, STRENGTH_ORDER, STRENGTH_SCORE
@@ -105,6 +106,7 @@ def absolute_risk(survival: Column, risk: Column) -> Column:
 
 def quantitative(accounts: DataFrame, cfg: RankingConfig = RankingConfig()) -> DataFrame:
     """Adds ``quant, lift, forward_status, base_rate``: on the lift scale where enough active customers carry it."""
+    accounts = write_and_read(accounts, "accounts")  # the base rate and every row read it
     base = base_rate(accounts, cfg).select("base_rate", "use_lift")
     rows = accounts.crossJoin(F.broadcast(base))  # one row
     usable_base = F.when(F.col("use_lift"), F.col("base_rate"))
