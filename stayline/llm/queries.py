@@ -13,6 +13,7 @@ from .secrets import op6_secret_ledger
 from .simhash import op1_simhash_near_dedup
 from .sql import ORACLE_SQL
 from .toxicity import op3_toxicity_nb_ngrams
+from .vector_codes import op11_vector_codes
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -29,5 +30,6 @@ QUERIES = {
         op8_feistel_pseudonyms,
         op9_quote_linking,
         op10_exact_dedup,
+        op11_vector_codes,
     )
 }

@@ -113,3 +113,43 @@ ORACLE_SQL: dict[str, str] = {
     "op9_quote_linking": quote_links(),
     "op10_exact_dedup": EXACT_DUPLICATES,
 }
+
+
+def vector_codes() -> str:
+    """Four rounds of exact codebooks; products of integers this small are exact in doubles."""
+
+    def assigned(k: int) -> str:
+        far = "list_dot_product(b.c, b.c) - 2 * list_dot_product(p.x, b.c)"
+        return (
+            f"a{k} AS MATERIALIZED (SELECT p.r, p.part, p.x, min_by(b.entry, ({far}) * 256 + b.entry) AS entry,"
+            f" min({far}) + list_dot_product(p.x, p.x) AS d FROM pieces p JOIN b{k} b USING (part) GROUP BY p.r, p.part, p.x)"
+        )
+
+    rounds = ""
+    for k in range(4):
+        rounds += f""",
+  {assigned(k)},
+  m{k} AS (
+    SELECT part, entry, list(floor(s / n) ORDER BY i) AS c FROM (
+      SELECT part, entry, i, sum(x) AS s, count(*) AS n
+      FROM (SELECT part, entry, unnest(x) AS x, generate_subscripts(x, 1) AS i FROM a{k}) GROUP BY ALL) GROUP BY ALL),
+  b{k + 1} AS MATERIALIZED (
+    SELECT part, entry, coalesce(m{k}.c, b{k}.c) AS c FROM b{k} LEFT JOIN m{k} USING (part, entry))"""
+    return f"""
+WITH kept AS (
+    SELECT vec_id, label, row_number() OVER (ORDER BY vec_id NULLS LAST, v) AS r, v FROM (
+      SELECT vec_id, label, [floor(1024 * x::DOUBLE) FOR x IN embedding] AS v FROM embeddings
+      WHERE embedding IS NOT NULL AND len([1 FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0)),
+  pieces AS MATERIALIZED (
+    SELECT r, part, v[part * len(v) // 4 + 1 : (part + 1) * len(v) // 4] AS x FROM kept, (SELECT unnest(range(4)) AS part)),
+  b0 AS MATERIALIZED (SELECT part, r - 1 AS entry, x AS c FROM pieces WHERE r <= 256){rounds},
+  {assigned(4)},
+  coded AS (SELECT r, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a4 GROUP BY r),
+  digest AS (
+    SELECT sha256(string_agg(c::BIGINT::VARCHAR, ',' ORDER BY part, entry, i)) AS codebooks_sha256
+    FROM (SELECT part, entry, unnest(c) AS c, generate_subscripts(c, 1) AS i FROM b4))
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256
+FROM kept JOIN coded USING (r), digest"""
+
+
+ORACLE_SQL["op11_vector_codes"] = vector_codes()
