@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op5_byte_bpe
 from .exact_dedup import op10_exact_dedup
 from .packing import op2_vector_packing
+from .phrases import op13_collocations
 from .pii import op8_feistel_pseudonyms
 from .quality_model import op7_weak_label_quality
 from .quality_rules import op4_quality_rules
@@ -31,5 +32,6 @@ QUERIES = {
         op9_quote_linking,
         op10_exact_dedup,
         op11_vector_codes,
+        op13_collocations,
     )
 }

@@ -153,3 +153,33 @@ FROM kept JOIN coded USING (r), digest"""
 
 
 ORACLE_SQL["op11_vector_codes"] = vector_codes()
+
+
+COLLOCATIONS = r"""
+WITH docs AS (
+    SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+    FROM documents),
+  pieces AS (SELECT lang, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM docs),
+  lists AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+  starts AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM lists),
+  found AS (SELECT lang, w[i : i + m - 1] AS words FROM starts, (SELECT unnest(range(1, 6)) AS m) WHERE i + m - 1 <= len(w)),
+  grams AS MATERIALIZED (SELECT lang, words, len(words) AS m, count(*) AS f FROM found GROUP BY ALL HAVING count(*) >= 100),
+  totals AS (SELECT lang, sum(len(w)) AS n FROM lists GROUP BY lang),
+  cuts AS (SELECT lang, words, m, f AS a, unnest(range(1, m)) AS k FROM grams WHERE m > 1),
+  scored AS (
+    SELECT c.lang, c.words, a, k, x.f AS l, y.f AS r, n,
+      ((1000::HUGEINT * a * n::HUGEINT) // (x.f::HUGEINT * y.f))::BIGINT AS score
+    FROM cuts c JOIN grams x ON x.lang = c.lang AND x.words = c.words[1 : k]
+    JOIN grams y ON y.lang = c.lang AND y.words = c.words[k + 1 : c.m] JOIN totals t ON t.lang = c.lang),
+  weakest AS (SELECT *, row_number() OVER (PARTITION BY lang, words ORDER BY score, k) AS place FROM scored),
+  spans AS (SELECT lang, words, m, f, unnest(range(2, m)) AS s FROM grams WHERE m > 2),
+  places AS (SELECT *, unnest(range(1, m - s + 2)) AS i FROM spans),
+  inside AS (SELECT lang, words[i : i + s - 1] AS words, max(f) AS longer FROM places GROUP BY ALL),
+  rest AS (
+    SELECT w.lang, array_to_string(w.words, ' ') AS phrase, a, l, r, n, score
+    FROM weakest w LEFT JOIN inside i ON i.lang = w.lang AND i.words = w.words
+    WHERE place = 1 AND (longer IS NULL OR 100 * longer < 100 * a)),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM rest)
+SELECT lang, rank, phrase, a, l, r, n::BIGINT AS n, score FROM ranked WHERE rank <= 2000"""
+
+ORACLE_SQL["op13_collocations"] = COLLOCATIONS
