@@ -13,6 +13,7 @@ from .quotes import op9_quote_linking
 from .secrets import op6_secret_ledger
 from .simhash import op1_simhash_near_dedup
 from .sql import ORACLE_SQL
+from .suffix_dedup import op12_suffix_dedup
 from .toxicity import op3_toxicity_nb_ngrams
 from .vector_codes import op11_vector_codes
 
@@ -32,6 +33,7 @@ QUERIES = {
         op9_quote_linking,
         op10_exact_dedup,
         op11_vector_codes,
+        op12_suffix_dedup,
         op13_collocations,
     )
 }
