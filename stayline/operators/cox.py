@@ -224,6 +224,22 @@ def ph_test(model: CoxModel, matrix: DataFrame) -> dict[str, float]:
     return out
 
 
+def ph_severity(p: dict[str, float], cfg: SurvivalConfig = SurvivalConfig()) -> str:
+    """``serious``, ``minor`` or ``none``, by the smallest p."""
+    least = min(p.values(), default=1.0)
+    return "serious" if least < cfg.ph_serious else "minor" if least < cfg.ph_minor else "none"
+
+
+def model_status(eligible: bool, decision: str, severity: str, warned: bool, tables: bool) -> str:
+    """READY or WARNING where a Cox model stands, else FALLBACK on life tables; without them FAILED, or INSUFFICIENT_DATA
+    where no gate was passed."""
+    if eligible and decision != "fallback":
+        return "WARNING" if warned or severity == "minor" or decision == "stratify" else "READY"
+    if tables:
+        return "FALLBACK"
+    return "FAILED" if eligible else "INSUFFICIENT_DATA"
+
+
 def ph_decision(model: CoxModel, matrix: DataFrame, specs: list[FeatureSpec], cfg: SurvivalConfig = SurvivalConfig()) -> tuple[str, CoxModel | None, dict[str, float]]:
     """``keep``, ``stratify`` (with the new model) or ``fallback``: a serious violation is refitted by its worst category."""
     p = ph_test(model, matrix)
@@ -501,24 +517,29 @@ def fit_survival(df: DataFrame, predictors: list[str], cfg: SurvivalConfig = Sur
     n_input = df.count()
     blocked = [r.gate for r in eligibility(matrix, specs, max(1, n_input), cfg).collect() if not r.ok]
     median = matrix.agg(F.percentile("duration", 0.5)).first()[0]
-    if blocked:
-        return SurvivalModel("INSUFFICIENT_DATA", specs, None, [], None, blocked, float(median or 0))
+    if median is None:  # nobody to score, so no life table either
+        return SurvivalModel("INSUFFICIENT_DATA", specs, None, [], None, blocked, 0.0)
     raised = [r.warning for r in eligibility_warnings(matrix, n_input, cfg).collect() if r.raised]
     columns = predictor_columns(specs)
-    raised += [f"collinear {r.a} {r.b}" for r in collinear_pairs(matrix, columns, cfg.correlation_threshold).collect()] if len(columns) > 1 else []
-    if len(columns) >= cfg.vif_min_predictors:
+    raised += [f"collinear {r.a} {r.b}" for r in collinear_pairs(matrix, columns, cfg.correlation_threshold).collect()] if len(columns) > 1 and not blocked else []
+    if len(columns) >= cfg.vif_min_predictors and not blocked:
         raised += [f"vif {c}" for c, v in variance_inflation(matrix, columns).items() if v > cfg.vif_threshold]
     segment = km_segment(matrix, specs, cfg)
     table = km_table(matrix)
     tables = table.union(km_table(matrix, f"{segment}__raw")) if segment else table
     horizons = [r.horizon for r in horizon_status(matrix, table, cfg).collect() if r.available]
-    try:
-        model = cox_fit(matrix, specs, cfg)
-        decision, model, _ = ph_decision(model, matrix, specs, cfg)
-    except CoxFailure as x:
-        decision, model = "fallback", None
-        raised.append(str(x))
-    status = "FALLBACK" if decision == "fallback" else "WARNING" if raised or decision == "stratify" else "READY"
+    decision, model, severity = "fallback", None, "none"
+    if blocked:
+        raised += blocked
+    else:
+        try:
+            model = cox_fit(matrix, specs, cfg)
+            severity = ph_severity(ph_test(model, matrix), cfg)
+            decision, model, _ = ph_decision(model, matrix, specs, cfg)
+        except CoxFailure as x:
+            decision, model = "fallback", None
+            raised.append(str(x))
+    status = model_status(not blocked, decision, severity, bool(raised), table is not None)
     fitted = SurvivalModel(status, specs, model, horizons, segment, raised, float(median), tables)
     if model:
         risk = cox_scores(model, matrix, horizons or [90], float(median)) if model.strata else matrix.select("customer_id", model.linear().alias("risk_score"))

@@ -99,16 +99,39 @@ def merge_runs(old: DataFrame, new: DataFrame) -> DataFrame:
     return j.select(*(value(c).alias(c) for c in old.columns))
 
 
+#: Runs that are under way, and those that go once their time is over. Fixed values.
+IN_FLIGHT = ("queued", "pending", "running")
+ENDED_EARLY = ("stopped", "interrupted", "failed")
+
+
 def retention(runs: DataFrame, now: str, ttl_days: int = 30, keep: int = 100) -> DataFrame:
-    """``(run_id, reason)``: stopped runs past their time, and finished ones beyond the newest ``keep``."""
-    when = F.coalesce("finished_at", "started_at", "created_at")
-    old = F.datediff(F.lit(now).cast("date"), F.to_date(when)) > ttl_days
-    expired = F.col("status").isin("stopped", "interrupted", "failed") & old
-    newest = runs.orderBy(F.desc_nulls_last("created_at"), "run_id").limit(keep).select("run_id", F.lit(True).alias("_newest"))
-    rows = runs.join(F.broadcast(newest), "run_id", "left")  # as many as are kept
-    older = F.col("_newest").isNull() & ~F.col("status").isin("queued", "running")
-    reason = F.when(expired, "expired").when(older, "beyond newest")
-    return rows.select("run_id", reason.alias("reason")).where("reason is not null")
+    """``(run_id, reason)`` of the runs to delete: ``expired`` ones, and those ``beyond newest``.
+
+    A run's time is the first of finished, started and created. Runs that ended early expire after ``ttl_days``; of the
+    rest, those not under way are ranked by time and id, and all but the newest ``keep`` go. Zero or less turns a rule off.
+    """
+    when = F.coalesce("finished_at", "started_at", "created_at").cast("timestamp")
+    status = F.coalesce("status", F.lit(""))
+    old = F.coalesce(when < F.lit(now).cast("timestamp") - F.make_dt_interval(days=F.lit(ttl_days)), F.lit(False))
+    expired = status.isin(*ENDED_EARLY) & old if ttl_days > 0 else F.lit(False)
+    rows = runs.select("run_id", F.struct(when.alias("at"), "run_id").alias("place"), expired.alias("gone"), status.isin(*IN_FLIGHT).alias("busy"))
+    ranked = rows.where(~F.col("gone") & ~F.col("busy")) if keep > 0 else rows.limit(0)
+    last = ranked.orderBy(F.desc("place")).limit(max(keep, 1)).agg(F.min("place").alias("last"))
+    beyond = ~F.col("busy") & (F.col("place") < F.col("last"))
+    judged = rows.crossJoin(F.broadcast(last))  # one row
+    reason = F.when(F.col("gone"), "expired").when(beyond, "beyond newest")
+    return judged.select("run_id", reason.alias("reason")).where("reason is not null")
+
+
+def model_retention(models: DataFrame, runs: DataFrame, keep: int = 20) -> DataFrame:
+    """``(model_version)`` of the saved models to delete: all but the newest ``keep`` by ``saved_at`` and name, save those
+    that one of the ``runs`` refers to. Zero or less keeps all."""
+    rows = models.select("model_version", F.struct("saved_at", "model_version").alias("place"))
+    if keep <= 0:
+        return rows.select("model_version").limit(0)
+    last = rows.orderBy(F.desc("place")).limit(keep).agg(F.min("place").alias("last"))
+    used = runs.select("model_version").where("model_version is not null").distinct()
+    return rows.crossJoin(F.broadcast(last)).where(F.col("place") < F.col("last")).select("model_version").join(used, "model_version", "left_anti")
 
 
 def reproducibility_diff(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LEAST_CONFIDENCE = 0.80
@@ -49,9 +49,10 @@ def route_tables(catalog: DataFrame, registry: DataFrame) -> DataFrame:
 
 
 def active_mappings(mappings: DataFrame) -> DataFrame:
-    """Confirmed mappings that no other supersedes, with ``conflict`` where two share a header hash."""
-    replaced = mappings.where("supersedes is not null").select(F.col("supersedes").alias("mapping_id")).distinct()
-    active = mappings.where("confirmed").join(replaced, "mapping_id", "left_anti")
+    """Confirmed mappings that no other confirmed one supersedes, with ``conflict`` where two share a header hash."""
+    confirmed = mappings.where("confirmed")
+    replaced = confirmed.where("supersedes is not null").select(F.col("supersedes").alias("mapping_id")).distinct()
+    active = confirmed.join(replaced, "mapping_id", "left_anti")
     shared = active.groupBy("headers_hash").agg((F.count("*") > 1).alias("conflict"))
     return active.join(shared, "headers_hash").select("mapping_id", "headers_hash", "conflict")
 
@@ -78,15 +79,50 @@ def customer_universe(df: DataFrame, column: str = "customer_id", order: str = "
     )
 
 
-def feature_candidates(columns: DataFrame, table: str = "table_name", order: str = "position") -> DataFrame:
-    """``(table_name, position, column_name, key)``: snake-case keys of at most 48 characters, unique in their table.
+FEATURE_PREFIX = "feature."
+KEY_LENGTH = 48
 
-    A stem's n-th column in a table gets ``_n``.
+
+def feature_stem(name: Column) -> Column:
+    """Snake case of a header: words by camel case and by other characters, a leading letter, at most 48 characters."""
+    spaced = F.lower(F.regexp_replace(name, "(?<=[a-z0-9])(?=[A-Z])", "_"))
+    stem = F.regexp_replace(F.regexp_replace(spaced, "[^0-9a-z]+", "_"), "^_+|_+$", "")
+    stem = F.when(stem == "", "feature").when(stem.rlike("^[a-z]"), stem).otherwise(F.concat(F.lit("f_"), stem))
+    return F.substring(stem, 1, KEY_LENGTH)
+
+
+def _free_keys(pdf):
+    """One table's keys, in column order: a taken stem gets the first suffix from ``_2`` on that is free."""
+    pdf = pdf.sort_values("_order", kind="stable")
+    taken, keys = set(pdf["_given"].dropna()), []
+    following: dict[str, int] = {}
+    for given, stem in zip(pdf["_given"], pdf["_stem"]):
+        key = given
+        if not isinstance(key, str):
+            key, n = stem, following.get(stem, 2)
+            while key in taken:
+                key, n = f"{stem}_{n}", n + 1
+            following[stem] = n
+            taken.add(key)
+        keys.append(key)
+    pdf["key"] = keys
+    return pdf[["_table", "_order", "column_name", "key"]]
+
+
+def feature_candidates(columns: DataFrame, table: str = "table_name", order: str = "position", mapped: DataFrame | None = None) -> DataFrame:
+    """``(table_name, position, column_name, key)``: the columns that may become features, with keys unique in their table.
+
+    ``mapped`` are a mapping's proposals ``(table_name, column_name, target_field)``: a column proposed as a feature keeps
+    that key, which no other column gets, and any other mapped column is no candidate. A group is the header of one table.
     """
-    stem = F.regexp_replace(F.lower("column_name"), r"[^a-z0-9]+", "_")
-    stem = F.substring(F.regexp_replace(stem, r"^_+|_+$", ""), 1, 48)
-    stem = F.when(stem.rlike("^[a-z]"), stem).otherwise(F.substring(F.concat(F.lit("f_"), stem), 1, 48))
-    w = Window.partitionBy(table, "stem").orderBy(order)
-    nth = columns.withColumn("stem", stem).withColumn("nth", F.row_number().over(w))
-    key = F.when(F.col("nth") == 1, F.col("stem")).otherwise(F.concat("stem", F.lit("_"), F.col("nth").cast("string")))
-    return nth.select(table, order, "column_name", key.alias("key"))
+    rows = columns.select(F.col(table).alias("_table"), F.col(order).alias("_order"), "column_name", feature_stem(F.col("column_name")).alias("_stem"))
+    if mapped is None:
+        rows = rows.withColumn("_given", F.lit(None).cast("string"))
+    else:
+        target = mapped.groupBy(F.col(table).alias("_table"), "column_name").agg(F.max("target_field").alias("_target"))
+        feature = F.col("_target").startswith(FEATURE_PREFIX)
+        rows = rows.join(target, ["_table", "column_name"], "left").where(F.col("_target").isNull() | feature)
+        rows = rows.withColumn("_given", F.substring("_target", len(FEATURE_PREFIX) + 1, 1 << 30)).drop("_target")
+    kinds = dict(rows.dtypes)
+    schema = f"_table {kinds['_table']}, _order {kinds['_order']}, column_name string, key string"
+    return rows.groupBy("_table").applyInPandas(_free_keys, schema).withColumnsRenamed({"_table": table, "_order": order})

@@ -383,7 +383,7 @@ define(
 
 @query(
     ctes("mapping_history")
-    + """, a AS (SELECT * FROM mapping_history WHERE confirmed AND mapping_id NOT IN (SELECT supersedes FROM mapping_history WHERE supersedes IS NOT NULL))
+    + """, a AS (SELECT * FROM mapping_history WHERE confirmed AND mapping_id NOT IN (SELECT supersedes FROM mapping_history WHERE confirmed AND supersedes IS NOT NULL))
     SELECT mapping_id, headers_hash, count(*) OVER (PARTITION BY headers_hash) > 1 AS conflict FROM a"""
 )
 def active_mappings(spark, sf_dir):
@@ -408,15 +408,39 @@ def customer_universe(spark, sf_dir):
     return R.customer_universe(view(spark, sf_dir, "raw_accounts"))
 
 
+define(
+    "wide_headers",
+    "nation",
+    """SELECT 'wide ' || CAST(n_nationkey AS STRING) AS table_name, column_name, position,
+         CASE WHEN n_nationkey % 3 = 0 THEN NULL WHEN target = '' THEN NULL ELSE target END AS target_field FROM nation CROSS JOIN (
+         SELECT 'a' AS column_name, 1 AS position, '' AS target UNION ALL SELECT 'A ', 2, '' UNION ALL SELECT 'a_2', 3, ''
+         UNION ALL SELECT 'planTier', 4, '' UNION ALL SELECT 'Plan Tier', 5, '' UNION ALL SELECT '%%', 6, '' UNION ALL SELECT '90d usage', 7, ''
+         UNION ALL SELECT 'Cust ID', 8, 'customer_id' UNION ALL SELECT 'Seats', 9, 'feature.a' UNION ALL SELECT '#', 10, ''
+         UNION ALL SELECT 'a_very_long_header_that_goes_on_and_on_until_it_is_over', 11, ''
+         UNION ALL SELECT 'a_very_long_header_that_goes_on_and_on_until_it_ends', 12, '') c""",
+)
+
+
 @query(
-    ctes("export_catalog")
-    + r""", s AS (SELECT table_name, position, column_name, left(regexp_replace(regexp_replace(lower(column_name), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 48) AS k FROM export_catalog),
-    t AS (SELECT *, CASE WHEN regexp_matches(k, '^[a-z]') THEN k ELSE left('f_' || k, 48) END AS stem FROM s),
-    u AS (SELECT *, row_number() OVER (PARTITION BY table_name, stem ORDER BY position) AS nth FROM t)
-    SELECT table_name, position, column_name, CASE WHEN nth = 1 THEN stem ELSE stem || '_' || nth END AS key FROM u"""
+    ctes("wide_headers").replace("WITH ", "WITH RECURSIVE ", 1)
+    + r""", s AS (SELECT *, trim(regexp_replace(lower(regexp_replace(column_name, '([a-z0-9])([A-Z])', '\1_\2', 'g')), '[^0-9a-z]+', '_', 'g'), '_') AS k FROM wide_headers
+      WHERE target_field IS NULL OR target_field LIKE 'feature.%'),
+    t AS (SELECT *, left(CASE WHEN k = '' THEN 'feature' WHEN regexp_matches(k, '^[a-z]') THEN k ELSE 'f_' || k END, 48) AS stem,
+      row_number() OVER (PARTITION BY table_name ORDER BY position) AS i FROM s),
+    walk AS (
+      SELECT table_name, 0::BIGINT AS i, list(substr(target_field, 9)) FILTER (target_field IS NOT NULL) AS taken, NULL::VARCHAR AS key FROM t GROUP BY table_name
+      UNION ALL
+      SELECT table_name, i, list_append(taken, key), key FROM (
+        SELECT t.table_name, t.i, coalesce(w.taken, []) AS taken, CASE WHEN target_field IS NOT NULL THEN substr(target_field, 9)
+          WHEN NOT list_contains(coalesce(w.taken, []), stem) THEN stem
+          ELSE stem || '_' || list_min([x FOR x IN range(2, 99) IF NOT list_contains(w.taken, stem || '_' || x)]) END AS key
+        FROM walk w JOIN t ON t.table_name = w.table_name AND t.i = w.i + 1))
+    SELECT t.table_name, position, column_name, key FROM t JOIN walk USING (table_name, i)"""
 )
 def feature_candidates(spark, sf_dir):
-    return R.feature_candidates(view(spark, sf_dir, "export_catalog"))
+    """Headers that clash with each other, with suffixes and with keys that a mapping gave."""
+    columns = view(spark, sf_dir, "wide_headers")
+    return R.feature_candidates(columns, mapped=columns.where("target_field is not null"))
 
 
 # --- validation --------------------------------------------------------------------------------------------

@@ -355,16 +355,39 @@ def merge_runs(spark, sf_dir):
     return merged.select("run_id", "status", F.to_date("created_at").cast("string").alias("day"), "superseded_by")
 
 
-@query(
-    ctes("runs")
-    + """, r AS (SELECT *, row_number() OVER (ORDER BY created_at DESC, run_id) AS k FROM runs)
-    SELECT run_id, CASE WHEN status IN ('stopped', 'interrupted', 'failed') AND date_diff('day', CAST(coalesce(finished_at, started_at, created_at) AS DATE), DATE '2001-08-01') > 400 THEN 'expired' ELSE 'beyond newest' END AS reason
-    FROM r WHERE (status IN ('stopped', 'interrupted', 'failed') AND date_diff('day', CAST(coalesce(finished_at, started_at, created_at) AS DATE), DATE '2001-08-01') > 400) OR (k > 300 AND status <> 'running')"""
-)
+_RETAINED = """, t AS (SELECT *, coalesce(finished_at, started_at, created_at) AS moment FROM runs),
+    e AS (SELECT *, status IN ('stopped', 'interrupted', 'failed') AND moment < TIMESTAMP '2001-08-01' - INTERVAL 400 DAY AS expired FROM t),
+    k AS (SELECT run_id, row_number() OVER (ORDER BY moment DESC, run_id DESC) AS place FROM e WHERE NOT expired AND status NOT IN ('queued', 'pending', 'running')),
+    gone AS (SELECT e.run_id, CASE WHEN expired THEN 'expired' ELSE 'beyond newest' END AS reason, model_version FROM e LEFT JOIN k USING (run_id) WHERE expired OR place > 300)
+"""
+
+
+@query(ctes("runs") + _RETAINED + " SELECT run_id, reason FROM gone")
 def retention(spark, sf_dir):
     return Q.retention(view(spark, sf_dir, "runs"), REF, ttl_days=400, keep=300)
 
 
+define(
+    "saved_models",
+    "orders",
+    """SELECT 'model-' || CAST(o_custkey AS STRING) AS model_version, max(o_orderdate) AS saved_at FROM orders GROUP BY o_custkey""",
+)
+
+
+@query(
+    ctes("runs", "saved_models")
+    + _RETAINED
+    + """, m AS (SELECT *, row_number() OVER (ORDER BY saved_at DESC, model_version DESC) AS place FROM saved_models)
+    SELECT model_version FROM m WHERE place > 20 AND model_version NOT IN (
+      SELECT model_version FROM runs WHERE run_id NOT IN (SELECT run_id FROM gone))"""
+)
+def model_retention(spark, sf_dir):
+    """Models beyond the newest that no run which stays refers to."""
+    runs = view(spark, sf_dir, "runs")
+    stay = runs.join(Q.retention(runs, REF, ttl_days=400, keep=300), "run_id", "left_anti")
+    return Q.model_retention(view(spark, sf_dir, "saved_models"), stay, keep=20)
+
+
 @query(
     CANON
     + """ SELECT row_id, CASE WHEN row_id % 20 = 1 THEN 'only stored' ELSE 'changed' END AS difference FROM accepted WHERE row_id % 20 = 1 OR row_id % 20 = 2"""

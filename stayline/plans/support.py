@@ -411,8 +411,11 @@ define(
     "model_replies",
     "support_messages",
     """SELECT thread_id, CASE length(thread_id) % 2 WHEN 0 THEN '```json' || chr(10) || body || chr(10) || '```' ELSE body END AS raw_reply FROM (
-         SELECT thread_id, CASE min(phrase) % 6 WHEN 5 THEN 'sorry, no JSON' WHEN 4 THEN '{"sentiment": {"label": "angry", "score": 0.1}}'
-           WHEN 3 THEN '{"sentiment": {"label": "negative", "score": -7.5}}'
+         SELECT thread_id, CASE min(phrase) % 12 WHEN 5 THEN 'sorry, no JSON' WHEN 4 THEN '{"sentiment": {"label": "angry", "score": 0.1}}'
+           WHEN 3 THEN '{"sentiment": {"label": "negative", "score": -7.5}}' WHEN 6 THEN '[1, 2]' WHEN 7 THEN '{"risk_flags": "no"}'
+           WHEN 8 THEN '{"urgency_level": "banana"}' WHEN 9 THEN '{"sentiment": {"confidence": 7}}'
+           WHEN 10 THEN '{"risk_flags": [{"flag_type": "other", "severity": "low", "signal_strength": "GIGANTIC", "message_id": "' || min(message_id) || '"}]}'
+           WHEN 11 THEN '{"sentiment": null, "risk_flags": null, "key_themes": [], "urgency_level": "low"}'
            WHEN 2 THEN '{"risk_flags": [{"flag_type": "boredom", "severity": "low", "signal_strength": "weak", "message_id": "m1"}]}'
            ELSE '{"sentiment": {"label": "negative", "score": -0.5}, "risk_flags": [{"flag_type": "other", "severity": "low", "signal_strength": "weak", "message_id": "' || min(message_id) || '"}]}' END AS body
          FROM support_messages GROUP BY thread_id) b""",
@@ -421,8 +424,9 @@ define(
 
 @query(
     ctes("model_replies")
-    + """, m AS (SELECT thread_id, min(phrase) % 6 AS k, min(message_id) AS cited FROM support_messages GROUP BY 1)
-    SELECT m.thread_id, CASE k WHEN 5 THEN 'INVALID_JSON' WHEN 4 THEN 'BAD_LABEL' WHEN 3 THEN 'BAD_SCORE' WHEN 2 THEN 'BAD_FLAG' ELSE
+    + """, m AS (SELECT thread_id, min(phrase) % 12 AS k, min(message_id) AS cited FROM support_messages GROUP BY 1)
+    SELECT m.thread_id, CASE k WHEN 5 THEN 'INVALID_JSON' WHEN 4 THEN 'BAD_LABEL' WHEN 3 THEN 'BAD_SCORE' WHEN 2 THEN 'BAD_FLAG' WHEN 6 THEN 'BAD_SHAPE' WHEN 7 THEN 'BAD_SHAPE'
+      WHEN 8 THEN 'BAD_URGENCY' WHEN 9 THEN 'BAD_SCORE' WHEN 10 THEN 'BAD_FLAG' WHEN 11 THEN 'ok' ELSE
       CASE WHEN EXISTS (SELECT 1 FROM support_messages s WHERE s.thread_id = m.thread_id AND s.message_id = m.cited AND s.role = 'customer') THEN 'ok' ELSE 'UNCITED_FLAG' END END AS code FROM m"""
 )
 def check_model_replies(spark, sf_dir):

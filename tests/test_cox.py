@@ -206,7 +206,21 @@ def test_the_whole_model_has_each_status(spark):
     tables = C.score_survival(fallback, df, predictors, strict).where("state = 'SCORED'").collect()
     assert all(r.risk_score == pytest.approx(1 - r.survival_90d) for r in tables)
     few = C.fit_survival(df.limit(20), predictors, calm)
-    assert few.status == "INSUFFICIENT_DATA" and few.warnings and few.c_index is None
+    assert few.status == "FALLBACK" and few.warnings and few.cox is None and few.c_index is None
+    scored = C.score_survival(few, df.limit(20), predictors, calm).where("state = 'SCORED'").collect()
+    assert scored and all(r.risk_score == pytest.approx(1 - r.survival_90d) for r in scored)
+    minor = M.SurvivalConfig(min_customers=50, min_events=10, ph_serious=0.0, ph_minor=1.1, bootstrap=0)  # any p is minor
+    assert C.fit_survival(df, predictors, minor).status == "WARNING"
+
+
+def test_the_five_statuses():
+    assert C.model_status(True, "keep", "none", False, True) == "READY"
+    for case in ((True, "keep", "none", True, True), (True, "keep", "minor", False, True), (True, "stratify", "serious", False, True)):
+        assert C.model_status(*case) == "WARNING"
+    for case in ((True, "fallback", "serious", False, True), (False, "fallback", "none", False, True)):
+        assert C.model_status(*case) == "FALLBACK"
+    assert C.model_status(True, "fallback", "none", False, False) == "FAILED"
+    assert C.model_status(False, "fallback", "none", False, False) == "INSUFFICIENT_DATA"
 
 
 def test_efron_sums_of_many_deaths_in_pieces():
