@@ -7,10 +7,10 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.files import new_folder, release, written
+from ..functions.files import new_folder, release, written, written_here
 from ..functions.files import write_and_read as materialize
 
-__all__ = ["materialize", "new_folder", "pick", "release", "slices", "spread_join", "table", "text_or_empty", "written"]
+__all__ = ["materialize", "new_folder", "pick", "release", "slices", "spread_join", "table", "text_or_empty", "written", "written_here"]
 
 #: The characters of ``[\x20\x09-\x0D]``, the only white space that the text contracts know.
 SPACES = " \t\n\x0b\f\r"

@@ -369,9 +369,12 @@ def pseudonymise_rows(
     if taken := {c.lower() for c in added} & {c.lower() for c in rows.columns}:
         raise ValueError(f"the input has columns of these names: {sorted(taken)}")
     at = rows.columns.index(text_col)
-    rows = rows.withColumn(text_col, F.col(f"`{text_col}`").cast("string"))
-    kinds = ((count_col, "int"), (spans_col, "string"))
-    schema = ", ".join([*(f"`{n}` {t}" for n, t in rows.dtypes), *(f"`{c}` {t}" for c, t in kinds if c)])
+    names = [*rows.columns, *added]
+    # names by place: mapInArrow resolves the names of its input, and a name may hold a dot
+    rows = rows.toDF(*(f"c{k}" for k in range(len(rows.columns))))
+    rows = rows.withColumn(f"c{at}", F.col(f"c{at}").cast("string"))
+    kinds = [t for c, t in ((count_col, "int"), (spans_col, "string")) if c]
+    schema = ", ".join([*(f"{n} {t}" for n, t in rows.dtypes), *(f"a{k} {t}" for k, t in enumerate(kinds))])
 
     def run(batches):
         f = Feistel(key)
@@ -386,9 +389,9 @@ def pseudonymise_rows(
             columns[at] = pa.array(texts, pa.string())
             more = ((count_col, pa.array(counts, pa.int32())), (spans_col, pa.array(spans, pa.string())))
             columns += [v for c, v in more if c]
-            yield pa.RecordBatch.from_arrays(columns, names=[*b.schema.names, *added])
+            yield pa.RecordBatch.from_arrays(columns, names=[*b.schema.names, *(f"a{k}" for k in range(len(kinds)))])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).toDF(*names)
 
 
 def op8_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -140,7 +140,9 @@ def kept_rows(docs: DataFrame, text_col: str = "text") -> DataFrame:
     import pyarrow as pa
 
     at = docs.columns.index(text_col)
-    rows = docs.withColumn(text_col, F.col(f"`{text_col}`").cast("string"))
+    # names by place: mapInArrow resolves the names of its input, and a name may hold a dot
+    rows = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
+    rows = rows.withColumn(f"c{at}", F.col(f"c{at}").cast("string"))
 
     def run(batches):
         import zstandard
@@ -150,7 +152,7 @@ def kept_rows(docs: DataFrame, text_col: str = "text") -> DataFrame:
         for b in slices(batches):
             yield b.filter(pa.array([measure(t, compress)[kept] for t in b.column(at).to_pylist()], pa.bool_()))
 
-    return rows.mapInArrow(run, rows.schema)
+    return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

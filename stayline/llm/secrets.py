@@ -7,7 +7,8 @@ shuffled, leaves out pairs that the ledger has, records the rest, and joins find
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import astuple, dataclass
+from hashlib import sha256
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -102,13 +103,19 @@ def versions_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return rows.select("path", F.sha2("text", 256).alias("blob"), "text")
 
 
+def version_key(rules: tuple[Rule, ...], rule_version: str) -> str:
+    """The name under which the ledger keeps findings: the version and a digest of the rules themselves, so that changed
+    rules are scanned anew also where the version's name stayed."""
+    return f"{rule_version}:{sha256(repr([astuple(r) for r in rules]).encode()).hexdigest()[:16]}"
+
+
 def scan_versions(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, rule_version: str = RULE_VERSION) -> int:
     """Scan the blobs that the ledger at this folder lacks under this rule version; how many rows it had before.
 
     The ledger is a Parquet folder of ``(rule_version, blob, spans)``; a run appends one commit, so a run that
     dies leaves it as it was. Only hash and text of distinct blobs are shuffled.
     """
-    spark = versions.sparkSession
+    spark, rule_version = versions.sparkSession, version_key(rules, rule_version)
     unseen, before = versions.select("blob", "text"), 0
     seen = read_ledger(spark, ledger)
     if seen is not None:
@@ -132,8 +139,11 @@ def read_ledger(spark: SparkSession, ledger: str) -> DataFrame | None:
         raise
 
 
-def findings_by_path(versions: DataFrame, ledger: str, rule_version: str = RULE_VERSION) -> DataFrame:
+def findings_by_path(
+    versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, rule_version: str = RULE_VERSION
+) -> DataFrame:
     """``(path, blob, spans)`` for every version, copies included."""
+    rule_version = version_key(rules, rule_version)
     found = read_ledger(versions.sparkSession, ledger).where(F.col("rule_version") == rule_version)
     hits = found.where(F.size("spans") > 0).select("blob", "spans").dropDuplicates(["blob"])
     none = F.array().cast("array<struct<start:int,kind_no:int,end:int>>")
@@ -157,7 +167,7 @@ def find_secrets(
     versions = versions_of(pick(docs, id_col, text_col), id_col, text_col)
     ledger = ledger or new_folder(docs.sparkSession, "blob-ledger")
     scan_versions(versions, ledger, rules, rule_version)
-    rows = findings_by_path(versions, ledger, rule_version)
+    rows = findings_by_path(versions, ledger, rules, rule_version)
     kinds = F.array(*(F.lit(r.kind) for r in rules))
     base = len(BASE_RULES)
 

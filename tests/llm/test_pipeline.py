@@ -9,6 +9,7 @@ import __spark_entry__ as entry
 import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import functions as F
+from stayline.llm.common import written
 from stayline.llm import pii
 
 sys.path.insert(0, __file__.rsplit("/", 1)[0])
@@ -76,7 +77,7 @@ def test_pipeline_matches_brute_force(spark):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     spark.conf.set(pii.KEY_SETTING, "key of this test")
     try:
-        docs, wrote = spark.read.parquet(f"{SF}/documents.parquet"), len(corpus_pipeline.written())
+        docs, wrote = spark.read.parquet(f"{SF}/documents.parquet"), len(written())
         for _, stage in corpus_pipeline.STAGES[:4]:
             docs = corpus_pipeline.materialize(stage(spark, docs, SF), "by-stage")
         done = {r.doc_id: (r.text, r.n_chars) for r in docs.collect()}
@@ -98,7 +99,7 @@ def test_pipeline_matches_brute_force(spark):
     for parts in sequences.values():
         assert [o for o, _ in sorted(parts)] == [sum(n for _, n in sorted(parts)[:k]) for k in range(len(parts))]
     # run() leaves two folders with rows: the last stage's input, and nothing else of its own
-    left = corpus_pipeline.written()[wrote:]
+    left = written()[wrote:]
     assert sum(p.rsplit("/", 1)[1].startswith(("quality", "exact-d", "near-d", "private")) for p in left) == 1
 
 
@@ -151,3 +152,19 @@ def test_every_operator_is_registered():
     names = entry.queries()
     assert "pipeline" in names
     assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11))
+
+
+def test_stages_take_names_with_dots(spark, odd_docs):
+    docs = odd_docs.selectExpr("*", "1 AS `a.b`", "'x' AS `text.x`")
+    for stage in (corpus_pipeline.quality_stage, corpus_pipeline.private_stage):
+        got = stage(spark, docs, SF)
+        assert got.columns == docs.columns and all(r["a.b"] == 1 for r in got.collect())
+
+
+def test_runs_in_threads_leave_each_other_alone(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    held = corpus_pipeline.materialize(spark.range(10), "held")
+    with ThreadPoolExecutor(2) as pool:
+        counts = list(pool.map(lambda _: corpus_pipeline.run(spark, SF).count(), range(2)))
+    assert counts[0] == counts[1] > 0 and held.count() == 10

@@ -331,7 +331,12 @@ def test_ledger_scans_only_unseen_pairs(spark):
     assert secrets.read_ledger(spark, ledger).count() == 3
     assert got[3].spans == got[1].spans != "" and got[4].spans == "" and got[5].n_access == 1
     secrets.find_secrets(first, ledger, rule_version="2").collect()
-    assert secrets.read_ledger(spark, ledger).where("rule_version = '2'").count() == 2
+    assert secrets.read_ledger(spark, ledger).where("rule_version LIKE '2:%'").count() == 2
+    more = (*secrets.RULES, secrets.Rule("word", r"[a-z]+", "^.+$"))
+    before = secrets.read_ledger(spark, ledger).count()
+    found = secrets.find_secrets(first, ledger, rules=more, rule_version="2").collect()
+    assert any("word:" in r.spans for r in found)  # one more rule under the same version is scanned
+    assert secrets.read_ledger(spark, ledger).count() == before + 2
 
 
 # --- private data ------------------------------------------------------------------------------------------
