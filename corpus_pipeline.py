@@ -16,7 +16,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stayline.llm.common import materialize, release, table, written
+from stayline.llm.common import materialize, release, table, written_here
 from stayline.llm.exact_dedup import exact_duplicates
 from stayline.llm.packing import pack_documents, tokenizer_file
 from stayline.llm.pii import pseudonymise_rows, session_key
@@ -92,8 +92,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage. What a stage wrote for itself, and its input, are emptied once its result is written."""
-    docs, before = table(spark, sf_dir, "documents"), set(written())
+    docs, result = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-        release(spark, [p for p in written()[:-1] if p not in before])
+        with written_here() as wrote:
+            docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        release(spark, result + wrote[:-1])
+        result = wrote[-1:]
     return STAGES[-1][1](spark, docs, sf_dir)
