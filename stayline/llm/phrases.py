@@ -36,7 +36,7 @@ LEVELS = ((2,), (3,), (4, 5))
 ID_BITS = 25
 #: Words of a block, and counters that a task's filter holds before it is handed on.
 BLOCK_WORDS = 1_000_000
-FILTER_SIZE = 3_000_000
+FILTER_SIZE = 1_000_000
 BITMAP_BITS = 24
 
 SEPARATORS = re.compile(r"[.,;:!?\x0A-\x0D]")
