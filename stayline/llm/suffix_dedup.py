@@ -28,6 +28,8 @@ STARTS = 64
 #: Bytes of texts that are hashed together, and of contexts that share a suffix array.
 BATCH_BYTES = 4 << 20
 BLOCK_BYTES = 1 << 18
+#: Bits of the map that tells rows whose name nobody shares, whatever the number of names.
+MAP_BITS = 26
 
 
 # --- suffix array ------------------------------------------------------------------------------------------
@@ -281,12 +283,36 @@ def window_members(contexts: DataFrame) -> DataFrame:
     return ranged.mapInArrow(run, f"window binary, name long, body long, doc_id {kind}, start int")
 
 
+def _maybe_shared(rows: DataFrame, shared: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose name isn't ``shared``: a map of a fixed number of bits, so that they need no
+    shuffle. Its false positives go in the join that follows."""
+    slot = F.col("name").bitwiseAND((1 << MAP_BITS) - 1)  # names are smallest hashes: only their low bits are even
+    found = shared.select(slot.alias("slot")).groupBy(F.floor(F.col("slot") / 32768).alias("bucket"))
+    found = found.agg(F.bitmap_construct_agg(F.col("slot") % 32768).alias("bits")).collect()  # 2 ** (MAP_BITS - 15) rows at most
+    bits = bytearray(1 << (MAP_BITS - 3))
+    for r in found:
+        bits[r.bucket * 4096 : (r.bucket + 1) * 4096] = r.bits
+    held = rows.sparkSession.sparkContext.broadcast(bytes(bits))
+
+    def run(batches):
+        import pyarrow as pa
+
+        known = np.frombuffer(held.value, np.uint8)
+        for b in batches:
+            at = b.column(0).to_numpy().view(np.uint64) & np.uint64((1 << MAP_BITS) - 1)
+            hit = (known[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1
+            yield b.filter(pa.array(hit.astype(bool)))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def repeated_starts(docs: DataFrame) -> DataFrame:
     """``(doc_id, digest, lo, n, mask)``: contexts of ``(doc_id, digest, text)`` with windows that a smaller doc_id
     has too: all of them where ``mask`` is null, else those of its bits."""
     rows = materialize(context_rows(docs), "window-contexts")
     ends = rows.groupBy("name").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    hits = materialize(rows.join(ends.where("low < high").select("name"), "name"), "shared-contexts")
+    shared = materialize(ends.where("low < high").select("name"), "shared-names")
+    hits = materialize(_maybe_shared(rows, shared).join(shared, "name"), "shared-contexts")
     one = F.min(F.struct("doc_id", "digest", "lo", "n")).alias("one")
     known = materialize(hits.groupBy("name", "body").agg(one), "context-texts")
     many = known.groupBy("name").agg(F.count("*").alias("c")).where("c > 1").select("name")
