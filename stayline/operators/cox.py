@@ -366,20 +366,32 @@ def contribution_text(c: Column) -> Column:
 # --- concordance -------------------------------------------------------------------------------------------
 
 
+def _in_buckets(df: DataFrame, bucket_rows: int, most: int) -> DataFrame:
+    """``df`` with ``bucket``: ranges of the score that hold about ``bucket_rows`` rows, or one score. Rows without score or
+    duration are left out."""
+    from pyspark.ml.feature import Bucketizer
+
+    rows = df.where(F.col("duration").isNotNull() & F.col("score").isNotNull() & ~F.isnan("score")).withColumn("score", F.col("score").cast("double"))
+    k = max(1, min(most, rows.count() // bucket_rows))
+    bounds = sorted(set(rows.approxQuantile("score", [i / k for i in range(1, k)], 0.1 / k))) if k > 1 else []
+    if not bounds:
+        return rows.withColumn("bucket", F.lit(0))
+    # a bound's own score starts a bucket, and the next larger number ends it, so that a frequent score stands alone
+    edges = sorted({e for b in bounds for e in (b, math.nextafter(b, math.inf))} - {math.inf})
+    cut = Bucketizer(splits=[-math.inf, *edges, math.inf], inputCol="score", outputCol="_bucket")
+    return cut.transform(rows).withColumn("bucket", F.col("_bucket").cast("int")).drop("_bucket")
+
+
 def c_index(df: DataFrame, bucket_rows: int = 20_000) -> DataFrame:
     """One row ``(concordant, tied, pairs, c_index)`` from ``(duration, event, score)``, higher scores failing sooner.
 
     Equal rows are counted first. Pairs across score buckets follow from running counts of (bucket, day) cells;
-    pairs within a bucket are compared in its own task.
+    pairs within a bucket are counted by merging, in its own task. Rows without score or duration are left out.
     """
     from pyspark.sql import Window
 
-    cells = df.groupBy("score", "duration", "event").agg(F.count("*").alias("n"))
-    n = max(1, df.count())
-    k = max(1, min(10_000, n // bucket_rows))
-    bounds = sorted(set(df.approxQuantile("score", [i / k for i in range(1, k)], 0.001))) if k > 1 else []
-    bucket = sum((F.when(F.col("score") >= b, 1).otherwise(0) for b in bounds), F.lit(0)) if len(bounds) < 64 else F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("score")))
-    cells = cells.withColumn("bucket", bucket)
+    cells = _in_buckets(df, bucket_rows, 10_000).groupBy("bucket", "score", "duration", "event").agg(F.count("*").alias("n"))
+    cells = write_and_read(cells, "concordance")
     grid = cells.groupBy("bucket", "duration").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("event") == 1, F.col("n")).otherwise(0)).alias("e"))
     days = grid.select("duration").distinct()
     full = grid.select("bucket").distinct().crossJoin(days).join(grid, ["bucket", "duration"], "left").fillna(0, ["n", "e"])  # buckets x days of counts
@@ -389,100 +401,140 @@ def c_index(df: DataFrame, bucket_rows: int = 20_000) -> DataFrame:
     full = full.withColumn("below", F.sum("after").over(order) - F.col("after")).withColumn("all", F.sum("after").over(Window.partitionBy("duration")))
     cross = full.agg(
         F.coalesce(F.sum(F.col("e") * F.col("below")), F.lit(0)).alias("concordant"),
-        F.coalesce(F.sum(F.col("e") * (F.col("all") - F.col("after"))), F.lit(0)).alias("pairs"),
+        F.coalesce(F.sum(F.col("e") * F.col("all")), F.lit(0)).alias("pairs"),
     )
 
     def inside(pdf):
-        import numpy as np
         import pandas as pd
 
-        t, s, n, e = (pdf[c].to_numpy() for c in ("duration", "score", "n", "event"))
-        good = tied = pairs = 0
-        for i in np.flatnonzero(e == 1):
-            lives = (t > t[i]) | ((t == t[i]) & (e == 0))
-            pairs += int(n[i] * n[lives].sum())
-            good += int(n[i] * n[lives & (s < s[i])].sum())
-            tied += int(n[i] * n[lives & (s == s[i])].sum())
-        return pd.DataFrame({"concordant": [good], "tied": [tied], "pairs": [pairs]})
-
-    own = cells.groupBy("bucket").applyInPandas(inside, "concordant long, tied long, pairs long")
-    both = own.select("concordant", "tied", "pairs").union(cross.select("concordant", F.lit(0), "pairs"))
+        pdf = pdf.sort_values("score")
+        good, tied = concordance_inside(*_keyed(pdf), pdf.n.to_numpy())
+        return pd.DataFrame({"concordant": [good], "tied": [tied]})
+
+    own = cells.groupBy("bucket").applyInPandas(inside, "concordant long, tied long")
+    both = own.select("concordant", "tied", F.lit(0).alias("pairs")).union(cross.select("concordant", F.lit(0), "pairs"))
     one = both.agg(*(F.sum(c).alias(c) for c in ("concordant", "tied", "pairs")))
     return one.withColumn("c_index", F.try_divide(F.col("concordant") + 0.5 * F.col("tied"), F.col("pairs")))
 
 
-def concordance_inside(key, score, n) -> float:
-    """Weighted concordant pairs and half of the tied ones, from arrays of cells sorted by score.
+def _keyed(pdf):
+    """Keys (twice the day's number, plus 1 where no event is seen) and scores: a cell outlives an event if its key is larger."""
+    import numpy as np
+
+    return 2 * np.unique(pdf.duration, return_inverse=True)[1] + (pdf.event.to_numpy() != 1), pdf.score.to_numpy()
 
-    ``key`` is twice the day, plus 1 where no event is seen: a cell outlives an event if its key is larger.
-    Halves of the scores are counted against each other by running sums over keys, then each by itself.
+
+def concordance_inside(key, score, n):
+    """Concordant and tied pairs among cells sorted by score, with the keys of ``_keyed``.
+
+    ``n`` counts each cell once, or has a column for each round; the results have its last shape. Halves of the scores
+    are counted against each other by running sums over keys, then each by itself.
     """
     import numpy as np
 
+    n = np.asarray(n)
+
     def against(low, high):
         order = np.argsort(key[low], kind="stable")
-        left = np.concatenate([np.cumsum(n[low][order][::-1])[::-1], [0]])
+        left = np.concatenate([np.cumsum(n[low][order][::-1], 0)[::-1], np.zeros((1, *n.shape[1:]), n.dtype)])
         hit = key[high] % 2 == 0
-        return float((n[high][hit] * left[np.searchsorted(key[low][order], key[high][hit], side="right")]).sum())
+        return (n[high][hit] * left[np.searchsorted(key[low][order], key[high][hit], side="right")]).sum(0)
 
     starts = np.concatenate([[0], np.flatnonzero(np.diff(score)) + 1, [len(score)]])
-    total, waiting = 0.0, [(0, len(starts) - 1)]
+    good, tied, waiting = np.zeros(n.shape[1:], n.dtype), np.zeros(n.shape[1:], n.dtype), [(0, len(starts) - 1)]
     while waiting:
         a, b = waiting.pop()
         if b - a == 1:
             one = slice(starts[a], starts[b])
-            total += 0.5 * against(one, one)
+            if starts[b] - starts[a] > 1:
+                tied = tied + against(one, one)
         elif b > a:
             m = (a + b) // 2
-            total += against(slice(starts[a], starts[m]), slice(starts[m], starts[b]))
+            good = good + against(slice(starts[a], starts[m]), slice(starts[m], starts[b]))
             waiting += [(a, m), (m, b)]
-    return total
+    return good, tied
 
 
 def c_index_bootstrap(df: DataFrame, rounds: int = 200, seed: int = 7, bucket_rows: int = 20_000) -> DataFrame:
     """One row ``(lo, hi)``: percentiles over rounds of Poisson weights hashed from (seed, round, id), on exact scores.
 
-    As in ``c_index``, pairs across score buckets follow from running counts of (bucket, day) cells, and pairs
-    within a bucket are compared in a task of the round and bucket.
+    A row is shuffled once, to its score bucket; its weights in all rounds are drawn there. One merge counts the pairs of
+    a bucket for all rounds. Pairs across buckets follow from each bucket's counts by day, which go on round by round.
+    A bucket over four times ``bucket_rows`` is one frequent score: its rows are first added up by day in parts.
     """
-    n = df.count()
-    k = max(1, min(1_000, n // bucket_rows))
-    bounds = sorted(set(df.approxQuantile("score", [i / k for i in range(1, k)], 0.1 / k))) if k > 1 else []
-    bins = len(bounds) + 1
-    bucketed = df.withColumn("bucket", F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<double>"), lambda b: b <= F.col("score"))))
-    drawn = bucketed.select("customer_id", "duration", "event", "score", "bucket", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"))
-    u = F.pmod(F.xxhash64(F.lit(seed), "round", "customer_id"), F.lit(1 << 30)) / float(1 << 30)
-    weight, total = F.lit(0), 0.0
+    buckets = write_and_read(_in_buckets(df.select("customer_id", "duration", "event", "score"), bucket_rows, 1_000), "bootstrap")
+    parts = buckets.groupBy("bucket").agg(F.ceil(F.count("*") / (4 * bucket_rows)).cast("int").alias("parts"))
+    placed = buckets.join(F.broadcast(parts), "bucket")  # 2,000 rows at most
+    placed = placed.withColumn("part", F.pmod(F.xxhash64("customer_id"), F.col("parts")).cast("int"))
+    draws = F.transform(F.sequence(F.lit(1), F.lit(rounds)), lambda r: F.pmod(F.xxhash64(F.lit(seed), r, "customer_id"), F.lit(1 << 30)).cast("int"))
+    drawn = placed.repartition("bucket", "part").withColumn("draws", draws)
+    limits, total = [], 0.0
     for j in range(8):
         total += math.exp(-1) / math.factorial(j)
-        weight = weight + (u >= total).cast("int")
-    weighted = drawn.withColumn("w", weight).where("w > 0").groupBy("round", "bucket", "score", "duration", "event").agg(F.sum("w").alias("n"))
-    cells = write_and_read(weighted, "bootstrap")
+        limits.append(total)
 
-    def across(pdf):
+    def weights(pdf):
+        import numpy as np
+
+        return np.searchsorted(limits, np.stack(pdf.draws.to_numpy()) / float(1 << 30), side="right").astype(np.float64)
+
+    def counted(bucket, pdf, w):
+        """A row for each round: the pairs of the bucket, and its counts by day and event."""
         import numpy as np
         import pandas as pd
 
+        good, tied = concordance_inside(*_keyed(pdf), w)
         days, at = np.unique(pdf.duration, return_inverse=True)
-        grid = np.zeros((2, bins, len(days)))
-        np.add.at(grid, (pdf.event.to_numpy(), pdf.bucket.to_numpy(), at), pdf.n.to_numpy())
-        after = np.cumsum((grid[0] + grid[1])[:, ::-1], 1)[:, ::-1] - grid[1]
-        below = np.cumsum(after, 0) - after
-        return pd.DataFrame({"round": [pdf["round"].iloc[0]], "good": [(grid[1] * below).sum()], "pairs": [(grid[1] * after.sum(0)).sum()]})
+        grid = np.zeros((2, len(days), rounds))
+        np.add.at(grid, ((pdf.event.to_numpy() == 1).astype(int), at), w)
+        packed = [grid[:, :, r].tobytes() for r in range(rounds)]
+        return pd.DataFrame(
+            {"round": range(1, rounds + 1), "bucket": bucket, "good": good + 0.5 * tied, "days": [days.astype(np.float64).tobytes()] * rounds, "grid": packed}
+        )
+
+    def whole(pdf):
+        pdf = pdf.sort_values("score")
+        return counted(int(pdf.bucket.iloc[0]), pdf, weights(pdf))
 
-    def inside(pdf):
+    def added(pdf):
         import numpy as np
         import pandas as pd
 
+        cells, at = np.unique(pdf[["score", "duration", "event"]].to_numpy(np.float64), axis=0, return_inverse=True)
+        w = np.zeros((len(cells), rounds))
+        np.add.at(w, at.ravel(), weights(pdf))
+        return pd.DataFrame({"bucket": pdf.bucket.iloc[0], "score": cells[:, 0], "duration": cells[:, 1], "event": cells[:, 2].astype(int), "w": list(w)})
+
+    def joined(pdf):
+        import numpy as np
+
         pdf = pdf.sort_values("score")
-        key = 2 * np.unique(pdf.duration, return_inverse=True)[1] + (pdf.event.to_numpy() == 0)
-        good = concordance_inside(key, pdf.score.to_numpy(), pdf.n.to_numpy())
-        return pd.DataFrame({"round": [pdf["round"].iloc[0]], "good": [good], "pairs": [0.0]})
-
-    schema = "round int, good double, pairs double"
-    grid = cells.groupBy("round", "bucket", "duration", "event").agg(F.sum("n").alias("n"))
-    sums = grid.groupBy("round").applyInPandas(across, schema).union(cells.groupBy("round", "bucket").applyInPandas(inside, schema))
-    values = sums.groupBy("round").agg((F.sum("good") / F.nullif(F.sum("pairs"), F.lit(0.0))).alias("c"))
+        return counted(int(pdf.bucket.iloc[0]), pdf, np.stack(pdf.w.to_numpy()))
+
+    def across(pdf):
+        import numpy as np
+        import pandas as pd
+
+        pdf = pdf.sort_values("bucket")
+        days = [np.frombuffer(d) for d in pdf.days]
+        every = np.unique(np.concatenate(days))
+        good = pairs = 0.0
+        below, events = np.zeros(len(every)), np.zeros(len(every))
+        for own, packed in zip(days, pdf.grid):
+            spread = np.zeros((2, len(every)))
+            spread[:, np.searchsorted(every, own)] = np.frombuffer(packed).reshape(2, -1)
+            after = np.cumsum(spread.sum(0)[::-1])[::-1] - spread[1]
+            good += (spread[1] * below).sum()
+            below += after
+            events += spread[1]
+        pairs = (events * below).sum()
+        return pd.DataFrame({"c": [(good + pdf.good.sum()) / pairs if pairs else None]})
+
+    schema = "round int, bucket int, good double, days binary, grid binary"
+    cold = drawn.where("parts = 1").groupBy("bucket", "part").applyInPandas(whole, schema)
+    frequent = drawn.where("parts > 1").groupBy("bucket", "part").applyInPandas(added, "bucket int, score double, duration double, event int, w array<double>")
+    sums = cold.union(frequent.groupBy("bucket").applyInPandas(joined, schema))
+    values = sums.groupBy("round").applyInPandas(across, "c double")
     return values.agg(F.percentile("c", 0.025).alias("lo"), F.percentile("c", 0.975).alias("hi"))
 
 

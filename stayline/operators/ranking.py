@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.files import write_and_read
@@ -38,8 +38,10 @@ class RankingConfig:
 
 
 def first_of_each(df: DataFrame, order: str = "pos") -> DataFrame:
-    nth = F.row_number().over(Window.partitionBy("customer_id").orderBy(order))
-    return df.withColumn("_n", nth).where("_n = 1").drop("_n", order)
+    """Each customer's first row, without ``order``. Tasks find their first rows before any are brought together."""
+    rest = [c for c in df.columns if c not in ("customer_id", order)]
+    first = df.groupBy("customer_id").agg(F.min_by(F.struct(*rest), F.col(order)).alias("_row"))
+    return first.select("customer_id", *(F.col(f"_row.{c}").alias(c) for c in rest))
 
 
 def account_universe(scores: DataFrame, support: DataFrame, order: str = "pos") -> DataFrame:

@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.claims import with_first
 from ..functions.files import write_and_read
 from ..functions.scalars import is_blank, to_float
 from ..vocab import CORE_KEYS
@@ -64,16 +65,14 @@ def _gate(condition: Column, code: str, name: str = "") -> Column:
 
 def with_errors(df: DataFrame, cfg: ValidationConfig, ref: str) -> DataFrame:
     """Adds ``errors`` (array of code and field) to every row. The first row of an id claims it, valid or not."""
-    # blank ids would meet in one window: each stands for itself
-    owner = F.coalesce("customer_id", F.concat(F.lit("\x00"), F.col("row_id").cast("string")))
-    rows = df.withColumn("_nth", F.row_number().over(Window.partitionBy(owner).orderBy("row_id")))
+    rows = with_first(df, "customer_id", "row_id", "_claimed_by")
     start, end, ref_day = F.col("observation_start"), F.col("observation_end"), F.lit(ref).cast("date")
     tenure = F.col("tenure")
     bad_tenure = tenure.isNull() | F.isnan(tenure) | (tenure < 0) | (tenure == float("inf"))
     keys = core_keys(df)
     gates = [
         _gate(is_blank(F.col("customer_id")), "CUSTOMER_ID"),
-        _gate(F.col("_nth") > 1, "UNIQUE_ID"),
+        _gate(F.col("row_id") > F.col("_claimed_by"), "UNIQUE_ID"),
         _gate(start.isNull(), "INVALID_DATE", "observation_start"),
         _gate(end.isNull(), "INVALID_DATE", "observation_end"),
         _gate(start > end, "WINDOW_ORDER"),
@@ -93,7 +92,7 @@ def with_errors(df: DataFrame, cfg: ValidationConfig, ref: str) -> DataFrame:
         gates.append(_gate(has(k) & is_blank(value(k)), "FEATURE_MISSING", k))
         if kind == "float":
             gates.append(_gate(has(k) & ~is_blank(value(k)) & to_float(value(k)).isNull(), "FEATURE_TYPE", k))
-    return rows.withColumn("errors", F.filter(F.array(*gates), lambda e: e.isNotNull())).drop("_nth")
+    return rows.withColumn("errors", F.filter(F.array(*gates), lambda e: e.isNotNull())).drop("_claimed_by")
 
 
 def row_errors(df: DataFrame, cfg: ValidationConfig, ref: str) -> DataFrame:
