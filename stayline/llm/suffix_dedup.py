@@ -2,15 +2,16 @@
 
 Anchors: a window of 50 bytes is named by the smallest hash of its 24-byte grams, so equal windows have equal names,
 wherever they stand. Neighbouring windows of one name make a context: a stretch of text with up to 64 window starts.
-Only names that two documents share go on. Where a name has one context text, all its windows are equal to those of
-its first document; nothing needs to be ordered.
+A first pass over the texts sends 48 bits of each name, packed, to find those that two documents share; only their
+contexts are written, in a second pass. Where a name has one context text, all its windows are equal to those of its
+first document; nothing needs to be ordered.
 
 Suffix arrays: the distinct contexts of the other names, in the order of their names, are dealt to tasks by range and
 put together in blocks. A block's suffix array is built by grouping: suffixes begin in groups of their first byte;
 groups are taken in descending order, and each hands its suffixes' previous-smaller places on into larger groups right
 above their own, until a group holds the suffixes of one Lyndon prefix; groups then emit their suffixes in the order
-of what follows the prefix. Equal windows are neighbours there. Windows meet once more across blocks by their bytes,
-since a name with many contexts may lie in several blocks.
+of what follows the prefix. Equal windows are neighbours there, and tell the verdicts of all names that lie in one block.
+The windows of a block's first and last name, which other blocks may hold as well, meet once more by their bytes.
 """
 
 from __future__ import annotations
@@ -26,9 +27,12 @@ GRAM = 24
 #: Window starts of a context: the bits of a long.
 STARTS = 64
 #: Bytes of texts that are hashed together, and of contexts that share a suffix array.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 17
 BLOCK_BYTES = 1 << 18
-#: Bits of the map that tells rows whose name nobody shares, whatever the number of names.
+#: Bytes of texts whose names are packed together, and names of one range.
+PACK_BYTES = 8 << 20
+RANGE_NAMES = 1 << 20
+#: Bits of the map of shared names that tasks hold, whatever the number of names.
 MAP_BITS = 26
 
 
@@ -162,42 +166,131 @@ def contexts_of(b: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.
     return owner[run], at[run], np.diff([*run, len(at)]), name[run].view(np.int64)
 
 
-def context_rows(docs: DataFrame) -> DataFrame:
-    """``(name, body, doc_id, digest, lo, n)`` of the contexts of ``(doc_id, digest, text)``; ``body`` hashes the bytes."""
+def _slots(name: np.ndarray) -> np.ndarray:
+    """48 bits of each name, spread evenly (names are smallest hashes, so their high bits are not)."""
+    return (name.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(16)
+
+
+def _together(batches):
+    """``(columns of values, bytes, first, size)`` of texts, the last column of each batch, that are hashed together."""
+    held, rows = 0, []
+    for b in slices(batches):
+        for r in zip(*(c.to_pylist() for c in b.columns)):
+            rows.append(r)
+            held += len(r[-1])
+            if held >= BATCH_BYTES:
+                yield _laid_out(rows)
+                held, rows = 0, []
+    if rows:
+        yield _laid_out(rows)
+
+
+def _laid_out(rows):
+    *columns, texts = zip(*rows)
+    size = np.array([len(t) for t in texts], np.int64)
+    # places of empty texts equal those of the next text, which searchsorted takes
+    return columns, b"".join(texts), np.cumsum(size) - size, size
+
+
+def shared_slots(docs: DataFrame) -> DataFrame:
+    """``slot`` of the names that stand in two rows of ``(..., text)`` at least, each once.
+
+    A task sends sorted slots by range, six bytes each: those that it has seen in one row, and those in several.
+    """
+    import pyarrow as pa
+
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = min(24, max(6, (total // (15 * RANGE_NAMES)).bit_length()))
+    names = ["range", "once", "more"]
+
+    def packed(slots, owners):
+        slot, owner = np.concatenate(slots), np.concatenate(owners)
+        order = np.argsort(slot, kind="stable")  # rows ascend within a slot
+        slot, owner = slot[order], owner[order]
+        edge = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]]))
+        more = owner[edge] != owner[np.concatenate([edge[1:], [len(slot)]]) - 1]
+        slot = slot[edge]
+        of = (slot >> np.uint64(48 - bits)).astype(np.int64)
+        ranges = np.unique(of)
+        parts = []
+        for chosen in (~more, more):
+            raw = np.ascontiguousarray(slot[chosen].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+            left, right = (6 * np.searchsorted(of[chosen], ranges, side=side) for side in ("left", "right"))
+            parts.append(pa.array([raw[x:y] for x, y in zip(left.tolist(), right.tolist())], pa.binary()))
+        return pa.RecordBatch.from_arrays([pa.array(ranges, pa.int32()), *parts], names=names)
+
+    def run(batches):
+        slots, owners, base, held = [], [], 0, 0
+        for _, raw, first, size in _together(batches):
+            owner, _, _, name = contexts_of(np.frombuffer(raw, np.uint8), first, size)
+            if len(name):
+                slots.append(_slots(name))
+                owners.append(owner + base)
+            base += len(size)
+            held += len(raw)
+            if held >= PACK_BYTES and slots:
+                yield packed(slots, owners)
+                slots, owners, held = [], [], 0
+        if slots:
+            yield packed(slots, owners)
+
+    def unpacked(values):
+        six = np.frombuffer(b"".join(values), np.uint8).reshape(-1, 6)
+        out = np.zeros((len(six), 8), np.uint8)
+        out[:, :6] = six
+        return out.view("<u8").ravel()
+
+    def merged(pdf):
+        import pandas as pd
+
+        once = np.sort(unpacked(pdf.once))
+        again = once[1:][once[1:] == once[:-1]]
+        more = unpacked(pdf.more)
+        return pd.DataFrame({"slot": np.unique(np.concatenate([again, more, once[np.isin(once, more)]])).astype(np.int64)})
+
+    return docs.select("text").mapInArrow(run, "range int, once binary, more binary").groupBy("range").applyInPandas(merged, "slot long")
+
+
+def _map_of(shared: DataFrame):
+    """A broadcast map of ``slot`` with a fixed number of bits: where it has none, nobody shares the name."""
+    low = F.col("slot").bitwiseAND((1 << MAP_BITS) - 1)
+    found = shared.select(low.alias("slot")).groupBy(F.floor(F.col("slot") / 32768).alias("bucket"))
+    found = found.agg(F.bitmap_construct_agg(F.col("slot") % 32768).alias("bits")).collect()  # 2 ** (MAP_BITS - 15) rows at most
+    bits = bytearray(1 << (MAP_BITS - 3))
+    for r in found:
+        bits[r.bucket * 4096 : (r.bucket + 1) * 4096] = r.bits
+    return shared.sparkSession.sparkContext.broadcast(bytes(bits))
+
+
+def context_rows(docs: DataFrame, held) -> DataFrame:
+    """``(name, body, doc_id, digest, lo, n)`` of the contexts of ``(doc_id, digest, text)`` whose name the map ``held`` has
+    (its few false positives are told later); ``body`` hashes the bytes."""
     import pyarrow as pa
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     names = ["name", "body", "doc_id", "digest", "lo", "n"]
 
-    def groups(batches):
-        ids, digests, texts, held = [], [], [], 0
-        for b in slices(batches):
-            for i, d, t in zip(*(b.column(k).to_pylist() for k in range(3))):
-                ids.append(i)
-                digests.append(d)
-                texts.append(t)
-                held += len(t)
-                if held >= BATCH_BYTES:
-                    yield b.column(0).type, ids, digests, texts
-                    ids, digests, texts, held = [], [], [], 0
-        if texts:
-            yield b.column(0).type, ids, digests, texts
-
     def run(batches):
+        from itertools import chain
+
         from xxhash import xxh3_64_intdigest
 
-        for of, ids, digests, texts in groups(batches):
-            raw = b"".join(texts)
-            size = np.array([len(t) for t in texts], np.int64)
-            first = np.cumsum(size) - size
-            # places of empty texts equal those of the next text, which searchsorted takes
+        batches = iter(batches)
+        start = next(batches, None)
+        if start is None:
+            return
+        of, known = start.column(0).type, np.frombuffer(held.value, np.uint8)
+        for (ids, digests), raw, first, size in _together(chain([start], batches)):
             owner, at, n, name = contexts_of(np.frombuffer(raw, np.uint8), first, size)
+            slot = _slots(name) & np.uint64((1 << MAP_BITS) - 1)
+            hit = (known[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1
+            owner, at, n, name = (x[hit == 1] for x in (owner, at, n, name))
             body = np.fromiter((xxh3_64_intdigest(raw[a : a + k + WIDTH - 1]) for a, k in zip(at.tolist(), n.tolist())), np.uint64, len(at))
             take = pa.array(owner)
             columns = [pa.array(name, pa.int64()), pa.array(body.view(np.int64)), pa.array(ids, of).take(take), pa.array(digests, pa.int64()).take(take)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(at - first[owner], pa.int32()), pa.array(n, pa.int32())], names=names)
 
-    return docs.mapInArrow(run, f"name long, body long, doc_id {kind}, digest long, lo int, n int")
+    return docs.select("doc_id", "digest", "text").mapInArrow(run, f"name long, body long, doc_id {kind}, digest long, lo int, n int")
 
 
 # --- equal windows -----------------------------------------------------------------------------------------
@@ -247,92 +340,76 @@ def equal_windows(contexts: list[bytes]) -> list[list[tuple[int, int]]]:
 
 
 def window_members(contexts: DataFrame) -> DataFrame:
-    """``(window, name, body, doc_id, start)``: each context's windows that its block has twice or that may lie in
-    another block (those of the first and the last name of a block)."""
+    """Verdicts and open windows of ``(name, body, doc_id, context)``.
+
+    Verdicts are ``(name, body, mask)`` of contexts with windows that a smaller doc_id has too. Open windows,
+    ``(window, name, body, doc_id, start)``, are those of the first and the last name of a block, whose other contexts
+    may lie in other blocks.
+    """
     import pyarrow as pa
 
     kind = contexts.schema["doc_id"].dataType.simpleString()
-    names = ["window", "name", "body", "doc_id", "start"]
+    names = ["window", "name", "body", "doc_id", "start", "mask"]
 
     def block(rows, of):
-        texts = [r[3] for r in rows]
-        members = {(k, p) for g in equal_windows(texts) for k, p in g}
         ends = {rows[0][0], rows[-1][0]}
-        members |= {(k, p) for k, r in enumerate(rows) if r[0] in ends for p in range(len(r[3]) - WIDTH + 1)}
-        if members:
-            ks, ps = zip(*sorted(members))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([texts[k][p : p + WIDTH] for k, p in zip(ks, ps)], pa.binary()), pa.array([rows[k][0] for k in ks], pa.int64())]
-                + [pa.array([rows[k][1] for k in ks], pa.int64()), pa.array([rows[k][2] for k in ks], of), pa.array(ps, pa.int32())],
-                names=names,
-            )
+        open_windows = [(r[3][p : p + WIDTH], r[0], r[1], r[2], p, None) for r in rows if r[0] in ends for p in range(len(r[3]) - WIDTH + 1)]
+        inner, masks = [r for r in rows if r[0] not in ends], {}
+        for g in equal_windows([r[3] for r in inner]) if inner else ():
+            first = min(inner[k][2] for k, _ in g)
+            for k, p in g:
+                if inner[k][2] > first:
+                    masks[k] = masks.get(k, 0) | 1 << p
+        # the 64th start is a long's sign
+        told = [(None, inner[k][0], inner[k][1], None, None, m - (1 << 64) if m >> 63 else m) for k, m in masks.items()]
+        kinds = [pa.binary(), pa.int64(), pa.int64(), of, pa.int32(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*open_windows, *told), kinds)], names=names)
 
     def run(batches):
-        rows, held = [], 0
+        rows, held, before = [], 0, None
         for b in slices(batches):
             for r in zip(*(b.column(k).to_pylist() for k in range(4))):
+                if r[:2] == before:  # repeated rows of the document that stands for the context
+                    continue
+                before = r[:2]
                 rows.append(r)
                 held += len(r[3])
                 if held >= BLOCK_BYTES:
-                    yield from block(rows, b.column(2).type)
+                    yield block(rows, b.column(2).type)
                     rows, held = [], 0
         if rows:
-            yield from block(rows, b.column(2).type)
+            yield block(rows, b.column(2).type)
 
     ranged = contexts.repartitionByRange("name", "body").sortWithinPartitions("name", "body")
-    return ranged.mapInArrow(run, f"window binary, name long, body long, doc_id {kind}, start int")
-
-
-def _maybe_shared(rows: DataFrame, shared: DataFrame) -> DataFrame:
-    """``rows`` without most of those whose name isn't ``shared``: a map of a fixed number of bits, so that they need no
-    shuffle. Its false positives go in the join that follows."""
-    slot = F.col("name").bitwiseAND((1 << MAP_BITS) - 1)  # names are smallest hashes: only their low bits are even
-    found = shared.select(slot.alias("slot")).groupBy(F.floor(F.col("slot") / 32768).alias("bucket"))
-    found = found.agg(F.bitmap_construct_agg(F.col("slot") % 32768).alias("bits")).collect()  # 2 ** (MAP_BITS - 15) rows at most
-    bits = bytearray(1 << (MAP_BITS - 3))
-    for r in found:
-        bits[r.bucket * 4096 : (r.bucket + 1) * 4096] = r.bits
-    held = rows.sparkSession.sparkContext.broadcast(bytes(bits))
-
-    def run(batches):
-        import pyarrow as pa
-
-        known = np.frombuffer(held.value, np.uint8)
-        for b in batches:
-            at = b.column(0).to_numpy().view(np.uint64) & np.uint64((1 << MAP_BITS) - 1)
-            hit = (known[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1
-            yield b.filter(pa.array(hit.astype(bool)))
-
-    return rows.mapInArrow(run, rows.schema)
+    return ranged.mapInArrow(run, f"window binary, name long, body long, doc_id {kind}, start int, mask long")
 
 
 def repeated_starts(docs: DataFrame) -> DataFrame:
     """``(doc_id, digest, lo, n, mask)``: contexts of ``(doc_id, digest, text)`` with windows that a smaller doc_id
     has too: all of them where ``mask`` is null, else those of its bits."""
-    rows = materialize(context_rows(docs), "window-contexts")
-    ends = rows.groupBy("name").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    shared = materialize(ends.where("low < high").select("name"), "shared-names")
-    hits = materialize(_maybe_shared(rows, shared).join(shared, "name"), "shared-contexts")
+    hits = materialize(context_rows(docs, _map_of(materialize(shared_slots(docs), "shared-names"))), "shared-contexts")
     one = F.min(F.struct("doc_id", "digest", "lo", "n")).alias("one")
-    known = materialize(hits.groupBy("name", "body").agg(one), "context-texts")
-    many = known.groupBy("name").agg(F.count("*").alias("c")).where("c > 1").select("name")
+    known = materialize(hits.groupBy("name", "body").agg(one, F.max("doc_id").alias("high")), "context-texts")
+    of_name = known.groupBy("name").agg(F.count("*").alias("c"), F.min("one.doc_id").alias("low"), F.max("high").alias("high"))
+    many = of_name.where("c > 1 and low < high").select("name")
     wanted = known.join(many, "name").groupBy("one.doc_id", "one.digest").agg(
         F.collect_list(F.struct("name", "body", "one.lo", "one.n")).alias("wanted")
     )
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = docs.join(wanted, ["doc_id", "digest"]).select("doc_id", "text", "wanted")
-    texts = found.mapInArrow(_texts_of, f"name long, body long, doc_id {kind}, context binary")
-    texts = texts.groupBy("name", "body").agg(F.min("doc_id").alias("doc_id"), F.min("context").alias("context"))
-    members = materialize(window_members(materialize(texts, "ordered-contexts").select("name", "body", "doc_id", "context")), "equal-windows")
-    first = members.groupBy("window").agg(F.min("doc_id").alias("first"))
-    earlier = members.join(first, "window").where(F.col("first") < F.col("doc_id")).select("name", "body", "start").distinct()
-    bit = F.expr("shiftleft(1L, start)")
-    masks = earlier.groupBy("name", "body").agg(F.bit_or(bit).alias("mask"))
-    verdict = known.select("name", "body", F.col("one.doc_id").alias("owner")).join(masks, ["name", "body"], "left")
+    texts = materialize(found.mapInArrow(_texts_of, f"name long, body long, doc_id {kind}, context binary"), "ordered-contexts")
+    members = materialize(window_members(texts), "equal-windows")
+    meeting = members.where("window is not null")
+    first = meeting.groupBy("window").agg(F.min("doc_id").alias("first"))
+    earlier = meeting.join(first, "window").where(F.col("first") < F.col("doc_id"))
+    bits = earlier.groupBy("name", "body").agg(F.bit_or(F.expr("shiftleft(1L, start)")).alias("mask"))
+    masks = members.where("window is null").select("name", "body", "mask").union(bits)
+    verdict = known.select("name", "body", F.col("one.doc_id").alias("owner"), "high").join(masks, ["name", "body"], "left")
+    verdict = verdict.where("owner < high or mask is not null").drop("high")
     judged = hits.join(verdict, ["name", "body"])
     mask = F.when(F.col("doc_id") == F.col("owner"), F.col("mask"))
     judged = judged.where((F.col("doc_id") > F.col("owner")) | F.col("mask").isNotNull())
-    return judged.select("doc_id", "digest", "lo", "n", mask.alias("mask")).distinct()
+    return judged.select("doc_id", "digest", "lo", "n", mask.alias("mask"))
 
 
 def _spans(size: int, starts: list[dict]) -> list[tuple[int, int]]:
@@ -361,7 +438,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = pick(docs, id_col, text_col).toDF("doc_id", "text").select("doc_id", text_or_empty().alias("text"))
     rows = rows.select("doc_id", F.xxhash64("text").alias("digest"), F.col("text").cast("binary").alias("text"))
     starts = repeated_starts(rows.where(F.col("doc_id").isNotNull()))
-    starts = starts.groupBy("doc_id", "digest").agg(F.collect_list(F.struct("lo", "n", "mask")).alias("starts"))
+    starts = starts.groupBy("doc_id", "digest").agg(F.collect_set(F.struct("lo", "n", "mask")).alias("starts"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "n_bytes", "spans", "kept"]
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
