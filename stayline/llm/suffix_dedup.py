@@ -6,6 +6,8 @@ A first pass over the texts sends 48 bits of each name, packed, to find those th
 contexts are written, in a second pass. Where a name has one context text, all its windows are equal to those of its
 first document; nothing needs to be ordered.
 
+Rows with the whole text of a smaller id are told by two hashes and the length, and go no further.
+
 Suffix arrays: the distinct contexts of the other names, in the order of their names, are dealt to tasks by range and
 put together in blocks. A block's suffix array is built by grouping: suffixes begin in groups of their first byte;
 groups are taken in descending order, and each hands its suffixes' previous-smaller places on into larger groups right
@@ -20,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, pick, slices, table, text_or_empty
+from .common import materialize, pick, slices, spread_join, table, text_or_empty
 
 WIDTH = 50
 GRAM = 24
@@ -33,7 +35,7 @@ BLOCK_BYTES = 1 << 18
 PACK_BYTES = 8 << 20
 RANGE_NAMES = 1 << 20
 #: Bits of the map of shared names that tasks hold, whatever the number of names.
-MAP_BITS = 26
+MAP_BITS = 27
 
 
 # --- suffix array ------------------------------------------------------------------------------------------
@@ -251,17 +253,29 @@ def shared_slots(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "range int, once binary, more binary").groupBy("range").applyInPandas(merged, "slot long")
 
 
+#: Where a slot's two bits in the map come from.
+PROBES = (0, 21)
+
+
 def _map_of(shared: DataFrame):
-    """A broadcast map of ``slot`` with a fixed number of bits: where it has none, nobody shares the name."""
-    low = F.col("slot").bitwiseAND((1 << MAP_BITS) - 1)
-    found = shared.select(low.alias("slot")).groupBy(F.floor(F.col("slot") / 32768).alias("bucket"))
-    found = found.agg(F.bitmap_construct_agg(F.col("slot") % 32768).alias("bits")).collect()  # 2 ** (MAP_BITS - 15) rows at most
+    """A broadcast Bloom filter of ``slot`` with a fixed number of bits: where it has none, nobody shares the name."""
+    both = F.explode(F.array(*(F.shiftright("slot", k).bitwiseAND((1 << MAP_BITS) - 1) for k in PROBES)))
+    found = shared.select(both.alias("at")).groupBy(F.floor(F.col("at") / 32768).alias("bucket"))
+    found = found.agg(F.bitmap_construct_agg(F.col("at") % 32768).alias("bits")).collect()  # 2 ** (MAP_BITS - 15) rows at most
     bits = bytearray(1 << (MAP_BITS - 3))
     for r in found:
         bits[r.bucket * 4096 : (r.bucket + 1) * 4096] = r.bits
     return shared.sparkSession.sparkContext.broadcast(bytes(bits))
 
 
+def _in_map(known: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    hit = np.ones(len(slot), bool)
+    for k in PROBES:
+        at = ((slot >> np.uint64(k)) & np.uint64((1 << MAP_BITS) - 1)).astype(np.int64)
+        hit &= (known[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+    return hit
+
+
 def context_rows(docs: DataFrame, held) -> DataFrame:
     """``(name, body, doc_id, digest, lo, n)`` of the contexts of ``(doc_id, digest, text)`` whose name the map ``held`` has
     (its few false positives are told later); ``body`` hashes the bytes."""
@@ -282,9 +296,8 @@ def context_rows(docs: DataFrame, held) -> DataFrame:
         of, known = start.column(0).type, np.frombuffer(held.value, np.uint8)
         for (ids, digests), raw, first, size in _together(chain([start], batches)):
             owner, at, n, name = contexts_of(np.frombuffer(raw, np.uint8), first, size)
-            slot = _slots(name) & np.uint64((1 << MAP_BITS) - 1)
-            hit = (known[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1
-            owner, at, n, name = (x[hit == 1] for x in (owner, at, n, name))
+            hit = _in_map(known, _slots(name))
+            owner, at, n, name = (x[hit] for x in (owner, at, n, name))
             body = np.fromiter((xxh3_64_intdigest(raw[a : a + k + WIDTH - 1]) for a, k in zip(at.tolist(), n.tolist())), np.uint64, len(at))
             take = pa.array(owner)
             columns = [pa.array(name, pa.int64()), pa.array(body.view(np.int64)), pa.array(ids, of).take(take), pa.array(digests, pa.int64()).take(take)]
@@ -412,6 +425,15 @@ def repeated_starts(docs: DataFrame) -> DataFrame:
     return judged.select("doc_id", "digest", "lo", "n", mask.alias("mask"))
 
 
+def _copies(rows: DataFrame) -> DataFrame:
+    """``(doc_id, digest, size)`` of the texts that a smaller doc_id has as well: all their windows repeat."""
+    told = rows.select("doc_id", "digest", F.xxhash64(F.lit(1), "text").alias("second"), F.octet_length("text").alias("size"))
+    told = materialize(told, "text-digests")
+    key = ["digest", "second", "size"]
+    owners = told.groupBy(*key).agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").drop("last")
+    return spread_join(told, key, owners).where(F.col("doc_id") > F.col("owner")).select("doc_id", "digest", "size").distinct()
+
+
 def _spans(size: int, starts: list[dict]) -> list[tuple[int, int]]:
     """The maximal runs of bytes that the repeated windows cover."""
     turns = np.zeros(size + 1, np.int64)
@@ -437,7 +459,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     rows = pick(docs, id_col, text_col).toDF("doc_id", "text").select("doc_id", text_or_empty().alias("text"))
     rows = rows.select("doc_id", F.xxhash64("text").alias("digest"), F.col("text").cast("binary").alias("text"))
-    starts = repeated_starts(rows.where(F.col("doc_id").isNotNull()))
+    copies = materialize(_copies(rows.where(F.col("doc_id").isNotNull())), "text-copies")
+    rest = rows.where(F.col("doc_id").isNotNull()).join(copies, ["doc_id", "digest"], "left_anti")
+    starts = repeated_starts(rest).union(copies.where(F.col("size") >= WIDTH).select("doc_id", "digest", F.lit(0), (F.col("size") - WIDTH + 1).cast("int"), F.lit(None)))
     starts = starts.groupBy("doc_id", "digest").agg(F.collect_set(F.struct("lo", "n", "mask")).alias("starts"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "n_bytes", "spans", "kept"]
