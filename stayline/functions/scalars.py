@@ -90,7 +90,14 @@ def coerce_feature(c: Column, kind: str) -> Column:
 
 
 def half_even(c: Column, digits: int = 3) -> Column:
-    return F.bround(c, digits)
+    """Rounded half to even as SQL's ``round_even``: ties are told after scaling, so that 0.65 * 0.53 is one."""
+    scale = float(10**digits)
+    return F.rint(c * scale) / scale
+
+
+def exact(c: Column) -> Column:
+    """The double nearest to a decimal of few digits, without what adding and multiplying doubles left on it."""
+    return F.round(c, 9)
 
 
 def clip(c: Column, low: float = 0.0, high: float = 1.0) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.files import write_and_read
 from ..functions.ranks import global_rank
-from ..functions.scalars import clip, half_even, lookup
+from ..functions.scalars import clip, exact, half_even, lookup
 from ..vocab import HIERARCHY_WEIGHT, LEVELS, LIFT_POINTS, MODEL_CONFIDENCE, STRENGTH_ORDER, STRENGTH_SCORE
 
 
@@ -149,7 +149,7 @@ def qualitative_score(status: Column, flags: str = "flags") -> Column:
     best = F.array_max(F.transform(risky, lambda f: lookup(f["flag_type"], HIERARCHY_WEIGHT) * lookup(f["signal_strength"], STRENGTH_SCORE)))
     most = F.array_max(F.transform(risky, lambda f: f["recurrence"]))
     bonus = F.least(F.lit(0.2), 0.05 * F.greatest(F.lit(0), most - 1))
-    return F.when((status == "no_data") | (F.size(risky) == 0), 0.0).otherwise(F.least(F.lit(1.0), best + bonus))
+    return F.when((status == "no_data") | (F.size(risky) == 0), 0.0).otherwise(F.least(F.lit(1.0), exact(best + bonus)))
 
 
 def combined_score(quant: Column, qual: Column, strongest: Column, cfg: RankingConfig = RankingConfig(), quantitative_only: bool = False) -> Column:
@@ -157,7 +157,7 @@ def combined_score(quant: Column, qual: Column, strongest: Column, cfg: RankingC
     if quantitative_only:
         return clip(q)
     agree = F.coalesce((quant >= cfg.quant_high) & (strongest == "strong"), F.lit(False))
-    return clip(cfg.quantitative_weight * q + cfg.qualitative_weight * qual + F.when(agree, cfg.agreement_bonus).otherwise(0.0))
+    return clip(cfg.quantitative_weight * q + exact(cfg.qualitative_weight * qual) + F.when(agree, cfg.agreement_bonus).otherwise(0.0))
 
 
 def critical_rules(quant: Column, flags: str = "flags", cfg: RankingConfig = RankingConfig()) -> Column:
