@@ -128,3 +128,18 @@ def test_bootstrap_equals_all_pairs_in_every_round(spark):
     for bucket_rows in (20, 100_000):
         lo, hi = C.c_index_bootstrap(df, rounds, bucket_rows=bucket_rows).first()
         assert abs(lo - np.percentile(values, 2.5)) < 1e-12 and abs(hi - np.percentile(values, 97.5)) < 1e-12
+
+
+def test_threads_are_read_from_one_written_table(spark):
+    """Texts were put together anew by each reader, and terms shuffled for every count, norm and prefix."""
+    rows = [("c", "t1", dt.datetime(2024, 1, 1), "b a b"), ("c", "t2", dt.datetime(2024, 1, 2), "aa bb aa cc"), ("c", "t3", dt.datetime(2024, 1, 2), "aa")]
+    threads = spark.createDataFrame([(t, c, at, text, None) for c, t, at, text in rows], "thread_id string, customer_id string, created_at timestamp, subject string, duplicate_of string")
+    messages = spark.createDataFrame([], "thread_id string, message_id string, ts timestamp, role string, text string")
+    docs = T.candidate_text(threads, messages)
+    assert "Exchange" not in docs._jdf.queryExecution().executedPlan().toString()
+    weights = T.weighted_threads(docs)
+    assert "Exchange" not in weights._jdf.queryExecution().executedPlan().toString()
+    got = {r.thread_id: [(t.df, t.term, round(t.w, 9)) for t in r.terms] for r in weights.collect()}
+    one, two = math.log(4 / 2) + 1, 2 * (math.log(4 / 3) + 1)
+    norm = math.sqrt(2 * one * one + two * two)
+    assert got == {"t2": [(1, "bb", round(one / norm, 9)), (1, "cc", round(one / norm, 9)), (2, "aa", round(two / norm, 9))], "t3": [(2, "aa", 1.0)]}
