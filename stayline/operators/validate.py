@@ -218,23 +218,28 @@ def error_counts(errors: DataFrame) -> DataFrame:
 def correlation_warnings(df: DataFrame, extras: list[str], cfg: ValidationConfig = ValidationConfig()) -> DataFrame:
     """``(extra, core, r)`` of the numeric extras that correlate beyond the threshold with a numeric core key.
 
-    An extra counts where all its filled cells are numbers. One aggregate computes all pairs.
+    An extra counts where all its filled cells are numbers. Cells become numbers once, in two projections before the one
+    aggregate of all pairs, which only sees plain columns (parsing inside it is more code than Java compiles).
     """
     cores = [k for k in core_keys(df) if k in _NUMERIC]
-    cell = {e: F.col("extra_features")[e] for e in extras}
+    cells = df.select(
+        *(F.col("extra_features")[e].alias(f"cell_{i}") for i, e in enumerate(extras)), *(F.col(f"core_features.{c}").alias(f"core_{j}") for j, c in enumerate(cores))
+    )
+    x = lambda i: F.col(f"x_{i}")
+    cells = cells.withColumns({f"x_{i}": to_float(F.col(f"cell_{i}")) for i in range(len(extras))})
+    cells = cells.withColumns({f"odd_{i}": (~is_blank(F.col(f"cell_{i}")) & x(i).isNull()).cast("int") for i in range(len(extras))})
     aggs = []
-    for e in extras:
-        aggs.append(F.coalesce(F.sum((~is_blank(cell[e]) & to_float(cell[e]).isNull()).cast("int")), F.lit(0)).alias(f"bad_{e}"))
-        for c in cores:
-            x, y = to_float(cell[e]), F.col(f"core_features.{c}")
-            both = x.isNotNull() & y.isNotNull()
-            aggs.append(F.corr(F.when(both, x), F.when(both, y)).alias(f"r_{e}_{c}"))
+    for i, e in enumerate(extras):
+        aggs.append(F.coalesce(F.sum(f"odd_{i}"), F.lit(0)).alias(f"bad_{e}"))
+        for j, c in enumerate(cores):
+            both = x(i).isNotNull() & F.col(f"core_{j}").isNotNull()
+            aggs.append(F.corr(F.when(both, x(i)), F.when(both, F.col(f"core_{j}"))).alias(f"r_{e}_{c}"))
     pairs = [
         F.struct(F.lit(e).alias("extra"), F.lit(c).alias("core"), F.col(f"r_{e}_{c}").alias("r"), F.col(f"bad_{e}").alias("bad"))
         for e in extras
         for c in cores
     ]
-    rows = df.agg(*aggs).select(F.inline(F.array(*pairs)))
+    rows = cells.agg(*aggs).select(F.inline(F.array(*pairs)))
     return rows.where((F.col("bad") == 0) & (F.abs("r") > cfg.correlation_threshold) & ~F.isnan("r")).drop("bad")
 
 

@@ -143,3 +143,19 @@ def test_threads_are_read_from_one_written_table(spark):
     one, two = math.log(4 / 2) + 1, 2 * (math.log(4 / 3) + 1)
     norm = math.sqrt(2 * one * one + two * two)
     assert got == {"t2": [(1, "bb", round(one / norm, 9)), (1, "cc", round(one / norm, 9)), (2, "aa", round(two / norm, 9))], "t3": [(2, "aa", 1.0)]}
+
+
+def test_correlations_aggregate_plain_columns(spark):
+    """Cells were parsed inside the aggregate: its code didn't compile, and every row was interpreted."""
+    from stayline.operators import validate as V
+
+    rows = [(k, "x" if k == 3 else str(k * k % 7), str(k % 5) + ".50", float(k)) for k in range(40)]
+    df = spark.createDataFrame(rows, "k long, odd string, fine string, used double").select(
+        F.create_map(F.lit("odd"), F.col("odd"), F.lit("fine"), F.col("fine")).alias("extra_features"),
+        F.struct(F.lit("gold").alias("plan_tier"), F.col("used").alias("usage_frequency")).alias("core_features"),
+    )
+    found = V.correlation_warnings(df, ["odd", "fine"], V.ValidationConfig(correlation_threshold=0.0001))
+    want = np.corrcoef([r[3] for r in rows], [float(r[2]) for r in rows])[0, 1]
+    assert [(r.extra, r.core, round(r.r, 9)) for r in found.collect()] == [("fine", "usage_frequency", round(want, 9))]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Aggregate(" in line and "RLIKE" in line]
