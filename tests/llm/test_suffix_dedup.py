@@ -3,6 +3,7 @@ import random
 import pytest
 
 from stayline.llm import suffix_dedup as S
+from stayline.llm.common import written
 
 
 def brute(rows):
@@ -82,3 +83,41 @@ def test_real_documents(real_docs):
     rows = [(r.doc_id, r.text) for r in real_docs.select("doc_id", "text").collect()]
     got = found(S.remove_repeats(real_docs))
     assert got == brute(rows) and sum(r[2] for r in got) > 0
+
+
+def test_only_pieces_that_may_repeat_are_ordered(monkeypatch):
+    rng = random.Random(11)
+    text = lambda n: bytes(rng.choice(b"abcd ") for _ in range(n))
+    cores, ordered = [text(70) for _ in range(20)], []
+    rows = [
+        (k, rng.randint(0, 9), (text(30) + core[rng.randint(0, 15) :] + text(30))[:113])
+        for k, core in enumerate(cores) for _ in range(4)
+    ]
+    rows += [(k, 50 + k, text(113)) for k in range(20)]
+    first = {}
+    for name, i, c in rows:
+        for p in range(len(c) - 49):
+            first[name, c[p : p + 50]] = min(i, first.get((name, c[p : p + 50]), i))
+    want = {k: sum(1 << p for p in range(len(c) - 49) if first[name, c[p : p + 50]] < i) for k, (name, i, c) in enumerate(rows)}
+    plain = S.equal_windows
+    monkeypatch.setattr(S, "equal_windows", lambda contexts: ordered.extend(contexts) or plain(contexts))
+    assert S.repeated_windows(rows) == {k: m for k, m in want.items() if m}
+    assert 0 < sum(map(len, ordered)) < sum(len(c) for _, _, c in rows) * 0.7
+
+
+def test_a_common_window_is_open_once_in_a_block(spark):
+    line = "".join(chr(97 + k * k % 23) for k in range(60))
+    rows = [(1, i, 0, 5, (line + f"{i:03}" * 17).encode()) for i in range(300)]
+    df = spark.createDataFrame(rows, "name long, doc_id long, digest long, lo int, context binary").coalesce(1)
+    members = S.window_members(df).collect()
+    common = [r for r in members if r.window is not None and bytes(r.window) in line.encode()]
+    told = {r.doc_id: r.mask for r in members if r.window is None}
+    assert len(common) < 11 * 300 / 2
+    assert all(told.get(r.doc_id, 0) >> r.start & 1 == 0 for r in members if r.window is not None)
+
+
+def test_texts_of_contexts_are_released(spark, real_docs):
+    before = set(written())
+    S.remove_repeats(real_docs)
+    left = set(written()) - before
+    assert left and not any("ordered-contexts" in x for x in left)
