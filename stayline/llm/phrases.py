@@ -34,9 +34,10 @@ TOP = 2000
 LEVELS = ((2,), (3,), (4, 5))
 #: Bits of a word's id: five of them are packed into 125.
 ID_BITS = 25
-#: Words of a block, and counters that a task's filter holds before it is handed on.
+#: Words of a block, counters that a task's filter holds before it is handed on, and places that are packed together.
 BLOCK_WORDS = 1_000_000
-FILTER_SIZE = 1_000_000
+FILTER_SIZE = 500_000
+CHUNK_PLACES = 1 << 16
 BITMAP_BITS = 24
 
 SEPARATORS = re.compile(r"[.,;:!?\x0A-\x0D]")
@@ -88,10 +89,16 @@ Filter = tuple[np.ndarray, np.ndarray, np.ndarray]
 def merged(parts: list[Filter]) -> Filter:
     """One sorted filter ``(hi, lo, count)`` from several."""
     hi, lo, n = (np.concatenate(c) for c in zip(*parts))
-    order = np.lexsort((lo, hi))
-    hi, lo, n = hi[order], lo[order], n[order]
     if not len(hi):
         return hi, lo, n
+    order = np.argsort(hi, kind="stable")
+    sorted_hi, sorted_lo = hi[order], lo[order]
+    tied = sorted_hi[1:] == sorted_hi[:-1]
+    if (sorted_lo[1:][tied] != sorted_lo[:-1][tied]).any():  # two keys share 64 bits
+        order = np.lexsort((lo, hi))
+        sorted_hi, sorted_lo = hi[order], lo[order]
+    hi, lo, n = sorted_hi, sorted_lo, n[order]
+    del order, sorted_hi, sorted_lo, tied
     first = np.flatnonzero(np.concatenate([[True], (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])]))
     return hi[first], lo[first], np.add.reduceat(n, first)
 
@@ -230,24 +237,26 @@ def count_level(encoded: DataFrame, lengths: tuple[int, ...], least: int, bitmap
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), *[pa.binary()] * 3))], names=names)
 
         for b in slices(batches, 1):
-            ids = np.frombuffer(b.column(0)[0].as_py(), np.int32)
-            standing = _standing(ids, before, seen)
-            for n in lengths:
-                places = len(ids) - n + 1
-                if places <= 0:
-                    continue
-                fine = np.ones(places, bool)
-                for k in range(n - before + 1):
-                    fine &= standing[k : k + places]
-                at = np.flatnonzero(fine)
-                waiting.append((*permute(*pack([ids[k:][at] for k in range(n)])), np.ones(len(at), np.int64)))
-                n_waiting += len(at)
-            if n_waiting > FILTER_SIZE // 2:
-                held = merged([*([held] if held else []), *waiting])
-                waiting, n_waiting = [], 0
-                if len(held[0]) > FILTER_SIZE:
-                    yield from batch(held)
-                    held = None
+            whole = np.frombuffer(memoryview(b.column(0)[0].as_buffer()), np.int32)
+            for start in range(0, len(whole), CHUNK_PLACES):
+                ids = whole[start : start + CHUNK_PLACES + max(lengths) - 1]
+                standing = _standing(ids, before, seen)
+                for n in lengths:
+                    places = min(len(ids) - n + 1, CHUNK_PLACES)
+                    if places <= 0:
+                        continue
+                    fine = np.ones(places, bool)
+                    for k in range(n - before + 1):
+                        fine &= standing[k : k + places]
+                    at = np.flatnonzero(fine)
+                    waiting.append((*permute(*pack([ids[k:][at] for k in range(n)])), np.ones(len(at), np.int64)))
+                    n_waiting += len(at)
+                if n_waiting > FILTER_SIZE:
+                    waiting = [merged([*([held] if held else []), *waiting])]
+                    held, n_waiting = waiting.pop(), 0
+                    if len(held[0]) > FILTER_SIZE:
+                        yield from batch(held)
+                        held = None
         if held or waiting:
             yield from batch(merged([*([held] if held else []), *waiting]))
 

@@ -74,3 +74,18 @@ def test_collocations_equal_brute_force(spark, odd_docs):
 
 def test_no_rows(spark, no_docs):
     assert P.collocations(no_docs).collect() == []
+
+
+def test_places_are_packed_in_chunks_without_loss(spark, monkeypatch):
+    monkeypatch.setattr(P, "CHUNK_PLACES", 7)
+    monkeypatch.setattr(P, "FILTER_SIZE", 20)
+    rng = random.Random(8)
+    rows = [(" ".join(rng.choice("abcd") for _ in range(rng.randint(0, 40))), "en") for _ in range(30)]
+    df = spark.createDataFrame(rows, "text string, lang string").coalesce(2)
+    assert {tuple(r) for r in P.collocations(df, least=3).collect()} == brute(rows, 3, 2000)
+
+
+def test_keys_that_share_64_bits_stay_apart():
+    hi, lo = np.array([5, 5, 5, 2], np.uint64), np.array([9, 1, 9, 4], np.uint64)
+    h, low, n = P.merged([(hi, lo, np.array([1, 2, 3, 4])), (hi[:1], lo[:1], np.array([10]))])
+    assert list(zip(h.tolist(), low.tolist(), n.tolist())) == [(2, 4, 4), (5, 1, 2), (5, 9, 14)]
