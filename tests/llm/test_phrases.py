@@ -89,3 +89,53 @@ def test_keys_that_share_64_bits_stay_apart():
     hi, lo = np.array([5, 5, 5, 2], np.uint64), np.array([9, 1, 9, 4], np.uint64)
     h, low, n = P.merged([(hi, lo, np.array([1, 2, 3, 4])), (hi[:1], lo[:1], np.array([10]))])
     assert list(zip(h.tolist(), low.tolist(), n.tolist())) == [(2, 4, 4), (5, 1, 2), (5, 9, 14)]
+
+
+def test_rows_of_blocks_are_few_and_small(spark):
+    rng = random.Random(9)
+    text = " ".join(f"w{rng.randint(0, 20_000)}" for _ in range(300_000)).replace(" w7 ", ". ")
+    rows = P.word_blocks(spark.createDataFrame([(text, "en")] * 2, "text string, lang string").coalesce(1)).collect()
+    assert len(rows) <= 1100  # one for each of 20,001 distinct words before
+    assert max(len(v) for r in rows for v in r if isinstance(v, (bytes, bytearray))) < 3 * 300_000
+
+
+def test_words_over_many_blocks_equal_brute_force(spark):
+    rng = random.Random(10)
+    words = [*(f"w{k}" for k in range(90)), "nan", "None", "\0", "\x85", " ", "NULL"]
+    langs = ["en", "a b", " ", "nan", None]
+    rows = [("".join(rng.choice(words) + rng.choice(" \t.") for _ in range(200)) + "q r s. t u v q r s", rng.choice(langs)) for _ in range(120)]
+    df = spark.createDataFrame(rows, "text string, lang string").coalesce(3)
+    for block_words in (10, 45):  # blocks end by their distinct words, and by their rows
+        assert {tuple(r) for r in P.collocations(df, least=4, block_words=block_words).collect()} == brute(rows, 4, 2000)
+
+
+@pytest.mark.parametrize("bits", [3, 12, 13, 16, 21, 22, 25])
+def test_levels_count_exactly_with_ids_of_any_width(spark, bits):
+    rng = np.random.default_rng(11)
+    some = np.unique(np.concatenate([[1, (1 << bits) - 1], rng.integers(1, 1 << bits, 4)]))
+    rows = [np.where(rng.random(400) < 0.1, 0, rng.choice(some, 400)) for _ in range(4)]
+    encoded = spark.createDataFrame([(P.squeeze(r),) for r in rows], "ids binary").repartition(2)
+    want = Counter()
+    for r in map(np.ndarray.tolist, rows):
+        want.update(tuple(r[i : i + m]) for m in range(2, 6) for i in range(len(r) - m + 1) if all(r[i : i + m]))
+    bitmap = None
+    for lengths in P.LEVELS:
+        level = P.count_level(encoded, lengths, 3, bitmap, 1, bits)
+        assert {tuple(r.ids): r.f for r in level.collect()} == {k: v for k, v in want.items() if len(k) in lengths and v >= 3}
+        bitmap = P._bitmap(level)
+
+
+def test_bigrams_of_few_words_take_few_bytes():
+    rng = np.random.default_rng(12)
+    ids = [rng.integers(1, 1 << 17, 300_000) for _ in range(2)]
+    f = P.merged([(*P.to_keys(ids, 2, 17), np.ones(300_000, np.int64))])
+    runs = list(P.encode_runs(f, 1, P.key_bytes_of(2, 17, 1)))
+    assert sum(len(r[1]) for r in runs) < 4 * len(f[-1])  # 15 bytes each before
+    back = P.merged([P.decode_run(*r, 1, P.key_bytes_of(2, 17, 1)) for r in runs])
+    assert all((x == y).all() for x, y in zip(f, back, strict=True))
+    assert Counter(map(tuple, P.from_keys(back[:-1], 2, 17).tolist())) == Counter(set(zip(*(i.tolist() for i in ids))))
+
+
+def test_numbers_as_bytes_are_inverted():
+    for a in ([], [0], [1, 255, 256, 65536, (1 << 32) - 1]):
+        assert P.from_planes(P.planes(np.array(a, np.int64))).tolist() == P.unsqueeze(P.squeeze(np.array(a, np.int64))).tolist() == a
