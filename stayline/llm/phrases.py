@@ -174,15 +174,15 @@ def key_bytes_of(most: int, bits: int, quotient_bytes: int) -> int:
     return 16 if most * bits > 64 else max(-(-most * bits // 8), quotient_bytes + 1)
 
 
-def encode_runs(f: Filter, quotient_bytes: int, key_bytes: int = 16) -> Iterator[tuple[int, bytes, bytes, bytes]]:
+def encode_runs(f: Filter, quotient_bytes: int, key_bytes: int = 16, more: int = 0) -> Iterator[tuple[int, bytes, bytes, bytes]]:
     """``(quotient, remainders, counts, large counts)`` of every run: remainders lack the quotient's bytes, and are
     compressed byte by byte, as the first ones of sorted remainders hardly change; a count is a byte, or 255 and then the
-    next large count."""
+    next large count. ``more`` bits of the next byte are in the quotient, too."""
     import pyarrow as pa
 
     *key, n = f
     whole = np.stack(key, axis=1).astype(">u8").view(np.uint8).reshape(len(n), 8 * len(key))[:, quotient_bytes:key_bytes]
-    quotient = key[0] >> _U(64 - 8 * quotient_bytes)
+    quotient = key[0] >> _U(64 - 8 * quotient_bytes - more)
     small = np.minimum(n, 255).astype(np.uint8)
     starts = np.flatnonzero(np.concatenate([[True], quotient[1:] != quotient[:-1]])) if len(n) else []
     for a, b in zip(starts, [*starts[1:], len(n)]):
@@ -191,7 +191,9 @@ def encode_runs(f: Filter, quotient_bytes: int, key_bytes: int = 16) -> Iterator
         yield int(quotient[a]), remainders, small[a:b].tobytes(), large.tobytes()
 
 
-def decode_run(quotient: int, remainders: bytes, counts: bytes, large: bytes, quotient_bytes: int, key_bytes: int = 16) -> Filter:
+def decode_run(
+    quotient: int, remainders: bytes, counts: bytes, large: bytes, quotient_bytes: int, key_bytes: int = 16, more: int = 0
+) -> Filter:
     import pyarrow as pa
 
     n = np.frombuffer(counts, np.uint8).astype(np.int64)
@@ -199,7 +201,7 @@ def decode_run(quotient: int, remainders: bytes, counts: bytes, large: bytes, qu
     low = pa.decompress(remainders, decompressed_size=rest, codec="zstd", asbytes=True)
     n[n == 255] = np.frombuffer(large, "<u8").astype(np.int64)
     whole = np.zeros((len(n), 8 if key_bytes <= 8 else 16), np.uint8)
-    whole[:, :quotient_bytes] = np.frombuffer(quotient.to_bytes(quotient_bytes, "big"), np.uint8)
+    whole[:, :quotient_bytes] = np.frombuffer((quotient >> more).to_bytes(quotient_bytes, "big"), np.uint8)
     whole[:, quotient_bytes:key_bytes] = np.frombuffer(low, np.uint8).reshape(key_bytes - quotient_bytes, len(n)).T
     both = whole.view(">u8").astype(_U)
     return *both.T, n
@@ -364,13 +366,14 @@ def _standing(ids: np.ndarray, before: int, bitmap: np.ndarray | None, bits: int
 
 
 def count_level(
-    encoded: DataFrame, lengths: tuple[int, ...], least: int, bitmap: bytes | None, quotient_bytes: int, bits: int
+    encoded: DataFrame, lengths: tuple[int, ...], least: int, bitmap: bytes | None, quotient_bits: int, bits: int
 ) -> DataFrame:
     """``(ids, f, slot)`` of the phrases of these lengths that stand at least ``least`` times; ``slot`` is their bit, and
     ``bits`` are those of an id."""
     import pyarrow as pa
 
     before, most = min(lengths) - 1, max(lengths)
+    quotient_bytes, more = divmod(quotient_bits, 8)
     key_bytes = key_bytes_of(most, bits, quotient_bytes)
     names = ["quotient", "remainders", "counts", "large"]
 
@@ -379,7 +382,7 @@ def count_level(
         held, waiting, n_waiting = None, [], 0
 
         def batch(f):
-            runs = list(encode_runs(f, quotient_bytes, key_bytes))
+            runs = list(encode_runs(f, quotient_bytes, key_bytes, more))
             for at in range(0, len(runs), 1000):
                 columns = zip(*runs[at : at + 1000])
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), *[pa.binary()] * 3))], names=names)
@@ -410,7 +413,7 @@ def count_level(
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         runs = zip(pdf.quotient, pdf.remainders, pdf.counts, pdf.large)
-        *key, n = merged([decode_run(int(q), r, c, big, quotient_bytes, key_bytes) for q, r, c, big in runs])
+        *key, n = merged([decode_run(int(q), r, c, big, quotient_bytes, key_bytes, more) for q, r, c, big in runs])
         key, n = [k[n >= least] for k in key], n[n >= least]
         ids = from_keys(key, most, bits)
         words = [row[row > 0].tolist() for row in ids]
@@ -445,11 +448,13 @@ def frequent_phrases(
     if bits > ID_BITS:
         raise ValueError("more frequent words than ids")
     if quotient_bytes is None:  # so many runs that one holds about a million counters at most
-        quotient_bytes = next(k for k in (1, 2, 3, 4) if k == 4 or n_all >> (8 * k) <= 1 << 20)
+        quotient_bits = min(32, max(8, (n_all >> 20).bit_length()))
+    else:
+        quotient_bits = 8 * quotient_bytes
     encoded = materialize(encoded_blocks(blocks, words), "encoded")
     grams, bitmap = vocabulary.select(F.array("id").alias("ids"), "f"), None
     for lengths in LEVELS:
-        level = materialize(count_level(encoded, lengths, least, bitmap, quotient_bytes, bits), "grams")
+        level = materialize(count_level(encoded, lengths, least, bitmap, quotient_bits, bits), "grams")
         grams = grams.unionByName(level.select("ids", "f"))
         bitmap = _bitmap(level) if lengths != LEVELS[-1] else None
     return grams, vocabulary.select("id", "lang", "word"), totals

@@ -120,7 +120,7 @@ def test_levels_count_exactly_with_ids_of_any_width(spark, bits):
         want.update(tuple(r[i : i + m]) for m in range(2, 6) for i in range(len(r) - m + 1) if all(r[i : i + m]))
     bitmap = None
     for lengths in P.LEVELS:
-        level = P.count_level(encoded, lengths, 3, bitmap, 1, bits)
+        level = P.count_level(encoded, lengths, 3, bitmap, 8 + bits % 8, bits)
         assert {tuple(r.ids): r.f for r in level.collect()} == {k: v for k, v in want.items() if len(k) in lengths and v >= 3}
         bitmap = P._bitmap(level)
 
@@ -139,3 +139,12 @@ def test_bigrams_of_few_words_take_few_bytes():
 def test_numbers_as_bytes_are_inverted():
     for a in ([], [0], [1, 255, 256, 65536, (1 << 32) - 1]):
         assert P.from_planes(P.planes(np.array(a, np.int64))).tolist() == P.unsqueeze(P.squeeze(np.array(a, np.int64))).tolist() == a
+
+
+@pytest.mark.parametrize("more", [0, 1, 5, 7])
+def test_quotients_of_any_bits(more):
+    rng = np.random.default_rng(13)
+    f = P.merged([(*P.to_keys([rng.integers(1, 1 << 20, 5000) for _ in range(2)], 2, 20), rng.integers(1, 900, 5000))])
+    runs = list(P.encode_runs(f, 1, 5, more))
+    assert len({r[0] for r in runs}) == len(runs) <= 1 << (8 + more) and len(runs) > 0.5 * min(5000, 1 << (8 + more))
+    assert all((x == y).all() for x, y in zip(f, P.merged([P.decode_run(*r, 1, 5, more) for r in runs]), strict=True))
